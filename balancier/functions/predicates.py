@@ -138,9 +138,9 @@ def check_condition(cond: Mapping, errors: list[str], patterns_on_numbers: bool
             errors.append(f"field {name} does not accept {type(item).__name__} values")
 
 
-def condition(cond: Mapping, ignore_case: bool = False) -> Column:
+def condition(cond: Mapping, ignore_case: bool = False, swap: Mapping[str, str] | None = None) -> Column:
     field = resolve(cond["field"])
-    col = column_of(cond["field"])
+    col = column_of(cond["field"], swap)
     op = operator_name(cond["operator"])
     if op == "IS_NULL":
         return col.isNull()
@@ -162,8 +162,8 @@ def condition(cond: Mapping, ignore_case: bool = False) -> Column:
     return _COMPARE[op](col, literal(value, field.dtype))
 
 
-def predicate(node: Any, ignore_case: bool = False) -> Column:
+def predicate(node: Any, ignore_case: bool = False, swap: Mapping[str, str] | None = None) -> Column:
     """Fold a filter of any nesting into one Column (SQL three-valued logic)."""
     logic, conditions, groups = parts(node)
-    terms = [condition(c, ignore_case) for c in conditions] + [predicate(g, ignore_case) for g in groups]
+    terms = [condition(c, ignore_case, swap) for c in conditions] + [predicate(g, ignore_case, swap) for g in groups]
     return reduce(operator.or_ if logic == "OR" else operator.and_, terms)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from balancier.functions import predicates as P
 from balancier.plans.catalog import column_of, resolve, star
-from balancier.plans.specs import Spec, fields_of, has_aggregate, metric_column, read_spec, row_value
+from balancier.plans.specs import Spec, fields_of, has_aggregate, metric_column, read_spec, row_value, scalar_column
 
 DATE_FIELD = "subDimDate.dateValue"
 
@@ -48,12 +48,9 @@ def metric(tables: Mapping[str, DataFrame], raw: Mapping, at: str | date | None
     return out.limit(spec.limit) if spec.limit else out
 
 
-def metric_columns(specs: Mapping[str, Spec], swap: Mapping[str, str] | None = None) -> list[Column]:
+def metric_columns(specs: Mapping[str, Spec]) -> list[Column]:
     """Scalar metrics as aggregate Columns named by code, each with its own row filter."""
-    return [
-        metric_column(s.expression, P.predicate(s.where) if s.where is not None else None, swap).alias(code)
-        for code, s in specs.items()
-    ]
+    return [scalar_column(s).alias(code) for code, s in specs.items()]
 
 
 def read_scalars(raw: Mapping[str, Mapping]) -> dict[str, Spec]:
@@ -70,12 +67,15 @@ def metrics_at(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], at:
     return rows.agg(*metric_columns(specs))
 
 
-def metrics_by_date(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping]) -> DataFrame:
-    """All scalar metrics for every reference date: one grouped pass."""
+def metrics_by_date(
+    tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], only: Iterable[date] | None = None
+) -> DataFrame:
+    """All scalar metrics for every reference date, or the dates given: one grouped pass."""
     specs = read_scalars(raw)
     rows = star(tables, [*(f for s in specs.values() for f in fields_of(s)), DATE_FIELD])
     day = column_of(DATE_FIELD)
-    return rows.filter(day.isNotNull()).groupBy(day.alias("reference_date")).agg(*metric_columns(specs))
+    rows = rows.filter(day.isNotNull() if only is None else day.isin(*only))
+    return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs))
 
 
 def to_long(wide: DataFrame, codes: Iterable[str], keys: Iterable[str] = (), code: str = "code", value: str = "value") -> DataFrame:

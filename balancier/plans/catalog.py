@@ -154,10 +154,13 @@ def supported_fields() -> dict[str, list[str]]:
     return dict(sorted(out.items()))
 
 
-def column_of(name: str) -> Column:
-    """The field's column in the star view; account numbers read as text."""
+def column_of(name: str, swap: Mapping[str, str] | None = None) -> Column:
+    """The field's column in the star view; account numbers read as text.
+
+    ``swap`` names other columns to read instead, as when a shocked copy exists.
+    """
     field = resolve(name)
-    col = F.col(field.flat)
+    col = F.col((swap or {}).get(field.flat, field.flat))
     return col.cast("string") if field.column == "numcompte" else col
 
 

@@ -146,6 +146,24 @@ def fields_of(spec: Spec, with_order: bool = False) -> list[str]:
     return list(dict.fromkeys(resolve(n).name for n in names))
 
 
+class Reading(NamedTuple):
+    """How to read the star: which columns stand in for others, and the what-if rules.
+
+    In a what-if, empty aggregates and divisions by (nearly) zero count as 0 and
+    patterns ignore case.
+    """
+
+    swap: Mapping[str, str] | None = None
+    what_if: bool = False
+
+    def filter(self, node: Any) -> Column:
+        return P.predicate(node, self.what_if, self.swap)
+
+
+PLAIN = Reading()
+NEAR_ZERO = 1e-12
+
+
 def _arith(kind: str, left: Column, right: Column) -> Column:
     if kind == "DIVIDE":
         left, right = left.cast("double"), right.cast("double")
@@ -153,48 +171,42 @@ def _arith(kind: str, left: Column, right: Column) -> Column:
     return {"ADD": left + right, "SUBTRACT": left - right, "MULTIPLY": left * right}[kind]
 
 
-def row_value(node: Mapping, swap: Mapping[str, str] | None = None) -> Column:
-    """Row-level expression. ``swap`` maps star columns to the ones to read instead."""
+def row_value(node: Mapping, reading: Reading = PLAIN) -> Column:
+    """Row-level expression."""
     kind = _type(node)
     if kind == "FIELD":
-        flat = resolve(node["field"]).flat
-        return F.col(swap[flat]) if swap and flat in swap else column_of(node["field"])
+        return column_of(node["field"], reading.swap)
     if kind == "VALUE":
         return P.literal(node["value"])
     if kind == "AGGREGATION":
         raise SpecError("Nested aggregations are not supported")
-    return _arith(kind, row_value(node["left"], swap), row_value(node["right"], swap))
+    return _arith(kind, row_value(node["left"], reading), row_value(node["right"], reading))
 
 
-def _aggregate(node: Mapping, where: Column | None, filters, swap) -> Column:
+def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
     function = node["function"].strip().upper()
     if node.get("expression"):
-        x = row_value(node["expression"], swap)
+        x = row_value(node["expression"], reading)
     elif node.get("field"):
-        x = row_value({"type": "FIELD", "field": node["field"]}, swap)
+        x = column_of(node["field"], reading.swap)
     else:
         x = F.lit(1)
-    keep = [c for c in (where, filters(node["filters"]) if node.get("filters") else None) if c is not None]
+    keep = [c for c in (where, reading.filter(node["filters"]) if node.get("filters") else None) if c is not None]
     if keep:
         x = F.when(reduce(lambda a, b: a & b, keep), x)
     distinct = node.get("distinct") is True
     if function == "COUNT":
         return (F.count_distinct(x) if distinct else F.count(x)).cast("double")
     if function == "SUM":
-        return (F.sum_distinct(x) if distinct else F.sum(x)).cast("double")
-    if function == "AVG":
-        if distinct:
-            return F.sum_distinct(x).cast("double") / F.nullif(F.count_distinct(x).cast("double"), F.lit(0.0))
-        return F.avg(x).cast("double")
-    return (F.min(x) if function == "MIN" else F.max(x)).cast("double")
-
-
-def metric_column(
-    expression: Mapping,
-    where: Column | None = None,
-    swap: Mapping[str, str] | None = None,
-    filters=P.predicate,
-) -> Column:
+        out = (F.sum_distinct(x) if distinct else F.sum(x)).cast("double")
+    elif function == "AVG" and distinct:
+        out = F.sum_distinct(x).cast("double") / F.nullif(F.count_distinct(x).cast("double"), F.lit(0.0))
+    else:
+        out = {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[function](x).cast("double")
+    return F.coalesce(out, F.lit(0.0)) if reading.what_if else out
+
+
+def metric_column(expression: Mapping, where: Column | None = None, reading: Reading = PLAIN) -> Column:
     """Aggregate Column of a metric, as a double.
 
     ``where`` narrows every aggregate in it, so metrics with different row filters
@@ -203,11 +215,19 @@ def metric_column(
     """
     kind = _type(expression)
     if kind == "AGGREGATION":
-        return _aggregate(expression, where, filters, swap)
+        return _aggregate(expression, where, reading)
     if kind == "VALUE":
         return P.literal(expression["value"]).cast("double")
     if kind == "FIELD":
-        return column_of(expression["field"]).cast("double")
-    left = metric_column(expression["left"], where, swap, filters)
-    right = metric_column(expression["right"], where, swap, filters)
+        return column_of(expression["field"], reading.swap).cast("double")
+    left = metric_column(expression["left"], where, reading)
+    right = metric_column(expression["right"], where, reading)
+    if kind == "DIVIDE" and reading.what_if:
+        return F.coalesce(left / F.when(F.abs(right) >= NEAR_ZERO, right), F.lit(0.0))
     return _arith(kind, left, right)
+
+
+def scalar_column(spec: Spec, reading: Reading = PLAIN) -> Column:
+    """A metric's value over all rows, its own row filter included."""
+    where = reading.filter(spec.where) if spec.where is not None else None
+    return metric_column(spec.expression, where, reading)
