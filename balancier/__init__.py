@@ -1 +1,8 @@
 """Star-schema metrics, ratios, data quality and corpus jobs on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
