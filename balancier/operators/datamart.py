@@ -6,12 +6,14 @@ import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from balancier.functions import cleaning as C
 from balancier.functions import recode as R
 from balancier.functions.sections import SECTION_LABELS
+from balancier.operators import quality as Q
 from balancier.session import written
 
 # Labels of the code dimensions.
@@ -307,18 +309,57 @@ def backfill_category(df: DataFrame, text: str, lookup_table: DataFrame, out: st
 # --- the whole load -----------------------------------------------------------------
 
 
+def clean_staging(customers: DataFrame, contracts: DataFrame, ledger: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quality rules and recodes of the three raw tables, stored under ``folder``.
+
+    Customers and contracts lose their offending rows; ledger rows are only reported on.
+    """
+    good_customers = Q.clean(customers, Q.CUSTOMERS, C.repair_customers())
+    return (
+        written(R.recode_customers(good_customers), f"{folder}/stg_tiers"),
+        written(R.recode_contracts(Q.clean(contracts, Q.CONTRACTS)), f"{folder}/stg_contrat"),
+        written(Q.blanks_to_null(ledger, Q.LEDGER.blanks), f"{folder}/stg_compta"),
+    )
+
+
+def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{root}/{name}")
+    return current_accounts(df) if name == "sub_dim_compte" else df
+
+
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables already in the datamart folder."""
     out = {}
     for name in TABLES:
         try:
-            out[name] = spark.read.parquet(f"{root}/{name}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            out[name] = _read(spark, root, name)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     return out
 
 
+def current_accounts(stored: DataFrame) -> DataFrame:
+    """Stored account rows -> one per account, with its latest label that is not NULL."""
+    step = F.when(F.col("libellecompte").isNotNull(), F.col("load_no"))
+    return stored.groupBy("numcompte").agg(F.min("id").alias("id"), F.max_by("libellecompte", step).alias("libellecompte"), F.max("load_no").alias("load_no"))
+
+
+def append_accounts(existing: DataFrame | None, new: DataFrame, path: str) -> DataFrame:
+    """Store new accounts and changed labels as rows of their own, so no file is rewritten."""
+    spark = new.sparkSession
+    if existing is None:
+        number_rows(new, ["numcompte"]).withColumn("load_no", F.lit(1)).write.mode("append").parquet(path)
+    else:
+        top, load_no = existing.agg(F.max("id"), F.max("load_no") + 1).first()
+        after = upsert_label(existing.drop("load_no"), new, "numcompte", "libellecompte")
+        before = existing.select("id", F.col("libellecompte").alias("_old"))
+        changed = ~F.col("libellecompte").eqNullSafe(F.col("_old")) | (F.col("id") > top)
+        diff = after.join(before, "id", "left").filter(changed)
+        diff.drop("_old").withColumn("load_no", F.lit(load_no)).write.mode("append").parquet(path)
+    return current_accounts(spark.read.parquet(path))
+
+
 TABLES = (
     "sub_dim_residence", "sub_dim_agenteco", "sub_dim_douteux", "sub_dim_grpaffaire", "sub_dim_sectionactivite",
     "sub_dim_agence", "sub_dim_devise", "sub_dim_objetfinance", "sub_dim_typcontrat", "sub_dim_date",
@@ -332,9 +373,8 @@ def load_datamart(
     """Load the three cleaned staging tables into the parquet datamart under ``root``.
 
     Rows already there stay; a second load of the same data adds nothing. Each table is
-    written before the next needs it, so lookups plan with real sizes. The account
-    table, whose labels may change, is written beside the old one and takes its place
-    in the returned tables.
+    written before the next needs it, so lookups plan with real sizes; all are only ever
+    appended to. The staging tables are read several times: pass stored ones.
     """
     tables = read_tables(spark, root)
 
@@ -359,12 +399,7 @@ def load_datamart(
     add("dim_contrat", contract_rows(contracts, tables), ["id"], None)
 
     add("sub_dim_chapitre", chapters(ledger), ["chapitre"])
-    if "sub_dim_compte" in tables:
-        merged = upsert_label(tables["sub_dim_compte"], accounts(ledger), "numcompte", "libellecompte")
-        fresh = written(merged, f"{root}/_incoming/sub_dim_compte")
-        tables["sub_dim_compte"] = written(fresh, f"{root}/sub_dim_compte")
-    else:
-        add("sub_dim_compte", accounts(ledger), ["numcompte"])
+    tables["sub_dim_compte"] = append_accounts(tables.get("sub_dim_compte"), accounts(ledger), f"{root}/sub_dim_compte")
     append_facts(spark, fact_rows(ledger, tables), ledger, tables, root)
     return tables
 

@@ -25,9 +25,8 @@ def words_sql(c: str) -> str:
 
 
 def tokens_sql(c: str) -> str:
-    """Distinct words in order."""
-    kept = f"list_filter({words_sql(c)}, lambda w: length(w) > 1 AND w NOT IN ({STOPS}))"
-    return f"list_filter({kept}, lambda w, i: list_position({kept}, w) = i)"
+    """Words that count, repeats kept."""
+    return f"list_filter({words_sql(c)}, lambda w: length(w) > 1 AND w NOT IN ({STOPS}))"
 
 
 def strip_sql(c: str) -> str:
@@ -141,8 +140,9 @@ _FIRST_PARAM = "CASE " + " ".join(f"WHEN {has_code(k, 'w')} THEN '{k}'" for k in
     f"""WITH RECURSIVE {_FILLED.replace('bound > 900', 'bound - 1 > 900')}, base AS (SELECT doc_id, chunk_no, rc, pc, lower(nullif({strip_sql('domain')}, '')) AS d,
         list_filter(list_transform(string_split_regex(coalesce(keywords, ''), '[,;|]\\s*'), lambda k: {strip_sql('k')}), lambda k: k <> '') AS kw,
         {strip_sql("coalesce(t, prefix || ' — knowledge chunk')")} || '. ' || piece AS w FROM pieces),
-    found AS (SELECT *, coalesce(rc, {_FIRST_RATIO}) AS r, coalesce(pc, {_FIRST_PARAM}) AS p, coalesce(d, {domain_sql('w')}) AS dom, {tokens_sql('w')} AS tk FROM base),
-    merged AS (SELECT *, list_concat(kw, tk, list_filter([r, p], lambda x: x IS NOT NULL)) AS m FROM found)
+    found AS (SELECT *, coalesce(rc, {_FIRST_RATIO}) AS r, coalesce(pc, {_FIRST_PARAM}) AS p, coalesce(d, {domain_sql('w')}) AS dom, {tokens_sql('w')} AS tk0 FROM base),
+    once AS (SELECT *, list_filter(tk0, lambda x, i: list_position(tk0, x) = i) AS tk FROM found),
+    merged AS (SELECT *, list_concat(kw, tk, list_filter([r, p], lambda x: x IS NOT NULL)) AS m FROM once)
     SELECT doc_id, chunk_no, r AS ratio_code, p AS parameter_code, dom AS domain, array_to_string(CASE
         WHEN len(kw) = 0 THEN list_filter(m, lambda x, i: list_position(m, x) = i)[1:20]
         WHEN rc IS NULL OR pc IS NULL OR d IS NULL THEN list_filter(m, lambda x, i: list_position(m, x) = i)[1:30] ELSE kw END, ' ') AS keywords FROM merged""",
