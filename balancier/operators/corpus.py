@@ -37,28 +37,26 @@ def chunk_documents(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
     A chunk starts with the row's code, if it has one. ``keep`` columns are carried along.
     """
-    content = _first_filled(df, SYNONYMS["content"])
-    ratio = F.upper(X.strip(_first_filled(df, SYNONYMS["ratio_code"])))
-    parameter = F.upper(X.strip(_first_filled(df, SYNONYMS["parameter_code"])))
-    code = F.coalesce(ratio, parameter)
-    prefix = F.coalesce(F.concat(F.lit("["), code, F.lit("]")), F.lit(""))
-    title = X.strip(F.coalesce(X.strip(_first_filled(df, SYNONYMS["title"])), F.concat(prefix, F.lit(" — knowledge chunk"))))
-    body = F.when(prefix == "", X.strip(content)).otherwise(F.concat(prefix, F.lit(" — "), X.strip(content)))
     plain = [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in PLAIN]
-    rows = df.filter(content.isNotNull()).select(
+    filled = df.select(
         *keep,
-        title.alias("title"),
-        body.alias("body"),
+        X.strip(_first_filled(df, SYNONYMS["title"])).alias("_title"),
+        X.strip(_first_filled(df, SYNONYMS["content"])).alias("_content"),
         _first_filled(df, SYNONYMS["document_type"]).alias("document_type"),
-        ratio.alias("ratio_code"),
-        parameter.alias("parameter_code"),
+        F.upper(X.strip(_first_filled(df, SYNONYMS["ratio_code"]))).alias("ratio_code"),
+        F.upper(X.strip(_first_filled(df, SYNONYMS["parameter_code"]))).alias("parameter_code"),
         F.lower(X.strip(_first_filled(df, ["domain"]))).alias("domain"),
         keywords(_first_filled(df, ["keywords"])).alias("keywords"),
         F.coalesce(_first_filled(df, ["language"]), F.lit(DEFAULT_LANGUAGE)).alias("language"),
         *plain,
-    )
-    rest = [c for c in rows.columns if c != "body"]
-    return rows.select(*rest, F.posexplode(X.chunks("body")).alias("chunk_no", "text"))
+    ).filter(F.col("_content").isNotNull())
+    code = F.coalesce("ratio_code", "parameter_code")
+    prefix = F.coalesce(F.concat(F.lit("["), code, F.lit("]")), F.lit(""))
+    title = F.coalesce("_title", X.strip(F.concat(prefix, F.lit(" — knowledge chunk"))))
+    body = F.when(code.isNull(), F.col("_content")).otherwise(F.concat(prefix, F.lit(" — "), F.col("_content")))
+    rest = [c for c in filled.columns if c not in ("_title", "_content")]
+    # The whole text goes into the cutter and only its pieces come out.
+    return filled.select(*rest, title.alias("title"), F.posexplode(X.chunks(body)).alias("chunk_no", "text"))
 
 
 def enrich(chunks: DataFrame) -> DataFrame:

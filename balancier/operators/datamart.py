@@ -418,7 +418,8 @@ def append_facts(spark: SparkSession, rows: DataFrame, ledger: DataFrame, tables
     else:
         top = 0
     ids = number_rows(rows, keys, top, buckets=FACT_BUCKETS)
-    ids.write.mode("append").partitionBy("id_date").parquet(path)
+    # Rows of a date come together, and a date too large for one file is split by size.
+    ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
     tables["fact_balance"] = spark.read.parquet(path)
 
 

@@ -119,19 +119,26 @@ def drop_duplicates(df: DataFrame, rules: Rules, id_col: str = "id") -> DataFram
     return kept.unionByName(df.filter(F.col(rules.key[0]).isNull()))
 
 
-def duplicate_count(df: DataFrame, rules: Rules) -> DataFrame:
-    groups = _candidates(df, rules).groupBy(*_keys(rules)).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+def _has_key(rules: Rules) -> Column:
+    return F.lit(True) if rules.whole_row else F.col("k0").isNotNull()
 
 
 def counters(df: DataFrame, rules: Rules) -> DataFrame:
-    """One row: rows with NULLs, duplicates, rows with bad types, their sum."""
-    flags = df.agg(
-        F.count_if(any_null(rules)).alias("nulls"), F.count_if(bad_type(rules)).alias("bad_types")
+    """One row: rows with NULLs, duplicates, rows with bad types, their sum.
+
+    One pass: rows are flagged, then counted per key with map-side aggregation.
+    """
+    flagged = df.select(*_keys(rules), any_null(rules).alias("_null"), bad_type(rules).alias("_bad"))
+    keys = [f"k{i}" for i in range(len(rules.key))]
+    per_key = flagged.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_null").alias("nulls"), F.count_if("_bad").alias("bad")
     )
-    return one_row(flags, duplicate_count(df, rules)).withColumn(
-        "total", F.col("nulls") + F.col("duplicates") + F.col("bad_types")
+    sums = per_key.agg(
+        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(_has_key(rules), F.col("n") - 1)), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_types"),
     )
+    return sums.withColumn("total", F.col("nulls") + F.col("duplicates") + F.col("bad_types"))
 
 
 def type_breakdown(df: DataFrame, rules: Rules) -> DataFrame:
@@ -189,29 +196,28 @@ def clean(
     return blanks_to_null(kept.filter(~bad_type(rules)), rules.blanks)
 
 
-def deletion_counts(df: DataFrame, rules: Rules) -> DataFrame:
+def deletion_counts(df: DataFrame, rules: Rules, id_col: str = "id") -> DataFrame:
     """One row with what ``clean`` deletes per rule; each rule sees what the last one left.
 
-    Type failures are counted on the first arrivals only, by taking the lowest-id row of
-    each key inside the aggregation.
+    One pass: the lowest-id row of each key, taken inside the aggregation, says whether
+    the row that survives rule 2 breaks rule 3. Rows without a key are all kept by rule 2.
     """
-    kept = df.filter(~any_null(rules)).withColumn("_bad", bad_type(rules))
-    keyed = kept.filter(F.col(rules.key[0]).isNotNull()).groupBy(*_keys(rules)).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "_bad")).alias("first")
-    )
-    per_key = keyed.agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
-        F.count_if(F.col("first._bad")).alias("bad_keyed"),
-    )
-    rest = df.agg(
-        F.count_if(any_null(rules)).alias("nulls"),
-        F.count_if(~any_null(rules) & F.col(rules.key[0]).isNull() & bad_type(rules)).alias("bad_rest"),
+    flagged = df.select(*_keys(rules), F.col(id_col).alias("_id"), any_null(rules).alias("_null"), bad_type(rules).alias("_bad"))
+    left = ~F.col("_null")
+    per_key = flagged.groupBy("k0").agg(
+        F.count_if("_null").alias("nulls"),
+        F.count_if(left).alias("n"),
+        F.min(F.when(left, F.struct("_id", "_bad"))).alias("first"),
+        F.count_if(left & F.col("_bad")).alias("bad"),
     )
-    joined = one_row(rest, per_key)
-    bad = F.col("bad_keyed") + F.col("bad_rest")
-    return joined.select(
-        "nulls", "duplicates", bad.alias("bad_types"), (F.col("nulls") + F.col("duplicates") + bad).alias("total")
+    keyed = F.col("k0").isNotNull()
+    bad = F.when(keyed, F.coalesce(F.col("first._bad"), F.lit(False)).cast("bigint")).otherwise(F.col("bad"))
+    sums = per_key.agg(
+        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(keyed & (F.col("n") > 1), F.col("n") - 1)), F.lit(0)).alias("duplicates"),
+        F.coalesce(F.sum(bad), F.lit(0)).alias("bad_types"),
     )
+    return sums.withColumn("total", F.col("nulls") + F.col("duplicates") + F.col("bad_types"))
 
 
 def orphan_keys(df: DataFrame, key: str, parents: DataFrame, parent_key: str | None = None) -> DataFrame:

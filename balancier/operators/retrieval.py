@@ -127,14 +127,14 @@ def by_terms(documents: DataFrame, queries: Sequence[Query], k: int = 2 * TOP_K,
     if not wanted:
         return best(spark.createDataFrame([], RESULT), k)
     whole = F.concat_ws(" ", *[F.col(t) for t in texts])
-    hits = F.filter(X.words(whole), lambda w: w.isin(*wanted))
+    listed = F.array(*[F.lit(t) for t in wanted])
     counted = F.transform(
-        F.array_distinct("hits"),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter(F.col("hits"), lambda w: w == t)).alias("tf")),
+        F.array_intersect("words", listed),
+        lambda t: F.struct(t.alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("tf")),
     )
     matched = (
-        documents.select(F.col(id_col).cast("bigint").alias("id"), hits.alias("hits"))
-        .filter(F.size("hits") > 0).select("id", F.inline(counted))
+        documents.select(F.col(id_col).cast("bigint").alias("id"), X.words(whole).alias("words"))
+        .filter(F.arrays_overlap("words", listed)).select("id", F.inline(counted))
     )
     pairs = written(matched, work_folder(spark))
     total = documents.agg(F.count(F.lit(1)).alias("n")).first()["n"]

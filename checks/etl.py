@@ -75,10 +75,10 @@ def clean_numbers(spark, sf_dir):
     ),
 )
 def clean_dates(spark, sf_dir):
-    return staging(spark, sf_dir, "stg_contrat").select(
-        "id", C.normalise_date("datouv").alias("datouv"), C.normalise_date("datech").alias("datech"),
-        C.parse_date(C.normalise_date("datouv")).alias("opened"), C.parse_date("datech").alias("due"),
+    rows = staging(spark, sf_dir, "stg_contrat").select(
+        "id", C.normalise_date("datouv").alias("datouv"), C.normalise_date("datech").alias("datech"), C.parse_date("datech").alias("due")
     )
+    return rows.withColumn("opened", C.parse_date("datouv"))
 
 
 def _values(pairs) -> str:
@@ -393,9 +393,9 @@ def dim_nullsafe_join(spark, sf_dir):
 
 
 def _small_dims(spark, sf_dir):
-    ledger = staging(spark, sf_dir, "stg_compta")
-    contracts = staging(spark, sf_dir, "stg_contrat")
+    """The ledger and the dimensions found in it, each stored before it is looked up."""
     folder = work_folder(spark)
+    ledger = written(staging(spark, sf_dir, "stg_compta"), f"{folder}/ledger")
     dims = {
         "sub_dim_agence": D.number_rows(D.agencies(ledger), ["numagence"]),
         "sub_dim_devise": D.number_rows(D.currencies(ledger, "devise", "devisebbnq"), ["devise"]),
@@ -403,7 +403,7 @@ def _small_dims(spark, sf_dir):
         "sub_dim_date": D.number_rows(D.dates(ledger, "date_bal"), ["date_value"]),
         "sub_dim_compte": D.number_rows(D.accounts(ledger), ["numcompte"]),
         "dim_client": staging(spark, sf_dir, "stg_tiers").select("idtiers").filter("idtiers IS NOT NULL").distinct(),
-        "dim_contrat": contracts.select(F.col("idcontrat").alias("id")).filter("id IS NOT NULL").distinct(),
+        "dim_contrat": staging(spark, sf_dir, "stg_contrat").select(F.col("idcontrat").alias("id")).filter("id IS NOT NULL").distinct(),
     }
     return ledger, {n: written(df, f"{folder}/{n}") for n, df in dims.items()}
 

@@ -68,7 +68,7 @@ STG_CONTRAT = (
     f"SELECT o_orderkey + 1000000000001 AS id, {_CONTRAT} FROM {{orders}} WHERE o_orderkey % 11 = 6"
 )
 
-_LINES = """(SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_shipdate) AS d,
+_LINES = """(SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s, min(CAST(date_trunc('month', l_shipdate) AS DATE)) AS d,
     CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS net,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS gross,
     CAST(sum(CAST(l_quantity AS DECIMAL(18,0))) AS DECIMAL(18,0)) AS qty

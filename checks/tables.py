@@ -97,10 +97,14 @@ _DATES_DUCKDB = f"SELECT {_MONTH} FROM generate_series(DATE '1995-01-01', DATE '
 _FACT_NO_CLIENT = "SELECT" + _FACT_COLUMNS.replace("{client}", "CAST(NULL AS STRING)") + "FROM {lineitem}"
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
-    """Run shared SQL on the test tables."""
-    used = {t: table(spark, sf_dir, t) for t in TEST_TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used, **more)
+def view(spark: SparkSession, sf_dir: str, sql: str, opened: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run shared SQL on the test tables. ``opened`` keeps tables for the next view."""
+    opened = {} if opened is None else opened
+    used = [t for t in TEST_TABLES if "{" + t + "}" in sql]
+    for t in used:
+        if t not in opened:
+            opened[t] = table(spark, sf_dir, t)
+    return spark.sql(sql, **{t: opened[t] for t in used})
 
 
 class Datamart(dict):
@@ -109,12 +113,13 @@ class Datamart(dict):
     def __init__(self, spark: SparkSession, sf_dir: str, client: bool):
         super().__init__()
         self._at = spark, sf_dir
+        self._opened: dict[str, DataFrame] = {}
         self._sql = {**DATAMART_SQL, "sub_dim_date": _DATES_SPARK}
         if not client:
             self._sql["fact_balance"] = _FACT_NO_CLIENT
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = view(*self._at, self._sql[name])
+        self[name] = view(*self._at, self._sql[name], self._opened)
         return self[name]
 
 
