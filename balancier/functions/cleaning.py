@@ -22,6 +22,9 @@ DATE_LAYOUTS = (  # pattern, where year, month and day start
 )
 
 
+_SPACES = " \t\n\x0b\f\r\u00a0"
+
+
 def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -38,7 +41,7 @@ def guarded(c: Column | str, dtype: str = "int", pattern: str = INTEGER) -> Colu
 
 def number_text(c: Column | str) -> Column:
     """Locale number text: no spaces of any kind, a dot as decimal sign."""
-    return F.replace(F.regexp_replace(blank_to_null(c), r"[\s\u00A0]", ""), F.lit(","), F.lit("."))
+    return F.translate(blank_to_null(c), "," + _SPACES, ".")
 
 
 def clean_long(c: Column | str) -> Column:

@@ -175,6 +175,15 @@ def needed_roles(fields: Iterable[str]) -> list[str]:
     return [a for a in NODES if a in wanted and a != FACT]
 
 
+def _join_order(roles: list[str]) -> list[str]:
+    """The date first, then small tables, then customers and contracts.
+
+    A filter on a joined table turns its join into an inner one; early joins then spare
+    the later, shuffled ones the rows they drop.
+    """
+    return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table.startswith("dim_")))
+
+
 def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -> DataFrame:
     """The flat view over the fields asked for (all 57 by default), one row per fact.
 
@@ -188,7 +197,7 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
 
     def branch(alias: str) -> DataFrame:
         node = NODES[alias]
-        children = [r for r in roles if NODES[r].parent == alias]
+        children = _join_order([r for r in roles if NODES[r].parent == alias])
         own = [f.column for f in FIELDS if f.alias == alias and f in used]
         links = [NODES[r].parent_key for r in children]
         keep = list(dict.fromkeys([*([node.key] if node.key else []), *own, *links]))

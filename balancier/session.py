@@ -30,18 +30,21 @@ def build_session(app: str = "balancier", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_local_base: str | None = None
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder that every executor can read and write.
 
     It lies under ``spark.checkpoint.dir``. Only a local session, whose executors
     share the driver's disk, may go without that setting.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="balancier-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base = _local_base or tempfile.mkdtemp(prefix="balancier-")
     return f"{base.rstrip('/')}/balancier-{uuid.uuid4().hex}"
 
 

@@ -340,3 +340,18 @@ def page_listing(spark, sf_dir):
 )
 def page_contracts(spark, sf_dir):
     return P.contract_page(datamart(spark, sf_dir), page=-1, size=50).items
+
+
+@check(
+    "page_balances",
+    with_views(DATAMART_VIEWS, """SELECT b.id, b.id_client, b.id_contrat, b.soldeorigine, CAST(b.soldeconvertie AS DOUBLE) AS soldeconvertie, b.cumulmvtdb, b.cumulmvtcr,
+    b.soldeinitdebmois, b.amount, b.actif, a.numagence, d.devise, k.devise AS devisebanque, c.libellecompte, h.chapitre, t.date_value AS datevalue
+    FROM (SELECT * FROM fact_balance ORDER BY id, soldeorigine, id_compte, soldeconvertie LIMIT 30 OFFSET 30) b LEFT JOIN sub_dim_agence a ON a.id = b.id_agence
+    LEFT JOIN sub_dim_devise d ON d.id = b.id_devise LEFT JOIN sub_dim_devise k ON k.id = b.id_devisebnq LEFT JOIN sub_dim_compte c ON c.id = b.id_compte
+    LEFT JOIN sub_dim_chapitre h ON h.id = b.id_chapitre LEFT JOIN sub_dim_date t ON t.id = b.id_date"""),
+)
+def page_balances(spark, sf_dir):
+    """Test facts share ids, so amounts break the ties."""
+    tables = datamart(spark, sf_dir)
+    rows = P.page_of(tables["fact_balance"], ["id", "soldeorigine", "id_compte", "soldeconvertie"], 1, 30).items
+    return P.labelled(rows, tables, P.BALANCE_LABELS).withColumn("soldeconvertie", F.col("soldeconvertie").cast("double"))

@@ -10,6 +10,7 @@ from balancier.operators import datamart as D
 from balancier.operators import quality as Q
 from balancier.session import work_folder, written
 from balancier.sources import load as L
+from balancier.sources.tabular import tidy
 from checks.registry import check
 from checks.staging import staging, staging_sql
 from checks.tables import duck, table, view
@@ -239,12 +240,12 @@ def dq_violations_types(spark, sf_dir):
     return Q.violations(staging(spark, sf_dir, "stg_tiers"), Q.CUSTOMERS, "types").select("id", "idtiers", "agenteco")
 
 
-def _stage_sql(rules: Q.Rules, source: str) -> str:
+def _stage_sql(rules: Q.Rules, source: str, p: str = "s") -> str:
     """CTEs s1 (rule 1 survivors), s2 (and rule 2), s3 (and rule 3)."""
     key = rules.key[0]
-    return f"""s1 AS (SELECT * FROM {source} WHERE NOT {null_sql(rules)}),
-        s2 AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY id) AS rn FROM s1) WHERE rn = 1 OR {key} IS NULL),
-        s3 AS (SELECT * FROM s2 WHERE NOT ({' OR '.join(bad_sql(rules).values())}))"""
+    return f"""{p}1 AS (SELECT * FROM {source} WHERE NOT {null_sql(rules)}),
+        {p}2 AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY id) AS rn FROM {p}1) WHERE rn = 1 OR {key} IS NULL),
+        {p}3 AS (SELECT * FROM {p}2 WHERE NOT ({' OR '.join(bad_sql(rules).values())}))"""
 
 
 @check(
@@ -481,3 +482,59 @@ def mapped_load(spark, sf_dir):
     types = {"id": "bigint", "nomprenom": "string", "solde": "decimal(18,2)", "chiffreaffaires": "int", "date_bal": "date"}
     out = L.project(view(spark, sf_dir, _SUPPLIER), MAPPING, types, date_bal="31/03/2024")
     return out.withColumn("solde", F.col("solde").cast("double"))
+
+
+@check(
+    "dim_accounts",
+    staging_sql(
+        f"""SELECT numcompte, max(l) AS libellecompte FROM (SELECT {int_sql('compte', 'BIGINT')} AS numcompte, nullif(trim(libellecompte), '') AS l FROM stg_compta)
+        WHERE numcompte IS NOT NULL GROUP BY 1""",
+        "stg_compta",
+    ),
+)
+def dim_accounts(spark, sf_dir):
+    return D.accounts(staging(spark, sf_dir, "stg_compta"))
+
+
+_LABEL = "CASE z " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.ZONE_LABELS.items()) + " ELSE 'Autres Etats' END"
+
+
+@check(
+    "dim_residences",
+    staging_sql(
+        f"""SELECT DISTINCT nullif(trim(nationalite), '') AS pays, nullif(trim(c.residence), '') AS residence, {_LABEL} AS geo FROM
+        (SELECT t.*, CASE WHEN t.residence IS NOT NULL THEN coalesce(m.zone, 144) END AS z FROM stg_tiers t
+         LEFT JOIN {_values(R.ZONES.items())} m(pays, zone) ON m.pays = upper(trim(t.residence))) c
+        WHERE nullif(trim(nationalite), '') IS NOT NULL OR nullif(trim(c.residence), '') IS NOT NULL OR z IS NOT NULL""",
+        "stg_tiers",
+    ),
+)
+def dim_residences(spark, sf_dir):
+    return D.residences(R.recode_customers(staging(spark, sf_dir, "stg_tiers")))
+
+
+@check(
+    "datamart_load",
+    staging_sql("").rstrip() + ",\n" + _stage_sql(Q.CUSTOMERS, "stg_tiers", "cu") + ",\n" + _stage_sql(Q.CONTRACTS, "stg_contrat", "co")
+    + """ SELECT 'dim_client' AS "table", count(DISTINCT nullif(trim(idtiers), '')) AS rows FROM cu3
+    UNION ALL SELECT 'dim_contrat', count(DISTINCT nullif(trim(idcontrat), '')) FROM co3
+    UNION ALL SELECT 'fact_balance', count(*) FROM (""" + _FACT_FROM.replace("FROM stg_tiers t", "FROM cu3 t").replace("FROM stg_contrat k", "FROM co3 k") + ")",
+)
+def datamart_load(spark, sf_dir):
+    """Clean, recode and load all three staging tables, then count the large ones."""
+    folder = work_folder(spark)
+    clean = D.clean_staging(*[staging(spark, sf_dir, n) for n in ("stg_tiers", "stg_contrat", "stg_compta")], folder)
+    return D.table_counts(D.load_datamart(spark, *clean, f"{folder}/mart"))
+
+
+_SHEET = """SELECT CASE WHEN page_id % 4 = 0 THEN ' ' ELSE concat(' ', url) END AS ` Url `, CASE WHEN page_id % 4 = 0 THEN NULL ELSE html END AS Content,
+    CASE WHEN page_id % 8 = 4 THEN 'x ' ELSE '' END AS `  ` FROM {pages}"""
+
+
+@check(
+    "sheet_rows",
+    f"""SELECT trim(" Url ") AS url, coalesce(trim(Content), '') AS content, trim("  ") AS col_2 FROM ({duck(_SHEET).replace('`', '"')})
+    WHERE trim(" Url ") <> '' OR coalesce(trim(Content), '') <> '' OR trim("  ") <> ''""",
+)
+def sheet_rows(spark, sf_dir):
+    return tidy(view(spark, sf_dir, _SHEET))

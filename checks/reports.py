@@ -171,6 +171,12 @@ def dashboard_fill_report(spark, sf_dir):
     return B.fill(datamart(spark, sf_dir), ratios, METRICS, _stored(spark, sf_dir)).report
 
 
+@check("dashboard_new_ratio", LONG + " SELECT 7 AS id_ratios, 'RL' AS code, reference_date, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS error FROM cells WHERE code = 'RL'")
+def dashboard_new_ratio(spark, sf_dir):
+    rows = B.fill(datamart(spark, sf_dir), {"RL": (7, RATIOS["RL"])}, METRICS).rows
+    return rows.withColumn("value", F.round("value", 6))
+
+
 _LISTING = """SELECT s.id, s.id_ratios, c.code, c.label, c.description, c.famille_id, c.categorie_id, f.name AS famille_code, k.name AS categorie_code,
     c.seuil_tolerance, c.seuil_alerte, c.seuil_appetence, round(s.ratios_value, 6) AS value, s.reference_date FROM stored s
     LEFT JOIN config c ON c.id = s.id_ratios LEFT JOIN (VALUES (1, 'Solidite'), (2, 'Structure')) f(id, name) ON f.id = c.famille_id

@@ -9,6 +9,7 @@ from balancier.operators import metrics as M
 from balancier.operators import quality as Q
 from balancier.session import work_folder
 from checks.staging import staging
+from tests.plans import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,6 +79,14 @@ def test_loaded_star_answers_metrics(loaded):
     assert M.reference_dates(t).count() > 1
 
 
+def test_reference_date_prunes_fact_partitions(loaded):
+    _, t = loaded
+    day = M.reference_dates(t, latest=1).first()[0]
+    df = M.metric(t, {"expression": {"type": "AGGREGATION", "function": "SUM", "field": "amount"}}, at=day)
+    assert "dynamicpruning" in text(df)
+    assert "amount:bigint>" in text(df) and "soldeorigine" not in text(df)
+
+
 def test_far_page_equals_near_page(loaded, monkeypatch):
     _, t = loaded
     near = [tuple(r) for r in P.balance_page(t, 7, 13).items.collect()]
