@@ -523,7 +523,8 @@ def dim_residences(spark, sf_dir):
 def datamart_load(spark, sf_dir):
     """Clean, recode and load all three staging tables, then count the large ones."""
     folder = work_folder(spark)
-    clean = D.clean_staging(*[staging(spark, sf_dir, n) for n in ("stg_tiers", "stg_contrat", "stg_compta")], folder)
+    raw = [written(staging(spark, sf_dir, n), f"{folder}/raw_{n}") for n in ("stg_tiers", "stg_contrat", "stg_compta")]
+    clean = D.clean_staging(*raw, folder)
     return D.table_counts(D.load_datamart(spark, *clean, f"{folder}/mart"))
 
 
