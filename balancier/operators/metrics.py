@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from balancier.functions import predicates as P
 from balancier.plans.catalog import column_of, resolve, star
-from balancier.plans.specs import Spec, fields_of, has_aggregate, metric_column, read_spec, row_value, scalar_column
+from balancier.plans.specs import Spec, fields_of, has_aggregate, metric_column, read_spec, reading_of, row_value, scalar_column
 
 DATE_FIELD = "subDimDate.dateValue"
 
@@ -38,7 +38,7 @@ def metric(tables: Mapping[str, DataFrame], raw: Mapping, at: str | date | None
         rows = rows.filter(P.predicate(spec.where))
     groups = [column_of(g).alias(resolve(g).flat) for g in spec.group_by]
     if has_aggregate(spec.expression):
-        value = metric_column(spec.expression).alias("value")
+        value = metric_column(spec.expression, reading=reading_of(rows)).alias("value")
         out = rows.groupBy(*groups).agg(value) if groups else rows.agg(value)
     else:
         keep = [c for name, _ in spec.order_by if name.lower() != "value" for c in [resolve(name).flat]]
@@ -48,9 +48,10 @@ def metric(tables: Mapping[str, DataFrame], raw: Mapping, at: str | date | None
     return out.limit(spec.limit) if spec.limit else out
 
 
-def metric_columns(specs: Mapping[str, Spec]) -> list[Column]:
+def metric_columns(specs: Mapping[str, Spec], rows: DataFrame) -> list[Column]:
     """Scalar metrics as aggregate Columns named by code, each with its own row filter."""
-    return [scalar_column(s).alias(code) for code, s in specs.items()]
+    reading = reading_of(rows)
+    return [scalar_column(s, reading).alias(code) for code, s in specs.items()]
 
 
 def read_scalars(raw: Mapping[str, Mapping]) -> dict[str, Spec]:
@@ -64,7 +65,7 @@ def metrics_at(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], at:
     rows = star(tables, fields)
     if at:
         rows = rows.filter(column_of(DATE_FIELD) == F.lit(_as_date(at)))
-    return rows.agg(*metric_columns(specs))
+    return rows.agg(*metric_columns(specs, rows))
 
 
 def metrics_by_date(
@@ -75,7 +76,7 @@ def metrics_by_date(
     rows = star(tables, [*(f for s in specs.values() for f in fields_of(s)), DATE_FIELD])
     day = column_of(DATE_FIELD)
     rows = rows.filter(day.isNotNull() if only is None else day.isin(*only))
-    return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs))
+    return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs, rows))
 
 
 def to_long(wide: DataFrame, codes: Iterable[str], keys: Iterable[str] = (), code: str = "code", value: str = "value") -> DataFrame:

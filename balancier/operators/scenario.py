@@ -15,7 +15,7 @@ from balancier.functions import predicates as P
 from balancier.operators import metrics as M
 from balancier.operators import ratios as R
 from balancier.plans.catalog import SpecError, column_of, resolve, star
-from balancier.plans.specs import NEAR_ZERO, Reading, fields_of, read_spec, scalar_column
+from balancier.plans.specs import NEAR_ZERO, fields_of, read_spec, reading_of, scalar_column
 
 # Columns a balance shock may change, its operations, tolerances.
 SHOCK_FIELDS = ("soldeorigine", "soldeconvertie", "cumulmvtdb", "cumulmvtcr", "soldeinitdebmois", "amount")
@@ -258,7 +258,7 @@ def balance_scenario(
     hit = reached([s.field for s in shocks], metrics, ratios)
     rows = _rows(tables, [f for s in specs.values() for f in fields_of(s)], shocks, at)
     rows, swap = apply_shocks(rows, shocks)
-    base, shocked = Reading(None, True), Reading(swap, True)
+    base, shocked = reading_of(rows, None, True), reading_of(rows, swap, True)
     columns = [scalar_column(s, base).alias(f"b_{c}") for c, s in specs.items()]
     columns += [scalar_column(s, shocked).alias(f"s_{c}") for c, s in specs.items() if c in hit[0]]
     one = with_verdict(rows.agg(*total_columns(shocks), *columns)).first().asDict()
@@ -300,7 +300,7 @@ def metric_scenario(
     specs, _ = _specs(scoped)
     formulas = {c: read_spec(a["formula"]) for c, a in last.items() if a["operation"] == "MODIFY_FORMULA"}
     rows = _rows(tables, [f for s in (*specs.values(), *formulas.values()) for f in fields_of(s)], [], at)
-    reading = Reading(None, True)
+    reading = reading_of(rows, None, True)
     columns = [scalar_column(s, reading).alias(f"b_{c}") for c, s in specs.items()]
     columns += [scalar_column(s, reading).alias(f"n_{c}") for c, s in formulas.items()]
     one = rows.agg(F.count(F.lit(1)).alias("rows_read"), *columns).first().asDict()

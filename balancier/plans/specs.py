@@ -7,8 +7,9 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from balancier.functions import predicates as P
 from balancier.plans.catalog import SpecError, column_of, exists, resolve
@@ -150,17 +151,26 @@ class Reading(NamedTuple):
     """How to read the star: which columns stand in for others, and the what-if rules.
 
     In a what-if, empty aggregates and divisions by (nearly) zero count as 0 and
-    patterns ignore case.
+    patterns ignore case. ``whole`` names 64-bit integer columns: their sums run on
+    decimals, as the total of a large table need not fit 64 bits.
     """
 
     swap: Mapping[str, str] | None = None
     what_if: bool = False
+    whole: frozenset[str] = frozenset()
 
     def filter(self, node: Any) -> Column:
         return P.predicate(node, self.what_if, self.swap)
 
 
 PLAIN = Reading()
+
+
+def reading_of(rows: DataFrame, swap: Mapping[str, str] | None = None, what_if: bool = False) -> Reading:
+    whole = frozenset(f.name for f in rows.schema if isinstance(f.dataType, T.LongType))
+    return Reading(swap, what_if, whole)
+
+
 NEAR_ZERO = 1e-12
 
 
@@ -189,6 +199,9 @@ def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
         x = row_value(node["expression"], reading)
     elif node.get("field"):
         x = column_of(node["field"], reading.swap)
+        flat = resolve(node["field"]).flat
+        if function in ("SUM", "AVG") and (reading.swap or {}).get(flat, flat) in reading.whole:
+            x = x.cast("decimal(20,0)")
     else:
         x = F.lit(1)
     keep = [c for c in (where, reading.filter(node["filters"]) if node.get("filters") else None) if c is not None]
@@ -199,10 +212,11 @@ def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
         return (F.count_distinct(x) if distinct else F.count(x)).cast("double")
     if function == "SUM":
         out = (F.sum_distinct(x) if distinct else F.sum(x)).cast("double")
-    elif function == "AVG" and distinct:
-        out = F.sum_distinct(x).cast("double") / F.nullif(F.count_distinct(x).cast("double"), F.lit(0.0))
+    elif function == "AVG":  # an exact sum, whatever order the rows come in
+        total, n = (F.sum_distinct(x), F.count_distinct(x)) if distinct else (F.sum(x), F.count(x))
+        out = total.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))
     else:
-        out = {"AVG": F.avg, "MIN": F.min, "MAX": F.max}[function](x).cast("double")
+        out = {"MIN": F.min, "MAX": F.max}[function](x).cast("double")
     return F.coalesce(out, F.lit(0.0)) if reading.what_if else out
 
 
