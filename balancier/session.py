@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.codegen.maxFields": "1000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts: a batch for the chunk cutter is bounded by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
