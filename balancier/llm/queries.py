@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancier.llm import fingerprints, packing, quality, sentences, token_files, warc
+from balancier.llm import fingerprints, jaccard, packing, quality, sentences, token_files, warc
 from balancier.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ FROM p LEFT JOIN last ON last.body = p.body
 @query
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(spark, table(spark, sf_dir, "documents"))
