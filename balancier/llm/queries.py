@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancier.llm import fingerprints, jaccard, packing, quality, sentences, token_files, warc
+from balancier.llm import factors, fingerprints, jaccard, packing, quality, sentences, substrings, token_files, warc
 from balancier.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,15 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = factors.dedup(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

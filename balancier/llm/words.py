@@ -13,7 +13,7 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype="u1")
 LOWER[65:91] += 32
 
-_BYTE = np.random.default_rng(20_240_101).integers(0, 2**64, 256, "u8", endpoint=False)
+BYTE = np.random.default_rng(20_240_101).integers(0, 2**64, 256, "u8", endpoint=False)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of words hashed at once.
 CHUNK = 1 << 20
@@ -67,7 +67,7 @@ def split_bytes(data: np.ndarray, offsets: np.ndarray) -> Words:
         heads = start[at:stop] - a
         own = inside[a:b]
         place = np.arange(b - a) - np.repeat(heads, np.diff(np.append(heads, b - a)))
-        values = np.where(own, _BYTE[data[a:b]] * mix(place.astype("u8") + _STEP), np.uint64(0))
+        values = np.where(own, BYTE[data[a:b]] * mix(place.astype("u8") + _STEP), np.uint64(0))
         hashes[at:stop] = np.add.reduceat(values, heads)
         at = stop
     hashes = mix(hashes + (end - start).astype("u8") * _STEP)
