@@ -15,14 +15,15 @@ from balancier.session import work_folder, written
 NULL_ID = -(2**63)
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` alone: null texts are empty, null ids the smallest id.
+def documents(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id, text`` (and ``more``) alone: null texts are empty, null ids the smallest id.
 
     Other columns are left behind here, so their names cannot clash with an operator's own.
     """
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *more,
     )
 
 
@@ -41,7 +42,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     size = 0
     for batch in batches:
         start = 0
-        for i, row in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        for i, row in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
             if size and size + row > limit:
                 held.append(batch.slice(start, i - start))
                 yield _joined(held)

@@ -122,16 +122,16 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
     return own.doc[at], P.pack(start[at] + runs[:, 0], runs[:, 1], tag[at])
 
 
-def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFrame:
-    """``doc_id, tag, n_words, n_removed, kept``: texts without the passages that stand anywhere else.
+def dedup(spark: SparkSession, docs: DataFrame, *carry: str, width: int = WIDTH, k: int = GRAM) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` and the columns ``carry``: texts without the passages that stand anywhere else.
 
     Every word goes that a window of ``width`` words covers whose words also start somewhere
     else, in the same document or another; the rest is joined by single spaces. Rows equal in id
     and text are one document, whose row is repeated. Null and empty texts keep nothing.
-    ``tag`` is 16 bits of the text's hash.
     """
     kind = words_kind(width, k)
-    docs = P.tagged(docs)
+    docs = P.tagged(docs, *carry)
+    extra = ["carried"] if carry else []
     gone = P.spans(spark, docs, kind, lambda own: duplicates(own, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +152,12 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, k: int = GRA
             left = [text[heads[a] : ends[b - 1] - 1] if b > a else b"" for a, b in zip(first, last)]
             total = np.diff(words.first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tag"), pa.array(total.astype("i8")), pa.array((total - counts).astype("i8")),
+                [batch.column("doc_id"), *[batch.column(c) for c in extra], pa.array(total.astype("i8")), pa.array((total - counts).astype("i8")),
                  pa.array(left, pa.binary()).cast(pa.string())],
-                ["doc_id", "tag", "n_words", "n_removed", "kept"],
+                ["doc_id", *extra, "n_words", "n_removed", "kept"],
             )
 
     found = P.beside(docs, gone, "left", F.col("span"))
-    return null_ids(found.mapInArrow(run, "doc_id long, tag long, n_words long, n_removed long, kept string"), "doc_id")
+    carried = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in extra)
+    out = found.mapInArrow(run, f"doc_id long, {carried}n_words long, n_removed long, kept string")
+    return null_ids(out, "doc_id").select("doc_id", *[f"carried.{c}" for c in carry], "n_words", "n_removed", "kept")

@@ -177,7 +177,7 @@ def contexts(docs: DataFrame, kind: Kind) -> DataFrame:
         if held:
             yield meet_locally(*map(np.concatenate, zip(*held)), kind.keep_first)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, ROW)
 
 
 def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
@@ -243,23 +243,26 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "span").mapInArrow(run, ROW)
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, tag``: ids and texts without nulls, and 16 bits of the text's hash."""
-    return documents(docs).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+def tagged(docs: DataFrame, *carry: str) -> DataFrame:
+    """``doc_id, text, tag, carried``: no nulls in id and text, 16 bits of the text's hash, other columns to keep."""
+    carried = docs.select(F.struct(*[F.col(c) for c in carry]).alias("carried"), "doc_id", "text") if carry else docs
+    rows = documents(docs) if not carry else documents(carried, "carried")
+    return rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
 
 
 def _small(docs: DataFrame) -> DataFrame:
     """Texts compressed before they are shuffled."""
+    extra = [c for c in docs.columns if c == "carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in blocks(batches, "text", BLOCK):
             small = [press.compress(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tag"), pa.array(small, pa.binary())], ["doc_id", "tag", "small"]
-            )
+            names = ["doc_id", "tag", *extra]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(small, pa.binary())], [*names, "small"])
 
-    return docs.mapInArrow(run, "doc_id long, tag long, small binary")
+    carried = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in extra)
+    return docs.mapInArrow(run, f"doc_id long, tag long, {carried}small binary")
 
 
 def beside(docs: DataFrame, rows: DataFrame, how: str, *fields: Column) -> DataFrame:
@@ -288,7 +291,7 @@ class Contexts(NamedTuple):
 def opened(docs: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
     """OPEN rows with the units of their contexts; of HOT ones a row for each window, met within the task."""
     named = rows.where(F.col("kind").isin(OPEN, HOT)).withColumn("key", F.when(F.col("kind") == HOT, F.col("ctx")).otherwise(F.col("key")))
-    found = beside(docs, named, "inner", F.col("kind"), F.col("key"), F.col("span"))
+    found = beside(docs.select("doc_id", "text", "tag"), named, "inner", F.col("kind"), F.col("key"), F.col("span"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "small", BLOCK // 4):

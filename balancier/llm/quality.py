@@ -118,16 +118,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return np.frombuffer(found["weights"], "f4").astype("f8")
 
 
+def _scores(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
+    row, found, weight = features(batch.column("text").fill_null(""))
+    return sigmoid(np.bincount(row, weights[found] * weight, batch.num_rows) + weights[-1])
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document; an empty text has the constant alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", BLOCK):
-            row, found, weight = features(batch.column("text"))
-            total = np.bincount(row, weights[found] * weight, batch.num_rows) + weights[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(total))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch, weights))], ["doc_id", "score"])
 
     scored = null_ids(documents(docs).mapInArrow(run, "doc_id long, score double"), "doc_id")
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is predicted to be good."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", BLOCK):
+            yield batch.filter(pa.array(_scores(batch, weights) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balancier.llm import factors, fingerprints, jaccard, packing, quality, sentences, substrings, token_files, warc
+from balancier.llm import factors, fingerprints, jaccard, packing, quality, sentences, substrings, token_files, vectors, warc
 from balancier.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = factors.dedup(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
