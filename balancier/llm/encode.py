@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
-#: The byte-level pattern always ends a token between a letter or digit and one of these marks:
-#: ids of the parts between such places, put together, are the ids of the whole text.
-PARTS = re.compile(r"(?<=[a-zA-Z0-9À-ÖØ-öø-ÿ])(?=[ \n,.;:!?])")
-#: Characters of parts given to the library at once, and how many parts a worker remembers.
-AT_ONCE, REMEMBERED = 262_144, 600_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Characters given to the library at once, and parts of texts that a worker remembers, twice over.
+AT_ONCE, REMEMBERED = 65_536, 400_000
+#: The byte-level pattern never carries a token from a letter or digit across a space.
+CUT = re.compile(r"(?<=[a-zA-Z0-9À-ÖØ-öø-ÿ])(?= )")
 
 _LOADED: dict = {}
 
@@ -25,31 +27,103 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes a part once for as long as it is remembered: texts repeat most of their words."""
+    """Encodes a part of a text once for as long as it is remembered: texts repeat most of their words.
+
+    A space or newline with other characters on both sides always starts a token, and that token
+    alone of its part starts with it. So parts can be encoded together, as one text, and told
+    apart again; and the ids of the parts, put together, are the ids of the whole. Texts where
+    white space meets white space, or ends them, are encoded as they are.
+    """
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: list[str]) -> None:
-        group, size = [], 0
-        for i, part in enumerate(parts):
-            group.append(part)
-            size += len(part)
-            if size >= AT_ONCE or i == len(parts) - 1:
-                for p, e in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False)):
-                    self.known[p] = array("I", e.ids).tobytes()
-                group, size = [], 0
-
-    def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        """Per text its ids and the end id, as unsigned 32-bit little-endian numbers."""
-        cut = [PARTS.split(t) for t in texts]
-        seen = set().union(*cut)
-        if len(self.known) > REMEMBERED:  # go on with what the texts at hand use
-            self.known = {p: self.known[p] for p in seen & self.known.keys()}
-        self.learn(list(seen - self.known.keys()))
-        find, last = self.known.__getitem__, array("I", [end]).tobytes()
-        return [b"".join([*map(find, own), last]) for own in cut]
+        names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
+        self.opens = {mark: np.array([n.startswith(name) for n in names]) for mark, name in ((" ", "Ġ"), ("\n", "Ċ"))}
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.first: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by itself, in pieces if it is long."""
+        out, held, size = [], [], 0
+        for piece in CUT.split(text) if len(text) > AT_ONCE else [text]:
+            if size and size + len(piece) > AT_ONCE:
+                out.append(self.ids("".join(held)).tobytes())
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece)
+        return b"".join([*out, self.ids("".join(held)).tobytes()])
+
+    def learn(self, parts: list[str], mark: str) -> None:
+        """Ids of parts that each start with ``mark``, encoded many at a time."""
+        at = 0
+        while at < len(parts):
+            stop, size = at, 0
+            while stop < len(parts) and (stop == at or size + len(parts[stop]) <= AT_ONCE):
+                size += len(parts[stop]) + 1
+                stop += 1
+            ids = self.ids("".join([mark + p for p in parts[at:stop]]))
+            starts = np.append(np.flatnonzero(self.opens[mark][ids]), len(ids)) * 4
+            if len(starts) != stop - at + 1:
+                raise ValueError("a part has not one token that starts with its mark")
+            data, ends = ids.tobytes(), starts.tolist()
+            for p, a, b in zip(parts[at:stop], ends, ends[1:]):
+                self.known[p if mark == " " else mark + p] = data[a:b]
+            at = stop
+
+    def remember(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of parts after a space, or of a line's first part, with its newline; None for other white space."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+            self.first.clear()
+        spaced, lined = [], []
+        for p in parts:
+            if p not in self.known:
+                bare = p[1:] if p.startswith("\n") else p
+                if p in self.older:
+                    self.known[p] = self.older[p]
+                elif not bare or bare[0].isspace() or bare[-1].isspace():
+                    self.known[p] = None
+                elif bare is p:
+                    spaced.append(p)
+                else:
+                    lined.append(bare)
+        self.learn(spaced, " ")
+        self.learn(lined, "\n")
+        return [self.known[p] for p in parts]
+
+    def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, as unsigned 32-bit numbers; and the texts' offsets in them."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts, which, offsets = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.asarray(lists.offsets)
+        offsets = offsets - offsets[0]
+        found = self.remember(parts)
+        odd = np.array([x is None for x in found], bool)
+        odd_rows = np.logical_or.reduceat(odd[which] & ~np.isin(np.arange(len(which)), offsets[:-1]), offsets[:-1]) if odd.any() else ()
+        heads = [parts[i] for i in which[offsets[:-1]].tolist()]
+        for head in heads:
+            if head not in self.first:
+                self.first[head] = self.whole(head) if head else b""
+        table = [*[x or b"" for x in found], *[self.first[h] for h in heads], np.array([end], "<u4").tobytes()]
+        size = np.array([len(x) // 4 for x in table])
+        start = np.cumsum(size) - size
+        which = which.astype("i8")
+        which[offsets[:-1]] = len(parts) + np.arange(len(heads))
+        order = np.insert(which, offsets[1:], len(table) - 1)
+        sizes = size[order]
+        ends = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(table), "<u4")[np.arange(ends[-1]) + np.repeat(start[order] - ends + sizes, sizes)]
+        out = np.append(0, ends[offsets[1:] + np.arange(len(heads))])
+        if np.any(odd_rows):
+            rows = [ids[a:b] for a, b in zip(out[:-1], out[1:])]
+            for i in np.flatnonzero(odd_rows).tolist():
+                rows[i] = np.append(np.frombuffer(self.whole(texts[i].as_py()), "<u4"), np.uint32(end))
+            ids, out = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+        return ids, out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -22,7 +22,7 @@ from balancier.llm.common import blocks, documents, kept, null_ids
 from balancier.llm.encode import encoder
 
 CAPACITY = 2048
-BLOCK = 2 * 1024 * 1024
+BLOCK = 4 * 1024 * 1024
 
 
 class Pattern(NamedTuple):
@@ -146,12 +146,13 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY) -> Da
         enc = encoder(path)
         for batch in blocks(batches, "text", BLOCK):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc(batch.column("text").to_pylist(), end)):
-                n = len(ids) // 4
+            ids, offsets = enc(batch.column("text"), end)
+            data = ids.tobytes()
+            for doc, at, n in zip(batch.column("doc_id").to_pylist(), offsets.tolist(), np.diff(offsets).tolist()):
                 first = (n - 1) % capacity + 1
                 starts = [0, *range(first, n, capacity)]
                 for i, (a, b) in enumerate(zip(starts, [*starts[1:], n])):
-                    rows.append((doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    rows.append((doc, i, a, b - a, zlib.crc32(data[4 * (at + a) : 4 * (at + b)])))
             columns = zip(*rows)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
                 model.learn(at, values.astype("f8"), label)
         yield pd.DataFrame({"weights": [model.weights(slice(None)).astype("f4").tobytes()]})
 
-    found = rows.coalesce(1).mapInPandas(learn, "weights binary").first()
+    found = rows.repartition(1).mapInPandas(learn, "weights binary").first()
     return np.frombuffer(found["weights"], "f4").astype("f8")
 
 

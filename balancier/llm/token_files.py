@@ -21,7 +21,7 @@ from balancier.llm.encode import encoder
 #: Rows between two entries of the row index and of the Bloom filters; smaller than ORC's own
 #: default because a row is a whole document.
 STRIDE = 1000
-BLOCK = 2 * 1024 * 1024
+BLOCK = 4 * 1024 * 1024
 
 
 def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -34,11 +34,9 @@ def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for batch in blocks(batches, "text", BLOCK):
-            ids = [np.frombuffer(x, "<i4") for x in enc(batch.column("text").to_pylist(), end)]
-            n = np.array([len(x) for x in ids], "i8")
-            ends = np.cumsum(n)
-            offsets = pa.array(np.concatenate([[0], ends]).astype("i4"))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+            ids, offsets = enc(batch.column("text"), end)
+            n, ends = np.diff(offsets), offsets[1:]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(ids.view("i4")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, "i4")), pa.array(at + ends - n), pa.array(n), lists],
                 ["doc_id", "part", "start_in_part", "n_tokens", "token_ids"],
