@@ -9,10 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Characters given to the library at once, and parts of texts that a worker remembers, twice over.
-AT_ONCE, REMEMBERED = 65_536, 400_000
+from balancier.llm import words as W
+
+#: Characters given to the library at once, and parts of texts that a worker remembers.
+AT_ONCE, REMEMBERED = 65_536, 2_000_000
 #: The byte-level pattern never carries a token from a letter or digit across a space.
 CUT = re.compile(r"(?<=[a-zA-Z0-9À-ÖØ-öø-ÿ])(?= )")
+#: Nor from a letter to one of these marks, which are parted from words with a sign of their own.
+STOP, SIGN = "([a-zà-öø-ÿ])([,.;:!?])", "\x01"
 
 _LOADED: dict = {}
 
@@ -39,9 +43,14 @@ class Encoder:
         self.library = tokenizer(path)
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.opens = {mark: np.array([n.startswith(name) for n in names]) for mark, name in ((" ", "Ġ"), ("\n", "Ċ"))}
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
         self.first: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        # Parts by their hash, in its order; their ids are data[start : start + size], of odd parts none.
+        self.hash, self.start, self.size = np.zeros(0, "u8"), np.zeros(0, "i4"), np.zeros(0, "i4")
+        self.data = np.zeros(0, "<u4")
+        self.first.clear()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -57,68 +66,92 @@ class Encoder:
             size += len(piece)
         return b"".join([*out, self.ids("".join(held)).tobytes()])
 
-    def learn(self, parts: list[str], mark: str) -> None:
-        """Ids of parts that each start with ``mark``, encoded many at a time."""
-        at = 0
+    def learn(self, parts: list[str], mark: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of parts that each start with ``mark``, encoded many at a time: arrays of ids, and of their numbers."""
+        at, all_ids, all_sizes = 0, [], []
         while at < len(parts):
-            stop, size = at, 0
-            while stop < len(parts) and (stop == at or size + len(parts[stop]) <= AT_ONCE):
-                size += len(parts[stop]) + 1
+            stop, length = at, 0
+            while stop < len(parts) and (stop == at or length + len(parts[stop]) <= AT_ONCE):
+                length += len(parts[stop]) + 1
                 stop += 1
-            ids = self.ids("".join([mark + p for p in parts[at:stop]]))
-            starts = np.append(np.flatnonzero(self.opens[mark][ids]), len(ids)) * 4
-            if len(starts) != stop - at + 1:
+            ids = self.ids(mark + mark.join(parts[at:stop]))
+            sizes = np.diff(np.append(np.flatnonzero(self.opens[mark][ids]), len(ids)))
+            if len(sizes) != stop - at:
                 raise ValueError("a part has not one token that starts with its mark")
-            data, ends = ids.tobytes(), starts.tolist()
-            for p, a, b in zip(parts[at:stop], ends, ends[1:]):
-                self.known[p if mark == " " else mark + p] = data[a:b]
+            all_ids.append(ids)
+            all_sizes.append(sizes)
             at = stop
-
-    def remember(self, parts: list[str]) -> list[bytes | None]:
-        """Ids of parts after a space, or of a line's first part, with its newline; None for other white space."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-            self.first.clear()
-        spaced, lined = [], []
-        for p in parts:
-            if p not in self.known:
-                bare = p[1:] if p.startswith("\n") else p
-                if p in self.older:
-                    self.known[p] = self.older[p]
-                elif not bare or bare[0].isspace() or bare[-1].isspace():
-                    self.known[p] = None
-                elif bare is p:
-                    spaced.append(p)
-                else:
-                    lined.append(bare)
-        self.learn(spaced, " ")
-        self.learn(lined, "\n")
-        return [self.known[p] for p in parts]
+        return all_ids, all_sizes
+
+    def find(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids in ``data`` of parts that are all different; -1 of them for odd parts.
+
+        A part is what follows a space, a line's first part with its newline, or marks after a
+        word with their sign. Odd are those that other white space begins or ends.
+        """
+        wanted = W.strings(parts)
+        at = np.minimum(np.searchsorted(self.hash, wanted), max(0, len(self.hash) - 1))
+        missing = np.flatnonzero(self.hash[at] != wanted) if len(self.hash) else np.arange(len(wanted))
+        if len(missing):
+            kinds: dict[str, tuple[list[int], list[str]]] = {k: ([], []) for k in (" ", "\n", SIGN, "odd")}
+            for i, p in zip(missing.tolist(), parts.take(pa.array(missing)).to_pylist()):
+                kind = p[0] if p[:1] in ("\n", SIGN) else " "
+                bare = p if kind == " " else p[1:]
+                if not bare or bare[0].isspace() or bare[-1].isspace():
+                    kind = "odd"
+                kinds[kind][0].append(i)
+                kinds[kind][1].append(bare)
+            ids, sizes = [], []
+            for mark in (" ", "\n"):
+                more = self.learn(kinds[mark][1], mark)
+                ids += more[0]
+                sizes += more[1]
+            marks = [self.ids(p) for p in kinds[SIGN][1]]
+            ids += marks
+            sizes += [np.array([len(x) for x in marks], "i8")]
+            count = np.concatenate([*sizes, np.full(len(kinds["odd"][0]), -1)])
+            stored = np.maximum(count, 0)
+            start = len(self.data) + np.cumsum(stored) - stored
+            self.data = np.concatenate([self.data, *ids])
+            new = wanted[np.array([i for k in (" ", "\n", SIGN, "odd") for i in kinds[k][0]])]
+            order = np.argsort(np.concatenate([self.hash, new]), kind="stable")
+            self.hash = np.concatenate([self.hash, new])[order]
+            self.start = np.concatenate([self.start, start.astype("i4")])[order]
+            self.size = np.concatenate([self.size, count.astype("i4")])[order]
+            at = np.searchsorted(self.hash, wanted)
+        return self.start[at].astype("i8"), self.size[at].astype("i8")
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, as unsigned 32-bit numbers; and the texts' offsets in them."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        parted = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), STOP, rf"\1 {SIGN}\2")
+        lists = pc.split_pattern(parted, " ")
         coded = lists.flatten().dictionary_encode()
-        parts, which, offsets = coded.dictionary.to_pylist(), np.asarray(coded.indices), np.asarray(lists.offsets)
+        parts, which, offsets = coded.dictionary, np.asarray(coded.indices).astype("i8"), np.asarray(lists.offsets)
         offsets = offsets - offsets[0]
-        found = self.remember(parts)
-        odd = np.array([x is None for x in found], bool)
-        odd_rows = np.logical_or.reduceat(odd[which] & ~np.isin(np.arange(len(which)), offsets[:-1]), offsets[:-1]) if odd.any() else ()
-        heads = [parts[i] for i in which[offsets[:-1]].tolist()]
-        for head in heads:
-            if head not in self.first:
-                self.first[head] = self.whole(head) if head else b""
-        table = [*[x or b"" for x in found], *[self.first[h] for h in heads], np.array([end], "<u4").tobytes()]
-        size = np.array([len(x) // 4 for x in table])
-        start = np.cumsum(size) - size
-        which = which.astype("i8")
+        if len(self.hash) > REMEMBERED:
+            self.forget()
+        start, size = self.find(parts)
+        odd = size < 0
+        odd_rows = np.asarray(pc.match_substring(texts, SIGN))
+        if odd.any():
+            inner = odd[which]
+            inner[offsets[:-1]] = False  # a text's first part follows no space
+            odd_rows = odd_rows | np.logical_or.reduceat(inner, offsets[:-1])
+        heads = parts.take(pa.array(which[offsets[:-1]])).to_pylist()
+        for head in set(heads) - self.first.keys():
+            self.first[head] = self.whole(head) if head else b""
+        alone = [np.frombuffer(self.first[h], "<u4") for h in heads]
+        data = np.concatenate([self.data, *alone, np.array([end], "<u4")])
+        own = np.array([len(x) for x in alone])
+        start = np.concatenate([start, len(self.data) + np.cumsum(own) - own, [len(data) - 1]])
+        size = np.concatenate([np.maximum(size, 0), own, [1]])
         which[offsets[:-1]] = len(parts) + np.arange(len(heads))
-        order = np.insert(which, offsets[1:], len(table) - 1)
+        order = np.insert(which, offsets[1:], len(start) - 1)
         sizes = size[order]
         ends = np.cumsum(sizes)
-        ids = np.frombuffer(b"".join(table), "<u4")[np.arange(ends[-1]) + np.repeat(start[order] - ends + sizes, sizes)]
+        ids = data[np.arange(ends[-1]) + np.repeat(start[order] - ends + sizes, sizes)]
         out = np.append(0, ends[offsets[1:] + np.arange(len(heads))])
-        if np.any(odd_rows):
+        if odd_rows.any():
             rows = [ids[a:b] for a, b in zip(out[:-1], out[1:])]
             for i in np.flatnonzero(odd_rows).tolist():
                 rows[i] = np.append(np.frombuffer(self.whole(texts[i].as_py()), "<u4"), np.uint32(end))

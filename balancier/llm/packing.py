@@ -22,7 +22,7 @@ from balancier.llm.common import blocks, documents, kept, null_ids
 from balancier.llm.encode import encoder
 
 CAPACITY = 2048
-BLOCK = 4 * 1024 * 1024
+BLOCK = 8 * 1024 * 1024
 
 
 class Pattern(NamedTuple):

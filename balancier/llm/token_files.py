@@ -21,7 +21,7 @@ from balancier.llm.encode import encoder
 #: Rows between two entries of the row index and of the Bloom filters; smaller than ORC's own
 #: default because a row is a whole document.
 STRIDE = 1000
-BLOCK = 4 * 1024 * 1024
+BLOCK = 8 * 1024 * 1024
 
 
 def encode(docs: DataFrame, path: str, end: int) -> DataFrame:

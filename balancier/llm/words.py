@@ -95,3 +95,19 @@ def rolling(values: np.ndarray, n: int, factor: int = 0xD6E8FEB86659FD93) -> np.
             power = power * power % 2**64
             size *= 2
     return mix(total + np.uint64(n))
+
+
+def strings(column: pa.Array) -> np.ndarray:
+    """Hash of each string as a whole."""
+    data, offsets = raw(column)
+    lengths = np.diff(offsets)
+    out = np.zeros(len(lengths), "u8")
+    full = np.flatnonzero(lengths)
+    if len(full):
+        heads = offsets[:-1][full]
+        place = np.arange(len(data)) - np.repeat(heads, lengths[full])
+        most = int(lengths.max())
+        steps = mix(np.arange(min(most, 4096), dtype="u8") + _STEP)
+        step = steps[place] if most <= 4096 else mix(place.astype("u8") + _STEP)
+        out[full] = np.add.reduceat(BYTE[data] * step, heads)
+    return mix(out + lengths.astype("u8") * _STEP)
