@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +38,17 @@ def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     return written(df, work_folder(spark))
 
 
+def once_per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept for later tasks of this Python process.
+
+    The package travels to the workers by value, so its own module variables last for one task.
+    """
+    held = sys.__dict__.setdefault("_balancier_llm", {})
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Batches joined or cut so that each holds about ``limit`` bytes of ``column``; a longer row stays alone."""
     held: list[pa.RecordBatch] = []

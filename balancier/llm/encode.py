@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from balancier.llm import words as W
+from balancier.llm.common import once_per_worker
 
 #: Characters given to the library at once, and parts of texts that a worker remembers.
 AT_ONCE, REMEMBERED = 65_536, 2_000_000
@@ -18,16 +19,12 @@ CUT = re.compile(r"(?<=[a-zA-Z0-9À-ÖØ-öø-ÿ])(?= )")
 #: Nor from a letter to one of these marks, which are parted from words with a sign of their own.
 STOP, SIGN = "([a-zà-öø-ÿ])([,.;:!?])", "\x01"
 
-_LOADED: dict = {}
-
 
 def tokenizer(path: str):
-    if path not in _LOADED:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -159,11 +156,6 @@ class Encoder:
         return ids, out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that its tasks share what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return once_per_worker(f"encoder {path}", lambda: Encoder(path))

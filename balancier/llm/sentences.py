@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balancier.llm.common import blocks, documents, null_ids
+from balancier.llm.common import blocks, documents, null_ids, once_per_worker
 
 #: Words at most that a worker remembers, and bytes of text taken at once.
 REMEMBERED, BLOCK = 400_000, 1024 * 1024
@@ -192,13 +192,10 @@ class Coder:
 
 
 WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-_CODERS: dict[str, Coder] = {}
 
 
 def coder(path: str) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    return once_per_worker(f"coder {path}", lambda: Coder(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
