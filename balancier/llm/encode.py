@@ -9,15 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from balancier.llm import words as W
 from balancier.llm.common import once_per_worker
+from balancier.llm.known import SIGN, STOP, Known, gather, parted
 
-#: Characters given to the library at once, and parts of texts that a worker remembers.
-AT_ONCE, REMEMBERED = 65_536, 2_000_000
+#: Characters given to the library at once.
+AT_ONCE = 65_536
 #: The byte-level pattern never carries a token from a letter or digit across a space.
 CUT = re.compile(r"(?<=[a-zA-Z0-9À-ÖØ-öø-ÿ])(?= )")
-#: Nor from a letter to one of these marks, which are parted from words with a sign of their own.
-STOP, SIGN = "([a-zà-öø-ÿ])([,.;:!?])", "\x01"
 
 
 def tokenizer(path: str):
@@ -40,31 +38,24 @@ class Encoder:
         self.library = tokenizer(path)
         names = [self.library.id_to_token(i) or "" for i in range(self.library.get_vocab_size())]
         self.opens = {mark: np.array([n.startswith(name) for n in names]) for mark, name in ((" ", "Ġ"), ("\n", "Ċ"))}
-        self.first: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        # Parts by their hash, in its order; their ids are data[start : start + size], of odd parts none.
-        self.hash, self.start, self.size = np.zeros(0, "u8"), np.zeros(0, "i4"), np.zeros(0, "i4")
-        self.data = np.zeros(0, "<u4")
-        self.first.clear()
+        self.known = Known(self.learn)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "i4")
 
-    def whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> np.ndarray:
         """Ids of a text by itself, in pieces if it is long."""
         out, held, size = [], [], 0
         for piece in CUT.split(text) if len(text) > AT_ONCE else [text]:
             if size and size + len(piece) > AT_ONCE:
-                out.append(self.ids("".join(held)).tobytes())
+                out.append(self.ids("".join(held)))
                 held, size = [], 0
             held.append(piece)
             size += len(piece)
-        return b"".join([*out, self.ids("".join(held)).tobytes()])
+        return np.concatenate([*out, self.ids("".join(held))])
 
-    def learn(self, parts: list[str], mark: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of parts that each start with ``mark``, encoded many at a time: arrays of ids, and of their numbers."""
+    def together(self, parts: list[str], mark: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of parts that each start with ``mark``, and their numbers, encoded many at a time."""
         at, all_ids, all_sizes = 0, [], []
         while at < len(parts):
             stop, length = at, 0
@@ -80,54 +71,37 @@ class Encoder:
             at = stop
         return all_ids, all_sizes
 
-    def find(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Start and number of the ids in ``data`` of parts that are all different; -1 of them for odd parts.
+    def learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts after a space, of a line's first part with its newline, or of marks after a word.
 
-        A part is what follows a space, a line's first part with its newline, or marks after a
-        word with their sign. Odd are those that other white space begins or ends.
+        Parts that other white space begins or ends cannot stand alone.
         """
-        wanted = W.strings(parts)
-        at = np.minimum(np.searchsorted(self.hash, wanted), max(0, len(self.hash) - 1))
-        missing = np.flatnonzero(self.hash[at] != wanted) if len(self.hash) else np.arange(len(wanted))
-        if len(missing):
-            kinds: dict[str, tuple[list[int], list[str]]] = {k: ([], []) for k in (" ", "\n", SIGN, "odd")}
-            for i, p in zip(missing.tolist(), parts.take(pa.array(missing)).to_pylist()):
-                kind = p[0] if p[:1] in ("\n", SIGN) else " "
-                bare = p if kind == " " else p[1:]
-                if not bare or bare[0].isspace() or bare[-1].isspace():
-                    kind = "odd"
-                kinds[kind][0].append(i)
-                kinds[kind][1].append(bare)
-            ids, sizes = [], []
-            for mark in (" ", "\n"):
-                more = self.learn(kinds[mark][1], mark)
-                ids += more[0]
-                sizes += more[1]
-            marks = [self.ids(p) for p in kinds[SIGN][1]]
-            ids += marks
-            sizes += [np.array([len(x) for x in marks], "i8")]
-            count = np.concatenate([*sizes, np.full(len(kinds["odd"][0]), -1)])
-            stored = np.maximum(count, 0)
-            start = len(self.data) + np.cumsum(stored) - stored
-            self.data = np.concatenate([self.data, *ids])
-            new = wanted[np.array([i for k in (" ", "\n", SIGN, "odd") for i in kinds[k][0]])]
-            order = np.argsort(np.concatenate([self.hash, new]), kind="stable")
-            self.hash = np.concatenate([self.hash, new])[order]
-            self.start = np.concatenate([self.start, start.astype("i4")])[order]
-            self.size = np.concatenate([self.size, count.astype("i4")])[order]
-            at = np.searchsorted(self.hash, wanted)
-        return self.start[at].astype("i8"), self.size[at].astype("i8")
+        kinds: dict[str, tuple[list[int], list[str]]] = {k: ([], []) for k in (" ", "\n", SIGN, "odd")}
+        for i, p in enumerate(parts):
+            kind = p[0] if p[:1] in ("\n", SIGN) else " "
+            bare = p if kind == " " else p[1:]
+            if not bare or bare[0].isspace() or bare[-1].isspace():
+                kind = "odd"
+            kinds[kind][0].append(i)
+            kinds[kind][1].append(bare)
+        ids, sizes = [], []
+        for mark in (" ", "\n"):
+            more = self.together(kinds[mark][1], mark)
+            ids += more[0]
+            sizes += more[1]
+        marks = [self.ids(p) for p in kinds[SIGN][1]]
+        data = np.concatenate([np.zeros(0, "i4"), *ids, *marks])
+        sizes = np.concatenate([np.zeros(0, "i8"), *sizes, np.array([len(x) for x in marks], "i8"), np.full(len(kinds["odd"][0]), -1)])
+        # Back in the order that was asked for.
+        order = np.argsort(np.array([i for k in (" ", "\n", SIGN, "odd") for i in kinds[k][0]]))
+        stored = np.maximum(sizes, 0)
+        start = np.cumsum(stored) - stored
+        return gather(data, start[order], stored[order])[0], sizes[order]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, as unsigned 32-bit numbers; and the texts' offsets in them."""
-        parted = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), STOP, rf"\1 {SIGN}\2")
-        lists = pc.split_pattern(parted, " ")
-        coded = lists.flatten().dictionary_encode()
-        parts, which, offsets = coded.dictionary, np.asarray(coded.indices).astype("i8"), np.asarray(lists.offsets)
-        offsets = offsets - offsets[0]
-        if len(self.hash) > REMEMBERED:
-            self.forget()
-        start, size = self.find(parts)
+        parts, which, offsets = parted(texts, STOP)
+        start, size = self.known.find(parts)
         odd = size < 0
         odd_rows = np.asarray(pc.match_substring(texts, SIGN))
         if odd.any():
@@ -135,25 +109,22 @@ class Encoder:
             inner[offsets[:-1]] = False  # a text's first part follows no space
             odd_rows = odd_rows | np.logical_or.reduceat(inner, offsets[:-1])
         heads = parts.take(pa.array(which[offsets[:-1]])).to_pylist()
-        for head in set(heads) - self.first.keys():
-            self.first[head] = self.whole(head) if head else b""
-        alone = [np.frombuffer(self.first[h], "<u4") for h in heads]
-        data = np.concatenate([self.data, *alone, np.array([end], "<u4")])
+        first = {h: self.whole(h) if h else np.zeros(0, "i4") for h in set(heads)}
+        alone = [first[h] for h in heads]
+        data = np.concatenate([self.known.data, *alone, np.array([end], "i4")])
         own = np.array([len(x) for x in alone])
-        start = np.concatenate([start, len(self.data) + np.cumsum(own) - own, [len(data) - 1]])
+        start = np.concatenate([start, len(self.known.data) + np.cumsum(own) - own, [len(data) - 1]])
         size = np.concatenate([np.maximum(size, 0), own, [1]])
         which[offsets[:-1]] = len(parts) + np.arange(len(heads))
         order = np.insert(which, offsets[1:], len(start) - 1)
-        sizes = size[order]
-        ends = np.cumsum(sizes)
-        ids = data[np.arange(ends[-1]) + np.repeat(start[order] - ends + sizes, sizes)]
+        ids, ends = gather(data, start[order], size[order])
         out = np.append(0, ends[offsets[1:] + np.arange(len(heads))])
         if odd_rows.any():
             rows = [ids[a:b] for a, b in zip(out[:-1], out[1:])]
             for i in np.flatnonzero(odd_rows).tolist():
-                rows[i] = np.append(np.frombuffer(self.whole(texts[i].as_py()), "<u4"), np.uint32(end))
+                rows[i] = np.append(self.whole(texts[i].as_py()), np.int32(end))
             ids, out = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
-        return ids, out
+        return ids.view("<u4"), out
 
 
 def encoder(path: str) -> Encoder:

@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balancier.llm.common import blocks, documents, null_ids, once_per_worker
+from balancier.llm.known import SIGN, STOP, Known, gather, parted
 
-#: Words at most that a worker remembers, and bytes of text taken at once.
-REMEMBERED, BLOCK = 400_000, 1024 * 1024
+#: Bytes of text taken at once.
+BLOCK = 2 * 1024 * 1024
 #: Words of more characters take their merges from a heap.
 LONG = 2000
 BLANK = "▁"
@@ -175,20 +177,69 @@ class Merges:
 
 
 class Coder:
+    """Encodes and decodes blocks of texts; a word is merged once for as long as it is remembered."""
+
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        cut = [WORDS.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
-        seen = set().union(*cut)
-        if len(self.words) > REMEMBERED:
-            self.words = {w: self.words[w] for w in seen & self.words.keys()}
-        new = list(seen - self.words.keys())
-        for word, symbols in zip(new, self.merges.merge(new) if new else ()):
-            self.words[word] = tuple(self.merges.ids_of(symbols))
-        find = self.words.__getitem__
-        return [[i for w in own for i in find(w)] for own in cut]
+        if any("\n" in p for p in self.merges.ids):
+            raise ValueError("a piece of this model joins two lines")
+        # Words are parted from the marks after them if no piece holds a letter and then a mark.
+        self.stop = None if any(re.search(STOP, p) for p in self.merges.ids) else STOP
+        self.known = Known(self.learn)
+        texts = [np.frombuffer(t, "u1") for t in self.merges.texts]
+        self.size = np.array([len(t) for t in texts])
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.concatenate(texts)
+        self.control = np.isin(np.arange(len(texts)), list(self.merges.controls))
+        self.blank = np.array([p.startswith(BLANK) for p in self.merges.pieces])
+
+    def learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts: after a blank, of a line's first part with its newline, or of marks after a word."""
+        words = [p if p.startswith("\n") else p[1:] if p.startswith(SIGN) else BLANK + p for p in parts]
+        ids = [self.merges.ids_of(s) for s in self.merges.merge(words)]
+        return np.array([i for own in ids for i in own], "i4"), np.array([len(own) for own in ids], "i8")
+
+    def whole(self, text: str) -> list[int]:
+        words = WORDS.findall((BLANK + text).replace(" ", BLANK))
+        return [i for symbols in self.merges.merge(words) for i in self.merges.ids_of(symbols)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and the texts' offsets in them."""
+        parts, which, offsets = parted(texts, self.stop)
+        start, size = self.known.find(parts)
+        empty = np.asarray(pc.equal(pc.binary_length(texts), 0))
+        # An empty part is a blank by itself before a newline or at the end, else the start of a run of blanks.
+        plain = ~np.asarray(pc.starts_with(parts, "\n"))
+        bare = np.asarray(pc.equal(parts, ""))[which]
+        followed = np.append(plain[which[1:]], False)
+        followed[offsets[1:] - 1] = False
+        odd_rows = np.asarray(pc.match_substring_regex(texts, f"{BLANK}|{SIGN}")) | np.logical_or.reduceat(bare & followed, offsets[:-1])
+        sizes = size[which]
+        sizes[offsets[:-1][empty]] = 0
+        ids, ends = gather(self.known.data, start[which], sizes)
+        out = np.append(0, ends[offsets[1:] - 1])
+        if odd_rows.any():
+            rows = [ids[a:b] for a, b in zip(out[:-1], out[1:])]
+            for i in np.flatnonzero(odd_rows).tolist():
+                rows[i] = np.array(self.whole(texts[i].as_py()), "i4")
+            ids, out = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+        return ids, out
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of lists of ids."""
+        text, ends = gather(self.data, self.start[ids], self.size[ids])
+        data, ends = text.tobytes(), np.append(0, ends)
+        has_control = np.append(0, np.cumsum(self.control[ids]))
+        out = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            try:
+                if has_control[a] != has_control[b]:
+                    raise UnicodeError
+                own = data[ends[a] : ends[b]].decode()
+                out.append(own[1:] if b > a and self.blank[ids[a]] else own)
+            except UnicodeError:
+                out.append(self.merges.decode(ids[a:b].tolist()))
+        return out
 
 
 WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
@@ -204,8 +255,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for batch in blocks(batches, "text", BLOCK):
-            ids = code(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids, offsets = code.encode(batch.column("text"))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype("i4")), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return null_ids(documents(docs).mapInArrow(run, "doc_id long, ids array<int>"), "doc_id")
 
@@ -214,9 +266,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, text`` from the ids alone; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = coder(path).merges
+        code = coder(path)
         for batch in batches:
-            texts = [merges.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            offsets = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))).astype("i8")
+            texts = code.decode(np.asarray(lists.flatten()).astype("i4"), offsets)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
