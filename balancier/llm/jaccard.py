@@ -95,32 +95,34 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, twin, keys``; ``twin`` is the first document of the task with the same set.
+    """``doc_id, n_shingles, twin, keys, sketch``; ``twin`` is the first document of the task with the same set.
 
-    Only that one has keys, so a group of copies sends one set of keys per task.
+    Only that one has keys and a sketch, so a group of copies sends one set of keys per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: dict[bytes, int] = {}
         for batch in blocks(batches, "text", BLOCK):
             ids = batch.column("doc_id").to_pylist()
-            sizes, twins, found = [], [], []
+            sizes, twins, found, sketches = [], [], [], []
             for doc, shingles in zip(ids, shingle_sets(batch.column("text"))):
                 sizes.append(len(shingles))
                 twins.append(first.setdefault(_digest(shingles), doc) if len(shingles) else doc)
-                found.append(keys(shingles) if twins[-1] == doc else np.zeros(0, "i8"))
+                own = twins[-1] == doc and len(shingles) > 0
+                found.append(keys(shingles) if own else np.zeros(0, "i8"))
+                sketches.append(sketch(shingles) if own else None)
             offsets = np.append(0, np.cumsum([len(k) for k in found])).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(twins, pa.int64()), lists],
-                ["doc_id", "n_shingles", "twin", "keys"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(twins, pa.int64()), lists, pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "twin", "keys", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, twin long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, twin long, keys array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, n, sketch, shingles`` of the wanted documents. Texts are shuffled compressed."""
+    """``node, shingles`` of the wanted documents. Texts are shuffled compressed."""
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
@@ -136,21 +138,49 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             offsets = np.append(0, np.cumsum([len(s) for s in sets])).astype("i4")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view("i8")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), lists],
-                ["node", "n", "sketch", "shingles"],
+                [batch.column("node"), lists], ["node", "shingles"]
             )
 
     small = docs.mapInArrow(shrink, "node long, small binary")
-    return small.join(wanted, "node", "left_semi").mapInArrow(run, "node long, n int, sketch binary, shingles array<long>")
+    return small.join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are links."""
+def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+def _folded(sketch: bytes, width: int) -> np.ndarray:
+    """A sketch of fewer bits, in words of 64: folding keeps the parity of what falls together."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "u8").reshape(-1, width // 8), axis=0)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that their sizes and sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, sa, nb, sb in zip(*[batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")]):
+                width = min(len(sa), len(sb))
+                apart = _hamming(_folded(sa, width), _folded(sb, width))
+                keep.append(100 * min(na, nb) >= PERCENT * max(na, nb) and apart <= (na + nb) // 7)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
+def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are links, by the sets of their documents."""
+    pairs = kept(spark, pairs)
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = kept(spark, _sets(docs, nodes))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return met.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
+    return kept(spark, met.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"))
 
 
 def near(members: DataFrame, nearest: int | None) -> DataFrame:
@@ -166,8 +196,7 @@ def near(members: DataFrame, nearest: int | None) -> DataFrame:
         width = min(len(r["sketch"]) for r in rows)
         bits = np.zeros((len(rows), width // 8), "u8")
         for i, r in enumerate(rows):
-            whole = np.frombuffer(r["sketch"], "u8")
-            bits[i] = np.bitwise_xor.reduce(whole.reshape(-1, width // 8), axis=0)
+            bits[i] = _folded(r["sketch"], width)
         n, part, side, node = (np.array([r[k] for r in rows], "i8") for k in ("n", "component", "side", "node"))
         out = []
         for i in range(len(rows)):
@@ -176,7 +205,7 @@ def near(members: DataFrame, nearest: int | None) -> DataFrame:
             if side[-1]:
                 may &= side[rest] != side[i]
             at = np.flatnonzero(may) + i + 1
-            apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
+            apart = _hamming(bits[at], bits[i])
             ok = apart <= (n[at] + n[i]) // 7
             at, apart = at[ok], apart[ok]
             if nearest and len(at) > nearest:
@@ -210,7 +239,7 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _apart(spark: SparkSession, groups: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+def _apart(groups: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Members of the key groups that hold more than one component, in blocks of ``SIDE`` documents.
 
     A group of more blocks is compared block by block in as many steps as it has pairs of blocks.
@@ -224,7 +253,7 @@ def _apart(spark: SparkSession, groups: DataFrame, parts: DataFrame, sets: DataF
     pair = F.concat_ws("/", F.col("key"), F.least("block", "other"), F.greatest("block", "other"))
     side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
     rows = rows.select(pair.alias("group"), side.alias("side"), "node", "component")
-    return rows.join(sets.select("node", "n", "sketch"), "node").repartition("group").sortWithinPartitions("group")
+    return rows.join(sketches, "node").repartition("group").sortWithinPartitions("group")
 
 
 def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -233,24 +262,26 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Documents without words link with nothing. Rows that share an id are one document, which links
     where any of them does, and keep their own row. A null id counts as the smallest.
 
-    First every document is verified with the one that leads most of its key groups; what that
-    leaves unconnected within a group is compared by sketches, and a document with the nearest
-    two of every other component, then with all of them.
+    First every document is verified with the one that leads most of its key groups. What that
+    leaves unconnected within a group is compared by sketches: in a quarter of the groups a
+    document with the nearest of every other component, then in all groups whatever is left.
     """
     docs = documents(docs)
     read = kept(spark, _read(docs))
     met = read.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     leads = met.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
     groups = kept(spark, met.join(leads.select("key", "lead"), "key"))
-    sets = kept(spark, _sets(docs, groups.select("node").distinct()))
+    sketches = read.where("sketch IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
 
     led = groups.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"))
     best = led.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best"))
-    links = kept(spark, _verified(best.select(F.col("best.lead").alias("a"), F.col("node").alias("b")), sets))
+    pairs = best.select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
+    links = _verified(spark, _possible(pairs, sketches), docs)
     parts = components(spark, links)
-    for nearest in (2, None):
-        pairs = kept(spark, near(_apart(spark, groups.select("key", "node"), parts, sets), nearest))
-        links = kept(spark, links.unionByName(_verified(pairs, sets)))
+    for nearest, share in ((1, 4), (None, 1)):
+        some = groups.select("key", "node").where(F.pmod("key", F.lit(share)) == 0)
+        pairs = near(_apart(some, parts, sketches), nearest)
+        links = links.unionByName(_verified(spark, pairs, docs))
         parts = components(spark, links)
 
     nodes = read.select("doc_id", "n_shingles", "twin").join(parts.withColumnRenamed("node", "twin"), "twin", "left")
