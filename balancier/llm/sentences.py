@@ -25,6 +25,8 @@ from balancier.llm.known import SIGN, STOP, Known, gather, parted
 
 #: Bytes of text taken at once.
 BLOCK = 2 * 1024 * 1024
+#: Ids decoded at once, and words merged at once.
+AT_ONCE, TOGETHER = 1_000_000, 20_000
 #: Words of more characters take their merges from a heap.
 LONG = 2000
 BLANK = "▁"
@@ -87,8 +89,10 @@ class Merges:
         """Symbols of every word after its last merge."""
         done: list = [self.merge_long(w) if len(w) > LONG else None for w in words]
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, symbols in zip(short, self.merge_rounds([words[i] for i in short])):
-            done[i] = symbols
+        for at in range(0, len(short), TOGETHER):
+            own = short[at : at + TOGETHER]
+            for i, symbols in zip(own, self.merge_rounds([words[i] for i in own])):
+                done[i] = symbols
         return done
 
     def merge_long(self, word: str) -> np.ndarray:
@@ -268,10 +272,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for batch in batches:
-            lists = batch.column("ids")
-            offsets = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))).astype("i8")
-            texts = code.decode(np.asarray(lists.flatten()).astype("i4"), offsets)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column("ids")), 0)).astype("i8")
+            ends, at = np.cumsum(counts), 0
+            while at < len(counts):  # so many rows as hold AT_ONCE ids
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] - counts[at] + AT_ONCE)))
+                part = batch.slice(at, stop - at)
+                offsets = np.append(0, np.cumsum(counts[at:stop]))
+                texts = code.decode(np.asarray(part.column("ids").flatten()).astype("i4"), offsets)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                at = stop
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
