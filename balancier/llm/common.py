@@ -33,6 +33,11 @@ def null_ids(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.nullif(F.col(n), F.lit(NULL_ID)) for n in names})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: by rows alone, 10,000 long texts may come at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * 1024 * 1024))
+
+
 def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: survives lost executors."""
     return written(df, work_folder(spark))
