@@ -142,7 +142,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     small = docs.mapInArrow(shrink, "node long, small binary")
-    return small.join(wanted, "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
+    # What is wanted grows with the corpus: the same plan at every size, no broadcast.
+    return small.join(wanted.hint("merge"), "node", "left_semi").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
