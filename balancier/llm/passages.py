@@ -181,18 +181,25 @@ def contexts(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
-    """Of whole anchors: SPAN rows of what is settled, OPEN rows of the different contexts of one anchor."""
+    """Of whole anchors: SPAN rows of what is settled, OPEN rows of the different contexts of one anchor.
+
+    Contexts of an anchor that is hot in some task become HOT like those of that task.
+    """
     kind, key, ctx, doc, span = part
     if not len(kind):
         return None
     mark = kind == MARK
     heads, others, settled = _meet(key, ctx, doc, span, kind == TWICE, keep_first)
-    several = np.diff(np.append(np.flatnonzero(~same_before(key[heads])), len(heads)))
-    at = heads[np.repeat(several > 1, several) & ~mark[heads]]
+    first = np.flatnonzero(~same_before(key[heads]))
+    several = np.diff(np.append(first, len(heads)))
+    hot = np.repeat(np.add.reduceat(mark[heads], first) > 0, several)
+    left = np.repeat(several > 1, several) & ~mark[heads]
+    at = heads[left]
     settled = np.flatnonzero(settled & ~mark)
     out = np.concatenate([settled, at])
-    kinds = np.concatenate([np.full(len(settled), SPAN), np.full(len(at), OPEN)])
-    return _rows(kinds, key[out], ctx[out], doc[out], span[out]) if len(out) else None
+    kinds = np.concatenate([np.full(len(settled), SPAN), np.where(hot[left], HOT, OPEN)])
+    named = np.concatenate([ctx[settled], np.where(hot[left], key[at], ctx[at])])
+    return _rows(kinds, key[out], named, doc[out], span[out]) if len(out) else None
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,6 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
         yield pd.DataFrame({"weights": [model.weights(slice(None)).astype("f4").tobytes()]})
 
     found = rows.repartition(1).mapInPandas(learn, "weights binary").first()
+    if found is None:
+        return np.zeros(2**BITS + 1)
     return np.frombuffer(found["weights"], "f4").astype("f8")
 
 

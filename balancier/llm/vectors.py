@@ -120,25 +120,26 @@ def codes(classes: DataFrame, bits: int, count: int) -> DataFrame:
 class _Leaders:
     """Vectors of one key that later ones are compared with."""
 
-    def __init__(self, dim: int, bits: int):
-        self.dim, self.turns = dim, rotations(dim, bits)
+    def __init__(self, turns: np.ndarray):
+        self.turns, self.dim = turns, turns.shape[1]
         self.nodes: list[int] = []
-        self.signs = np.zeros((0, self.turns.shape[0] * dim), "f4")
-        self.factors = np.zeros((0, self.turns.shape[0]), "f4")
+        self.signs = np.empty((16, turns.shape[0], self.dim), "f4")
+        self.factors = np.empty((16, turns.shape[0]), "f4")
 
     def estimates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cosine of every leader with ``x``, from the leaders' signs, and how far it may be off."""
-        turned = (self.turns @ x).astype("f4")
-        turns = len(self.turns)
-        products = (self.signs.reshape(-1, turns, self.dim) * turned).sum(axis=2) / math.sqrt(self.dim)
-        each = products / self.factors
-        spread = np.sqrt(np.maximum(0, 1 - self.factors**2)) / self.factors / math.sqrt(max(1, self.dim - 1))
-        return each.mean(axis=1), SURE * np.sqrt((spread**2).sum(axis=1)) / turns + 0.01
+        n, turns = len(self.nodes), len(self.turns)
+        factors = self.factors[:n]
+        each = np.einsum("ntd,td->nt", self.signs[:n], (self.turns @ x).astype("f4")) / math.sqrt(self.dim) / factors
+        spread = np.maximum(0, 1 - factors**2) / factors**2 / max(1, self.dim - 1)
+        return each.mean(axis=1), SURE * np.sqrt(spread.sum(axis=1)) / turns + 0.01
 
     def add(self, node: int, signs: np.ndarray, factors: np.ndarray) -> None:
+        n = len(self.nodes)
+        if n == len(self.signs):
+            self.signs, self.factors = (np.concatenate([x, np.empty_like(x)]) for x in (self.signs, self.factors))
         self.nodes.append(node)
-        self.signs = np.vstack([self.signs, signs])
-        self.factors = np.vstack([self.factors, factors])
+        self.signs[n], self.factors[n] = signs.reshape(self.turns.shape[:2]), factors
 
 
 def meet(coded: DataFrame, threshold: float) -> DataFrame:
@@ -151,11 +152,14 @@ def meet(coded: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaders, seen = None, None, set()
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 dim, factors = len(row["small"]), np.frombuffer(row["factors"], "f4")
+                if dim not in turns:
+                    turns[dim] = rotations(dim, len(factors) * dim)
                 if row["key"] != key or leaders.dim != dim:
-                    key, leaders = row["key"], _Leaders(dim, len(factors) * dim)
+                    key, leaders = row["key"], _Leaders(turns[dim])
                 x = np.frombuffer(row["small"], "i1") * row["scale"]
                 near = False
                 if leaders.nodes:
