@@ -97,47 +97,6 @@ def fields_in(node: Any) -> list[str]:
     return [c["field"] for c in conditions_of(node)]
 
 
-def _value_fits(value: Any, dtype: str) -> bool:
-    if dtype == "NUMBER":
-        return isinstance(value, (int, float, Decimal)) and not isinstance(value, bool)
-    return isinstance(value, str) or (dtype == "DATE" and isinstance(value, (date, datetime)))
-
-
-def check_condition(cond: Mapping, errors: list[str], patterns_on_numbers: bool = False) -> None:
-    name = cond.get("field")
-    if not exists(name):
-        errors.append(f"unknown filter field {name}")
-        return
-    dtype = resolve(name).dtype
-    op = operator_name(cond.get("operator"))
-    if op in PATTERNS and dtype != "TEXT" and not patterns_on_numbers:
-        errors.append(f"operator {op} is only allowed on string fields")
-        return
-    if op in RANGES and dtype == "TEXT":
-        errors.append(f"operator {op} is only allowed on numeric/date fields")
-        return
-    if op in UNARY:
-        return
-    value = cond.get("value", cond.get("values"))
-    if value is None:
-        errors.append(f"operator {op} requires a non-null value")
-        return
-    many = op in ("IN", "NOT_IN", "BETWEEN")
-    if many and (not isinstance(value, (list, tuple)) or not value):
-        errors.append(f"operator {op} requires a non-empty array value")
-        return
-    if op == "BETWEEN" and len(value) != 2:
-        errors.append("BETWEEN requires exactly two values")
-        return
-    if op in PATTERNS:
-        if not isinstance(value, str):
-            errors.append(f"operator {op} requires a string value")
-        return
-    for item in value if many else [value]:
-        if not _value_fits(item, dtype):
-            errors.append(f"field {name} does not accept {type(item).__name__} values")
-
-
 def condition(cond: Mapping, ignore_case: bool = False, swap: Mapping[str, str] | None = None) -> Column:
     field = resolve(cond["field"])
     col = column_of(cond["field"], swap)

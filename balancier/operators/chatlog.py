@@ -9,7 +9,6 @@ from balancier.operators.listing import PAGE_SIZE, Page, page_of
 
 WINDOW = 20
 SUMMARISE_EVERY = 10
-PART = 1000
 
 
 def sessions_to_summarise(messages: DataFrame, summaries: DataFrame, at_least: int = SUMMARISE_EVERY) -> DataFrame:
@@ -31,7 +30,7 @@ def trimmed_counts(messages: DataFrame, keep: int = WINDOW) -> DataFrame:
     return n.select("session_id", F.greatest(F.col("n") - keep, F.lit(0)).alias("deleted"))
 
 
-def conversation_text(messages: DataFrame, part: int = PART) -> DataFrame:
+def conversation_text(messages: DataFrame, part: int) -> DataFrame:
     """"role: content" lines in order: (session_id, part_no, messages, text).
 
     Sequence numbers 0 to part-1 make part 0, and so on; the parts in order are the

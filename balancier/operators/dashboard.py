@@ -38,10 +38,9 @@ def fill(
     Only dates that lack some ratio are read. A value that cannot be computed has an
     error instead; such rows are for reporting and are not stored.
     """
-    # Distinct dates and config-sized pairs: one row per date, never per fact.
-    days = sorted(r[0] for r in M.reference_dates(tables).collect())
     spark = tables["fact_balance"].sparkSession
-    dates = spark.createDataFrame([(d,) for d in days], "reference_date date")
+    found = M.reference_dates(tables)
+    dates = found.select(F.col(found.columns[0]).alias("reference_date"))
     broken, good = {}, {}
     for code, (ident, tree) in ratios.items():
         try:
@@ -50,12 +49,11 @@ def fill(
         except SpecError as error:
             broken[code] = (ident, str(error))
     todo = missing_pairs([i for i, _ in ratios.values()], dates, existing)
-    open_days = [r[0] for r in todo.select("reference_date").distinct().collect()]
     schema = "id_ratios bigint, code string, value double, error string"
     parts = []
-    if good and open_days:
+    if good:
         trees = {code: tree for code, (_, tree) in good.items()}
-        wide = M.metrics_by_date(tables, R.needed_metrics(trees, catalog), open_days)
+        wide = M.metrics_by_date(tables, R.needed_metrics(trees, catalog), todo)
         cells = []
         for code, (ident, tree) in good.items():
             value = R.ratio_column(tree)
@@ -73,11 +71,12 @@ def fill(
     else:
         cells = spark.createDataFrame([], "reference_date date, " + schema)
     rows = cells.join(todo, PAIR, "left_semi").select("id_ratios", "code", "reference_date", "value", "error")
-    total = len(ratios) * len(days)
+    one = F.lit(1)  # both sides are a single row
+    days = dates.agg(F.count(one).alias("dates_found")).withColumn("_one", one)
     report = rows.agg(F.count_if(F.col("error").isNull()).alias("inserted"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    report = report.select(
-        F.lit(len(days)).cast("bigint").alias("dates_found"), F.lit(len(ratios)).cast("bigint").alias("ratios_processed"),
-        "inserted", (F.lit(total) - F.col("inserted") - F.col("errors")).cast("bigint").alias("skipped"), "errors",
+    report = report.withColumn("_one", one).join(days, "_one").select(
+        "dates_found", F.lit(len(ratios)).cast("bigint").alias("ratios_processed"), "inserted",
+        (F.col("dates_found") * len(ratios) - F.col("inserted") - F.col("errors")).cast("bigint").alias("skipped"), "errors",
     )
     return Fill(rows, report)
 
@@ -93,7 +92,7 @@ def manual_value(existing: DataFrame, ratio_id: int, day: date, value: float) ->
     """The row to append for a value entered by hand; refuses a pair that exists."""
     taken = existing.filter((F.col("id_ratios") == ratio_id) & (F.col("reference_date") == F.lit(day)))
     if taken.take(1):
-        raise ValueError(f"Dashboard row already exists for ratio id {ratio_id} and date {day}")
+        raise ValueError(f"ratio {ratio_id} has a value for {day}")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     row = existing.sparkSession.createDataFrame([(top + 1, ratio_id, value, day)], "id bigint, id_ratios bigint, ratios_value double, reference_date date")
     return row.withColumn("created_at", F.current_timestamp())

@@ -56,9 +56,6 @@ PURPOSE_LABELS = {
 
 FACT_KEYS = ("id_agence", "id_devise", "id_devisebnq", "id_compte", "id_chapitre", "id_client", "id_contrat", "id_date")
 MEASURES = ("soldeorigine", "soldeconvertie", "cumulmvtdb", "cumulmvtcr", "soldeinitdebmois", "amount", "actif")
-BUCKETS = 256
-FACT_BUCKETS = 4096
-MAX_DATES = 1000
 
 
 def not_yet_in(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,13 +65,15 @@ def not_yet_in(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Data
     return new.join(known, cond, "left_anti")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], after: int = 0, id_col: str = "id", buckets: int = BUCKETS) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], after: int = 0, id_col: str = "id", buckets: int | None = None) -> DataFrame:
     """Dense ids after ``after`` for rows that are unique on ``keys``.
 
     Rows spread over hash buckets, are numbered inside each, and every bucket starts
-    where the ones before it end. The same rows get the same ids in every run, and no
-    task sees more than its buckets.
+    where the ones before it end. Ids follow the bucket and then the keys, so the same rows
+    get the same ids in every run with as many buckets: four for each shuffle partition,
+    unless the caller says how many.
     """
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     sizes = spread.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most `buckets` rows
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -411,13 +410,12 @@ def append_facts(spark: SparkSession, rows: DataFrame, ledger: DataFrame, tables
     if existing is not None:
         top = _top(existing, "id")
         batch = lookup(dates(ledger, "date_bal"), tables["sub_dim_date"], {"date_value": "date_value"}, "id_date")
-        days = [r[0] for r in batch.select("id_date").distinct().take(MAX_DATES + 1)]
-        if len(days) <= MAX_DATES:  # a partition filter; with more dates all are compared
-            existing = existing.filter(F.col("id_date").isin(*days) | F.col("id_date").isNull())
-        rows = not_yet_in(rows, existing, keys)
+        # Only the folders of the batch's dates are read (and those of no date): the small side prunes them.
+        dated = existing.join(batch.select("id_date").distinct(), "id_date", "left_semi")
+        rows = not_yet_in(rows, dated.unionByName(existing.filter(F.col("id_date").isNull())), keys)
     else:
         top = 0
-    ids = number_rows(rows, keys, top, buckets=FACT_BUCKETS)
+    ids = number_rows(rows, keys, top)
     # Rows of a date come together, and a date too large for one file is split by size.
     ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
     tables["fact_balance"] = spark.read.parquet(path)

@@ -9,10 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from balancier.session import work_folder, written
-
 PAGE_SIZE = 20
-NEAR = 10_000
 
 
 class Page(NamedTuple):
@@ -24,34 +21,20 @@ class Page(NamedTuple):
 
 
 def page_of(df: DataFrame, order: Sequence[str | Column], page: int = 0, size: int = PAGE_SIZE) -> Page:
-    """One page in the given order, which must be unique.
+    """One page in the given order, which must be unique: a top-k of all rows up to it.
 
-    Near pages are a top-k. A far page would drag everything before it through one task,
-    so there the sorted rows are written out, and only the partitions the page lies in
-    are read.
+    To go on far into a large table use ``page_after``, whose cost does not grow with the page.
     """
     page, size = max(page, 0), size if size > 0 else PAGE_SIZE
     total = df.count()
     keys = [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
-    skip = page * size
-    if skip + size <= NEAR:
-        items = df.orderBy(*keys).offset(skip).limit(size)
-    else:
-        items = _far(df, keys, skip, size)
-    return Page(items, page, size, total, math.ceil(total / size))
-
-
-def _far(df: DataFrame, keys: Sequence[Column], skip: int, size: int) -> DataFrame:
-    ordered = df.orderBy(*keys).withColumn("_part", F.spark_partition_id())
-    rows = written(ordered, work_folder(df.sparkSession))
-    parts, before, first = [], 0, None
-    for r in rows.groupBy("_part").count().orderBy("_part").toLocalIterator():  # one row per partition
-        if before + r["count"] > skip and before < skip + size:
-            first = before if first is None else first
-            parts.append(r["_part"])
-        before += r["count"]
-    inside = rows.filter(F.col("_part").isin(*parts) if parts else F.lit(False)).drop("_part")
-    return inside.orderBy(*keys).offset(skip - (first or 0)).limit(size)
+    return Page(df.orderBy(*keys).offset(page * size).limit(size), page, size, total, math.ceil(total / size))
+
+
+def page_after(df: DataFrame, key: str, after: object = None, size: int = PAGE_SIZE) -> DataFrame:
+    """The next rows by a unique key that is never null, after the last one seen; reads no count."""
+    rest = df if after is None else df.filter(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
 
 
 CLIENT_LABELS = (

@@ -69,13 +69,17 @@ def metrics_at(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], at:
 
 
 def metrics_by_date(
-    tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], only: Iterable[date] | None = None
+    tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], only: DataFrame | None = None
 ) -> DataFrame:
-    """All scalar metrics for every reference date, or the dates given: one grouped pass."""
+    """All scalar metrics for every reference date, or those in ``only``: one grouped pass."""
     specs = read_scalars(raw)
     rows = star(tables, [*(f for s in specs.values() for f in fields_of(s)), DATE_FIELD])
     day = column_of(DATE_FIELD)
-    rows = rows.filter(day.isNotNull() if only is None else day.isin(*only))
+    if only is None:
+        rows = rows.filter(day.isNotNull())
+    else:
+        wanted = only.select(F.col("reference_date").alias("_wanted")).distinct()
+        rows = rows.join(wanted, day == F.col("_wanted"), "left_semi")
     return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs, rows))
 
 

@@ -15,7 +15,8 @@ from balancier.session import work_folder, written
 
 TOP_K = 8
 RRF_K = 60
-QUERIES_PER_PASS = 256
+#: Queries that a batch of rows is scored against at once.
+AT_ONCE = 256
 RESULT = "query string, id bigint, score double"
 
 
@@ -62,36 +63,47 @@ def top_of_batch(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scorer(queries: Sequence[Query], k: int):
+    blocks = [_block(queries[i : i + AT_ONCE], k) for i in range(0, len(queries), AT_ONCE)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for block in blocks:
+                    yield block(batch)
+
+    return score
+
+
+def _block(queries: Sequence[Query], k: int):
     matrix = np.array([q.vector for q in queries], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     names = [q.name for q in queries]
     domains = [q.domain for q in queries]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-            fields = np.array(batch.column("domain").to_pylist(), dtype=object)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sims = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ matrix.T
-            sims = np.round(sims, 12)  # equal vectors must tie wherever they stand in a batch
-            out_q, out_id, out_s = [], [], []
-            for j, name in enumerate(names):
-                col = sims[:, j]
-                if domains[j] is not None:
-                    open_to = np.array([d is None or d == domains[j] for d in fields])
-                    col = np.where(open_to, col, np.nan)
-                best_rows = top_of_batch(ids, col, k)
-                out_q += [name] * len(best_rows)
-                out_id.append(ids[best_rows])
-                out_s.append(col[best_rows])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q, pa.string()), pa.array(np.concatenate(out_id), pa.int64()), pa.array(np.concatenate(out_s), pa.float64())],
-                names=["query", "id", "score"],
-            )
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+        # Domains as numbers, once a batch: -1 is none.
+        coded = batch.column("domain").dictionary_encode()
+        number = {d: i for i, d in enumerate(coded.dictionary.to_pylist())}
+        fields = np.asarray(coded.indices.fill_null(-1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            sims = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ matrix.T
+        sims = np.round(sims, 12)  # equal vectors must tie wherever they stand in a batch
+        out_q, out_id, out_s = [], [], []
+        for j, name in enumerate(names):
+            col = sims[:, j]
+            if domains[j] is not None:
+                col = np.where((fields == -1) | (fields == number.get(domains[j], -1)), col, np.nan)
+            best_rows = top_of_batch(ids, col, k)
+            out_q += [name] * len(best_rows)
+            out_id.append(ids[best_rows])
+            out_s.append(col[best_rows])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(out_q, pa.string()), pa.array(np.concatenate(out_id), pa.int64()), pa.array(np.concatenate(out_s), pa.float64())],
+            names=["query", "id", "score"],
+        )
 
     return score
 
@@ -107,12 +119,9 @@ def dense(documents: DataFrame, queries: Sequence[Query], k: int = 2 * TOP_K, id
     rows = documents.filter(F.col(vector).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("vector"), field.alias("domain")
     )
-    hits = None
-    for i in range(0, len(asked), QUERIES_PER_PASS):
-        part = rows.mapInArrow(_scorer(asked[i : i + QUERIES_PER_PASS], k), RESULT)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = documents.sparkSession.createDataFrame([], RESULT)
+    if not asked:
+        return best(documents.sparkSession.createDataFrame([], RESULT), k)
+    hits = rows.mapInArrow(_scorer(asked, k), RESULT)
     return best(hits, k)
 
 

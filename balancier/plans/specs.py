@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from balancier.functions import predicates as P
-from balancier.plans.catalog import SpecError, column_of, exists, resolve
+from balancier.plans.catalog import SpecError, column_of, resolve
 
-MAX_DEPTH = 5
 FUNCTIONS = ("SUM", "AVG", "COUNT", "MIN", "MAX")
 ARITHMETIC = ("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE")
 
@@ -27,12 +26,13 @@ class Spec(NamedTuple):
     limit: int | None
 
 
+NODES = ("FIELD", "VALUE", "AGGREGATION", *ARITHMETIC)
+
+
 def _type(node: Mapping) -> str:
-    if not isinstance(node, Mapping) or not isinstance(node.get("type"), str):
-        raise SpecError("Expression must be an object with a type")
-    kind = node["type"].strip().upper()
-    if kind not in ("FIELD", "VALUE", "AGGREGATION", *ARITHMETIC):
-        raise SpecError(f"Unsupported expression type: {kind}")
+    kind = str(node.get("type")).strip().upper() if isinstance(node, Mapping) else None
+    if kind not in NODES:
+        raise SpecError(f"no such expression node: {node!r}")
     return kind
 
 
@@ -43,43 +43,6 @@ def has_aggregate(node: Mapping) -> bool:
     )
 
 
-def _numeric(node: Mapping, errors: list[str], depth: int = 1) -> bool:
-    """Collect errors below ``node``; say whether its value is a number."""
-    if depth > MAX_DEPTH:
-        errors.append(f"expression nesting depth exceeds max of {MAX_DEPTH}")
-        return False
-    kind = _type(node)
-    if kind == "FIELD":
-        if not exists(node.get("field")):
-            errors.append(f"unknown field {node.get('field')}")
-            return False
-        return resolve(node["field"]).dtype == "NUMBER"
-    if kind == "VALUE":
-        return isinstance(node.get("value"), (int, float, Decimal)) and not isinstance(node["value"], bool)
-    if kind == "AGGREGATION":
-        function = str(node.get("function", "")).strip().upper()
-        if function not in FUNCTIONS:
-            errors.append(f"unsupported aggregation {function}")
-        inner = node.get("expression") or ({"type": "FIELD", "field": node["field"]} if node.get("field") else None)
-        if inner is None:
-            if function != "COUNT":
-                errors.append("aggregation requires field or expression")
-            elif node.get("distinct"):
-                errors.append("COUNT DISTINCT requires a field or expression")
-        elif not _numeric(inner, errors, depth + 1) and function in ("SUM", "AVG"):
-            errors.append(f"aggregation {function} requires numeric field/expression")
-        for cond in P.conditions_of(node.get("filters")):
-            P.check_condition(cond, errors)
-        return True
-    sides = [_numeric(node[side], errors, depth + 1) for side in ("left", "right")]
-    if not all(sides):
-        errors.append(f"arithmetic operation {kind} requires numeric operands")
-    right = node["right"]
-    if kind == "DIVIDE" and _type(right) == "VALUE" and right.get("value") == 0:
-        errors.append("division by zero is not allowed")
-    return True
-
-
 def _ordering(raw: Any) -> list[tuple[str, bool]]:
     out = []
     for item in raw or []:
@@ -91,39 +54,30 @@ def _ordering(raw: Any) -> list[tuple[str, bool]]:
 
 
 def read_spec(raw: Mapping) -> Spec:
-    """Check a metric definition and put its parts in one shape."""
-    if not isinstance(raw, Mapping):
-        raise SpecError("formula must be an object")
-    wrapped = "expression" in raw and "type" not in raw
-    expression = raw["expression"] if wrapped else raw
-    where = next((raw[k] for k in ("where", "filter", *(["filters"] if wrapped else [])) if raw.get(k)), None)
+    """Put the parts of a metric definition in one shape.
+
+    Only what no plan would show is refused here: names that are not in the star, and rows cut
+    off in no order. Types are left to the analyzer.
+    """
+    whole = "expression" in raw and "type" not in raw
+    expression = raw["expression"] if whole else raw
+    where = raw.get("where") or raw.get("filter") or (raw.get("filters") if whole else None) or None
     group_by = [g.strip() for g in raw.get("groupBy", [])]
     order_by = _ordering(raw.get("orderBy"))
-    limit, top = raw.get("limit"), raw.get("top")
-
-    errors: list[str] = []
-    _numeric(expression, errors)
-    for cond in P.conditions_of(where):
-        P.check_condition(cond, errors)
-    errors += [f"groupBy: unknown field {g}" for g in group_by if not exists(g)]
-    grouped = {resolve(g).name for g in group_by if exists(g)}
-    for name, _ in order_by:
-        if name.lower() == "value":
-            continue
-        if not exists(name):
-            errors.append(f"orderBy: unknown field {name}")
-        elif group_by and resolve(name).name not in grouped:
-            errors.append(f"orderBy: field {name} must also be present in groupBy when grouping is used")
-    if limit is not None and top is not None:
-        errors.append("limit and top cannot both be defined")
-    for label, n in (("limit", limit), ("top", top)):
-        if n is not None and (not isinstance(n, int) or isinstance(n, bool) or n <= 0):
-            errors.append(f"{label} must be a positive integer")
-    if (limit is not None or top is not None) and not order_by:
-        errors.append("orderBy is required when limit or top is provided")
-    if errors:
-        raise SpecError("; ".join(errors))
-    return Spec(expression, where, group_by, order_by, limit if limit is not None else top)
+    cuts = [raw[k] for k in ("limit", "top") if raw.get(k) is not None]
+    spec = Spec(expression, where, group_by, order_by, cuts[0] if cuts else None)
+    fields_of(spec, with_order=True)  # resolves every name
+    groups = {resolve(g).name for g in group_by}
+    loose = [n for n, _ in order_by if groups and n.lower() != "value" and resolve(n).name not in groups]
+    for wrong, why in (
+        (len(cuts) > 1, "give a limit or a top, not both"),
+        (any(isinstance(n, bool) or not isinstance(n, int) or n < 1 for n in cuts), "rows are cut at a whole number above 0"),
+        (cuts and not order_by, "rows are cut in some order only"),
+        (loose, f"groups have no {', '.join(loose)} to be ordered by"),
+    ):
+        if wrong:
+            raise SpecError(why)
+    return spec
 
 
 def _expression_fields(node: Mapping) -> Iterator[str]:
@@ -181,27 +135,32 @@ def _arith(kind: str, left: Column, right: Column) -> Column:
     return {"ADD": left + right, "SUBTRACT": left - right, "MULTIPLY": left * right}[kind]
 
 
+def _whole(name: str, reading: Reading) -> Column:
+    """The field's column; 64-bit integers as decimals, so that products and totals stay exact."""
+    col, flat = column_of(name, reading.swap), resolve(name).flat
+    return col.cast("decimal(20,0)") if (reading.swap or {}).get(flat, flat) in reading.whole else col
+
+
 def row_value(node: Mapping, reading: Reading = PLAIN) -> Column:
     """Row-level expression."""
     kind = _type(node)
     if kind == "FIELD":
-        return column_of(node["field"], reading.swap)
+        return _whole(node["field"], reading)
     if kind == "VALUE":
         return P.literal(node["value"])
     if kind == "AGGREGATION":
-        raise SpecError("Nested aggregations are not supported")
+        raise SpecError("an aggregate inside an aggregate")
     return _arith(kind, row_value(node["left"], reading), row_value(node["right"], reading))
 
 
 def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
     function = node["function"].strip().upper()
+    if function not in FUNCTIONS:
+        raise SpecError(f"no such aggregate: {function}")
     if node.get("expression"):
         x = row_value(node["expression"], reading)
     elif node.get("field"):
-        x = column_of(node["field"], reading.swap)
-        flat = resolve(node["field"]).flat
-        if function in ("SUM", "AVG") and (reading.swap or {}).get(flat, flat) in reading.whole:
-            x = x.cast("decimal(20,0)")
+        x = _whole(node["field"], reading) if function in ("SUM", "AVG") else column_of(node["field"], reading.swap)
     else:
         x = F.lit(1)
     keep = [c for c in (where, reading.filter(node["filters"]) if node.get("filters") else None) if c is not None]

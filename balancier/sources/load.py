@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 from typing import Any
@@ -25,20 +26,24 @@ def coerce(c: Column, dtype: str) -> Column:
 
 
 def plans(mapping: Iterable[Mapping[str, Any]]) -> dict[str, tuple[str, dict[str, str]]]:
-    """Mapping rows -> target table: (source table, {source column: target column})."""
-    out: dict[str, tuple[str, dict[str, str]]] = {}
+    """Mapping rows -> target table: (source table, {source column: target column}).
+
+    A target reads one table, a column goes to one place, and every staging table is fed.
+    """
+    tables: dict[str, dict[str, str]] = defaultdict(dict)
+    columns: dict[str, dict[str, dict[str, str]]] = defaultdict(lambda: defaultdict(dict))
     for row in mapping:
-        target = row["table_target"].strip().lower().split(".")[-1]
-        source, columns = out.setdefault(target, (row["table_source"].strip(), {}))
-        if row["table_source"].strip().lower() != source.lower():
-            raise ValueError(f"Inconsistent source tables for target {target}")
-        src, tgt = row["column_source"].strip(), row["column_target"].strip()
-        if columns.setdefault(src, tgt).lower() != tgt.lower():
-            raise ValueError(f"Conflicting mapping for source column {src} in target {target}")
-    missing = [t for t in STAGING_TARGETS if t not in out]
-    if missing:
-        raise ValueError(f"Missing mappings for {missing}")
-    return out
+        target, source, src, tgt = (row[k].strip() for k in ("table_target", "table_source", "column_source", "column_target"))
+        target = target.lower().rpartition(".")[2]
+        tables[target].setdefault(source.lower(), source)
+        columns[target][src].setdefault(tgt.lower(), tgt)
+    faults = [f"{t} is read from {sorted(s.values())}" for t, s in tables.items() if len(s) > 1]
+    faults += [f"{t}: {c} goes to {sorted(g.values())}" for t, own in columns.items() for c, g in own.items() if len(g) > 1]
+    faults += [f"nothing feeds {t}" for t in STAGING_TARGETS if t not in tables]
+    if faults:
+        raise ValueError("; ".join(faults))
+    only = lambda d: next(iter(d.values()))
+    return {t: (only(s), {c: only(g) for c, g in columns[t].items()}) for t, s in tables.items()}
 
 
 def project(source: DataFrame, mapping: Mapping[str, str], types: Mapping[str, str], date_bal: str | None = None) -> DataFrame:
@@ -46,13 +51,10 @@ def project(source: DataFrame, mapping: Mapping[str, str], types: Mapping[str, s
 
     ``date_bal`` (dd/MM/yyyy) fills that column when the mapping lacks it.
     """
-    have = {c.lower() for c in source.columns}
-    for src in mapping:
-        if src.lower() not in have:
-            raise ValueError(f"Invalid mapping: source column not found: {src}")
-    for tgt in mapping.values():
-        if tgt not in types:
-            raise ValueError(f"Invalid mapping: target column not found: {tgt}")
+    here = {c.lower() for c in source.columns}
+    lost = [c for c in mapping if c.lower() not in here] + [c for c in mapping.values() if c not in types]
+    if lost:
+        raise ValueError(f"mapped columns that neither side has: {lost}")
     cols = [coerce(F.col(src), types[tgt]).alias(tgt) for src, tgt in mapping.items()]
     if date_bal is not None and "date_bal" not in {t.lower() for t in mapping.values()}:
         day = datetime.strptime(date_bal, "%d/%m/%Y").date()
@@ -73,7 +75,7 @@ def load_table(rows: DataFrame, target: str, load_id: str, source_rows: int, log
     read = seen.get["rows"]
     stored = spark.read.parquet(f"{target}/load_id={load_id}").count()
     if not (read == stored == source_rows):
-        raise ValueError(f"Row count mismatch loading {target}: source={source_rows}, read={read}, stored={stored}")
+        raise ValueError(f"{target}: {source_rows} rows were due, {read} came, {stored} are stored")
     line = spark.createDataFrame([(target, load_id, read, "COMPLETED")], "target string, load_id string, rows long, status string")
     line.withColumn("executed_at", F.current_timestamp()).write.mode("append").parquet(log)
     return read

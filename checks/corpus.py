@@ -265,7 +265,7 @@ _LINES = "string_agg(role || ': ' || content, chr(10) ORDER BY sequence_no) AS t
 
 @check("conversation_text", f"WITH m AS ({duck(MESSAGES)}) SELECT session_id, CAST(0 AS BIGINT) AS part_no, count(*) AS messages, {_LINES} FROM m GROUP BY session_id")
 def conversation_text(spark, sf_dir):
-    return G.conversation_text(view(spark, sf_dir, MESSAGES))
+    return G.conversation_text(view(spark, sf_dir, MESSAGES), part=1000)
 
 
 @check("conversation_parts", f"WITH m AS ({duck(MESSAGES)}) SELECT session_id, sequence_no // 3 AS part_no, count(*) AS messages, {_LINES} FROM m GROUP BY ALL")

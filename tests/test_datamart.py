@@ -87,14 +87,18 @@ def test_reference_date_prunes_fact_partitions(loaded):
     assert "amount:bigint>" in text(df) and "soldeorigine" not in text(df)
 
 
-def test_far_page_equals_near_page(loaded, monkeypatch):
+def test_pages_and_pages_after_a_key(loaded):
     _, t = loaded
-    near = [tuple(r) for r in P.balance_page(t, 7, 13).items.collect()]
-    monkeypatch.setattr(P, "NEAR", 0)
-    far = P.balance_page(t, 7, 13)
-    assert [tuple(r) for r in far.items.collect()] == near and len(near) == 13
+    page = P.balance_page(t, 7, 13)
+    rows = [r["id"] for r in page.items.collect()]
+    assert len(rows) == 13 and page.total_pages == -(-page.total_elements // 13)
     assert P.balance_page(t, 10**6, 13).items.count() == 0
-    assert far.total_pages == -(-far.total_elements // 13)
+    facts, seen, last = t["fact_balance"], [], None
+    for _ in range(8):
+        seen += [r["id"] for r in P.page_after(facts, "id", last, 13).collect()]
+        last = seen[-1]
+    assert seen[7 * 13 :] == rows
+    assert P.page_after(facts, "id", 2**62).count() == 0
 
 
 def test_quality_counts_agree_with_clean(spark):

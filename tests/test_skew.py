@@ -1,10 +1,13 @@
 """One key holds most rows: results stay whole and no task gets the group."""
 
 import pytest
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from balancier.operators import datamart as D
 from balancier.operators import metrics as M
+from balancier.operators import scenario as X
 from balancier.operators import quality as Q
 from balancier.plans.catalog import star
 from checks.star import agg, cond
@@ -86,3 +89,23 @@ def test_totals_beyond_64_bits(spark):
     tables = {"fact_balance": big}
     out = M.metrics_at(tables, {"S": agg("SUM", "amount"), "M": agg("AVG", "amount"), "F": agg("SUM", "amount", cond("actif", "=", 0))}).first()
     assert out["S"] == float(2**64) and out["M"] == float(2**62) and out["F"] is None
+
+
+def test_expressions_beyond_64_bits(spark):
+    big = spark.range(4).select("id", F.lit(2**62).alias("amount"), F.lit(2**40).alias("soldeorigine"))
+    of = lambda kind, left, right: {"type": kind, "left": left, "right": right}
+    amount, origin = ({"type": "FIELD", "field": f} for f in ("amount", "soldeorigine"))
+    plus = of("ADD", amount, {"type": "VALUE", "value": 0})
+    specs = {
+        "S": {"type": "AGGREGATION", "function": "SUM", "expression": plus},
+        "M": {"type": "AGGREGATION", "function": "AVG", "expression": plus},
+        "P": {"type": "AGGREGATION", "function": "SUM", "expression": of("MULTIPLY", origin, origin)},
+    }
+    out = M.metrics_at({"fact_balance": big}, specs).first()
+    assert (out["S"], out["M"], out["P"]) == (float(2**64), float(2**62), float(2**82))
+
+
+def test_shock_totals_beyond_20_digits(spark):
+    rows = spark.range(3).select(F.lit(Decimal("9e19")).cast("decimal(38,10)").alias("_d0"), F.lit(True).alias("_hit"), F.lit(True).alias("_m0"))
+    out = rows.agg(*X.total_columns([None])).first()
+    assert out["positive_delta"] == Decimal("2.7e20") and out["negative_delta"] == 0

@@ -14,11 +14,11 @@ MAPPING = [
 def test_plans_check_the_mapping():
     plans = L.plans(MAPPING)
     assert plans["stg_contrat_raw"] == ("y", {"a": "id"})
-    with pytest.raises(ValueError, match="Missing mappings"):
+    with pytest.raises(ValueError, match="nothing feeds"):
         L.plans(MAPPING[:2])
-    with pytest.raises(ValueError, match="Inconsistent source tables"):
+    with pytest.raises(ValueError, match="is read from"):
         L.plans([*MAPPING, {**MAPPING[0], "table_source": "other"}])
-    with pytest.raises(ValueError, match="Conflicting mapping"):
+    with pytest.raises(ValueError, match="goes to"):
         L.plans([*MAPPING, {**MAPPING[0], "column_target": "other"}])
 
 
@@ -27,9 +27,9 @@ def test_projection(spark):
     types = {"id": "bigint", "name": "string", "date_bal": "string"}
     rows = L.project(src, {"a": "id", "b": "name"}, types, "31/03/2024").collect()
     assert [tuple(r) for r in rows] == [(7, " x ", "2024-03-31"), (None, None, "2024-03-31")]
-    with pytest.raises(ValueError, match="source column not found"):
+    with pytest.raises(ValueError, match="neither side has"):
         L.project(src, {"zz": "id"}, types)
-    with pytest.raises(ValueError, match="target column not found"):
+    with pytest.raises(ValueError, match="neither side has"):
         L.project(src, {"a": "zz"}, types)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         L.project(spark.createDataFrame([("x",)], "a string"), {"a": "id"}, types).collect()
@@ -39,7 +39,7 @@ def test_only_reconciled_loads_are_read(spark, tmp_path):
     target, log = str(tmp_path / "t"), str(tmp_path / "log")
     rows = spark.range(100).select(F.col("id").cast("string").alias("v"))
     assert L.load_table(rows, target, "L1", 100, log) == 100
-    with pytest.raises(ValueError, match="Row count mismatch"):
+    with pytest.raises(ValueError, match="rows were due"):
         L.load_table(rows, target, "L2", 101, log)
     assert L.read_loads(spark, target, log).count() == 100
     L.load_table(rows, target, "L2", 100, log)

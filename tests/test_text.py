@@ -1,6 +1,7 @@
+import random
+
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from balancier.functions import text as T
@@ -50,21 +51,28 @@ def test_prompt(spark):
     assert one(spark, f"{T.CONTEXT_MARKER} ctx", T.prompt_text) == f"{T.CONTEXT_MARKER} ctx"
 
 
-def test_cut_edges():
-    assert T.cut("a" * 10, 10) == ["a" * 10]
-    assert T.cut(" " + "a" * 5, 10) == [" aaaaa"]  # short texts stay as they are
-    assert T.cut("aaaaaaa. bbbbbbbb", 10) == ["aaaaaaa.", "bbbbbbbb"]
-    assert T.cut("aa. aaaaaaaaaaaa", 10) == ["aa. aaaaaa", "aaaaaa"]  # stop in the first half
-    assert T.cut("aaaaaaaaaa.bbb", 10) == ["aaaaaaaaaa.", "bbb"]  # the stop may be one past the window
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab .?!\n", max_size=400), st.integers(4, 60))
-def test_cut_loses_nothing(text, size):
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("a" * 10, ["a" * 10]),
+        (" " + "a" * 5, [" aaaaa"]),  # short texts stay as they are
+        ("aaaaaaa. bbbbbbbb", ["aaaaaaa.", "bbbbbbbb"]),
+        ("aa. aaaaaaaaaaaa", ["aa. aaaaaa", "aaaaaa"]),  # stop in the first half
+        ("aaaaaaaaaa.bbb", ["aaaaaaaaaa.", "bbb"]),  # the stop may be one past the window
+    ],
+)
+def test_cut_edges(spark, text, pieces):
+    assert one(spark, text, lambda c: T.chunks(c, 10)) == pieces
+
+
+def test_cut_loses_nothing(spark):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab .?!\né") for _ in range(rng.randint(0, 400))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.chunks("t", 37).alias("pieces")).collect()
     squeeze = lambda s: "".join(s.split())
-    pieces = T.cut(text, size)
-    assert squeeze("".join(pieces)) == squeeze(text)
-    assert all(len(p) <= size + 1 for p in pieces)
+    for r in rows:
+        assert squeeze("".join(r.pieces)) == squeeze(r.t)
+        assert len(r.t) <= 37 or all(len(p) <= 38 for p in r.pieces)
 
 
 def test_long_text_is_chunked_whole(spark):
@@ -134,6 +142,6 @@ def test_long_conversation_splits_into_parts(spark):
     from balancier.operators import chatlog as G
 
     msgs = spark.range(2500).select(F.lit(1).alias("session_id"), F.col("id").alias("sequence_no"), F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))
-    parts = G.conversation_text(msgs).orderBy("part_no").collect()
+    parts = G.conversation_text(msgs, part=1000).orderBy("part_no").collect()
     assert [p["messages"] for p in parts] == [1000, 1000, 500]
     assert "\n".join(p["text"] for p in parts) == "\n".join(f"user: {i}" for i in range(2500))
