@@ -107,6 +107,6 @@ def scope(requested: Iterable[str], catalog: DataFrame, code: str = "code") -> t
     """(catalog rows asked for, requested codes that do not exist)."""
     wanted = list(dict.fromkeys(c.strip() for c in requested if c and c.strip()))
     asked = catalog.sparkSession.createDataFrame([(c,) for c in wanted], f"{code} string")
-    found = catalog.join(F.broadcast(asked), code, "left_semi")
-    missing = asked.join(catalog.filter(F.col(code).isin(*wanted)).select(code).distinct(), code, "left_anti")
+    found = catalog.join(asked, code, "left_semi")
+    missing = asked.join(found.select(code).distinct(), code, "left_anti")
     return found, missing

@@ -150,7 +150,7 @@ def by_terms(documents: DataFrame, queries: Sequence[Query], k: int = 2 * TOP_K,
     weights = pairs.groupBy("term").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("weight"))  # one row per term
     asked = spark.createDataFrame([(q.name, t) for q in queries for t in dict.fromkeys(q.terms)], "query string, term string")
     scored = (
-        pairs.join(F.broadcast(weights), "term").join(F.broadcast(asked), "term")
+        pairs.join(weights, "term").join(asked, "term")
         .groupBy("query", "id").agg(F.round(F.sum(F.col("tf") * F.col("weight")), 9).alias("score"))
     )
     return best(scored, k)
@@ -167,7 +167,7 @@ def by_code(documents: DataFrame, queries: Sequence[Query], k: int = TOP_K, id_c
         F.struct(F.lit("parameter_code").alias("kind"), F.col("parameter_code").alias("code")),
     )
     rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.inline(both)).filter(F.col("code").isNotNull())
-    hits = rows.join(F.broadcast(codes), ["kind", "code"]).select("query", "id").distinct()
+    hits = rows.join(codes, ["kind", "code"]).select("query", "id").distinct()
     return best(hits.withColumn("score", F.lit(1.0)), k)
 
 

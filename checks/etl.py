@@ -11,7 +11,7 @@ from balancier.operators import quality as Q
 from balancier.session import work_folder, written
 from balancier.sources import load as L
 from balancier.sources.tabular import tidy
-from checks.registry import check
+from checks.registry import ORACLE, check
 from checks.staging import staging, staging_sql
 from checks.tables import duck, table, view
 
@@ -528,6 +528,49 @@ def datamart_load(spark, sf_dir):
     return D.table_counts(D.load_datamart(spark, *clean, f"{folder}/mart"))
 
 
+@check(
+    "surrogate_ids",
+    """SELECT count(*) FILTER (c_custkey % 3 <> 0) AS added, 1000 + (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + 1 AS first_id,
+    1000 + count(*) AS last_id, count(*) FILTER (c_custkey % 3 <> 0) AS ids, true AS kept, true AS again FROM customer""",
+)
+def surrogate_ids(spark, sf_dir):
+    """Ids go on after the old ones without a gap, old ones stay, and a second run gives the same."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey")
+    old = D.number_rows(people.filter("c_custkey % 3 = 0").select("name"), ["name"], 1000)
+    new = D.insert_ignore(old, people.select("name"), ["name"])
+    twice = D.insert_ignore(old.unionByName(new), people.select("name"), ["name"])
+    repeat = D.insert_ignore(old, people.orderBy(F.desc("c_custkey")).select("name"), ["name"])
+    differ = new.join(repeat, ["id", "name"], "left_anti").agg((F.count(F.lit(1)) == 0).alias("again"))
+    nothing = twice.agg((F.count(F.lit(1)) == 0).alias("kept"))
+    facts = new.agg(
+        F.count(F.lit(1)).alias("added"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids")
+    )
+    return Q.one_row(facts, nothing, differ)
+
+
+@check("load_reconciled", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+def load_reconciled(spark, sf_dir):
+    """One load whose rows all arrived, and one that came short and is never read."""
+    folder = work_folder(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    whole, short = orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1")
+    L.load_table(whole, f"{folder}/orders", "first", whole.count(), f"{folder}/log")
+    try:
+        L.load_table(short, f"{folder}/orders", "second", short.count() + 1, f"{folder}/log")
+    except ValueError:
+        return L.read_loads(spark, f"{folder}/orders", f"{folder}/log").select("o_orderkey", "o_custkey")
+    raise AssertionError("a short load was taken")
+
+
+@check("quality_log", f"SELECT c.*, 'COMPLETED' AS status FROM ({ORACLE['dq_counters']}) c, (VALUES (1), (2)) r(run)")
+def quality_log(spark, sf_dir):
+    """Two runs of the counters, read back without their time."""
+    path = f"{work_folder(spark)}/runs"
+    for _ in range(2):
+        L.log_run(dq_counters(spark, sf_dir), path)
+    return spark.read.parquet(path).drop("executed_at")
+
+
 _SHEET = """SELECT CASE WHEN page_id % 4 = 0 THEN ' ' ELSE concat(' ', url) END AS ` Url `, CASE WHEN page_id % 4 = 0 THEN NULL ELSE html END AS Content,
     CASE WHEN page_id % 8 = 4 THEN 'x ' ELSE '' END AS `  ` FROM {pages}"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -118,6 +119,16 @@ def ratio_values(spark, sf_dir):
     return wide.select("reference_date", *[F.round(c, 6).alias(c) for c in RATIOS])
 
 
+@check("ratio_values_configured", BY_DATE + " SELECT reference_date, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in ratios_sql().items() if c != "RL") + " FROM m")
+def ratio_values_configured(spark, sf_dir):
+    """Ratios as the active rows of a configuration table define them; RL is switched off there."""
+    rows = [(i, c, json.dumps(RATIOS[c]), c != "RL") for c, i in IDS.items()]
+    config = spark.createDataFrame(rows, "id bigint, code string, formula_json string, is_active boolean")
+    trees = {c: tree for c, (_, tree) in R.read_config(config).items()}
+    wide = R.ratios_wide(_wide(spark, sf_dir), trees, ["reference_date"])
+    return wide.select("reference_date", *[F.round(c, 6).alias(c) for c in trees])
+
+
 @check("ratio_values_zero", BY_DATE + " SELECT reference_date, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in ratios_sql("0").items()) + " FROM m")
 def ratio_values_zero(spark, sf_dir):
     wide = R.ratios_wide(_wide(spark, sf_dir), RATIOS, ["reference_date"], on_zero="zero")
@@ -142,7 +153,7 @@ def ratio_long(spark, sf_dir):
     WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.id_ratios = r.id_ratios AND s.reference_date = m.reference_date)""",
 )
 def dashboard_missing(spark, sf_dir):
-    dates = M.reference_dates(datamart(spark, sf_dir, client=False))
+    dates = M.reference_dates(datamart(spark, sf_dir))
     return B.missing_pairs(IDS.values(), dates, _stored(spark, sf_dir))
 
 
@@ -177,6 +188,21 @@ def dashboard_new_ratio(spark, sf_dir):
     return rows.withColumn("value", F.round("value", 6))
 
 
+@check(
+    "dashboard_manual",
+    STORED + " SELECT max(id) + 1 AS id, 9 AS id_ratios, CAST(1.5 AS DOUBLE) AS ratios_value, DATE '1997-05-01' AS reference_date FROM stored",
+)
+def dashboard_manual(spark, sf_dir):
+    """A value entered by hand; a second one for the same ratio and date is refused."""
+    existing = _stored(spark, sf_dir)
+    row = B.manual_value(existing, 9, date(1997, 5, 1), 1.5).drop("created_at")
+    try:
+        B.manual_value(row, 9, date(1997, 5, 1), 2.5)
+    except ValueError:
+        return row
+    raise AssertionError("a pair was stored twice")
+
+
 _LISTING = """SELECT s.id, s.id_ratios, c.code, c.label, c.description, c.famille_id, c.categorie_id, f.name AS famille_code, k.name AS categorie_code,
     c.seuil_tolerance, c.seuil_alerte, c.seuil_appetence, round(s.ratios_value, 6) AS value, s.reference_date FROM stored s
     LEFT JOIN config c ON c.id = s.id_ratios LEFT JOIN (VALUES (1, 'Solidite'), (2, 'Structure')) f(id, name) ON f.id = c.famille_id
@@ -360,6 +386,21 @@ def scenario_ratio_impacts(spark, sf_dir):
     return _rounded(X.balance_scenario(datamart(spark, sf_dir), METRICS, RATIOS, BALANCED).ratios)
 
 
+@check(
+    "scenario_ratio_stored",
+    STORED + ", x AS" + _both(f"WHERE dtf.date_value = DATE '{_AT}' GROUP BY dtf.date_value").rpartition(",\nx AS")[2]
+    + " SELECT i.*, s.ratios_value AS dashboard_value FROM (" + _impact_sql(_RATIO_PAIRS, "'RS', 'RL', 'RLCT', 'BAD'") + ") i "
+    + "LEFT JOIN (VALUES " + ", ".join(f"('{c}', {i})" for c, i in IDS.items()) + ") k(code, id) ON k.code = i.code "
+    + f"LEFT JOIN stored s ON s.id_ratios = k.id AND s.reference_date = DATE '{_AT}'",
+)
+def scenario_ratio_stored(spark, sf_dir):
+    """One date, every ratio beside the value its dashboard holds."""
+    out = X.balance_scenario(
+        datamart(spark, sf_dir), METRICS, RATIOS, BALANCED, _AT, changed_only=False, dashboard=_stored(spark, sf_dir), ratio_ids=IDS
+    )
+    return _rounded(out.ratios)
+
+
 ADJUSTMENTS = [
     {"operation": "ADD", "code": "RO", "value": 7},
     {"operation": "MULTIPLY", "code": "FPE", "value": 0.85},
@@ -410,5 +451,5 @@ def dependency_values(spark, sf_dir):
         FROM fact_balance f LEFT JOIN sub_dim_date d ON f.id_date = d.id"""),
 )
 def scenario_diagnostics(spark, sf_dir):
-    out = X.diagnostics(datamart(spark, sf_dir, client=False), _AT)
+    out = X.diagnostics(datamart(spark, sf_dir), _AT)
     return out.withColumn("available_dates", F.array_join(F.transform("available_dates", lambda d: d.cast("string")), ","))

@@ -82,7 +82,7 @@ ALL_AGGS = {
     ),
 )
 def metric_scalar_all_aggs(spark, sf_dir):
-    out = M.metrics_at(datamart(spark, sf_dir, client=False), ALL_AGGS)
+    out = M.metrics_at(datamart(spark, sf_dir), ALL_AGGS)
     return out.withColumns({"total": F.round("total", 2), "mean": F.round("mean", 6)})
 
 
@@ -121,7 +121,7 @@ def metric_expr_agg(spark, sf_dir):
         ),
         "groupBy": ["chapitre"],
     }
-    return M.metric(datamart(spark, sf_dir, client=False), spec).withColumn("value", F.round("value", 4))
+    return M.metric(datamart(spark, sf_dir), spec).withColumn("value", F.round("value", 4))
 
 
 @check(
@@ -137,7 +137,7 @@ def metric_at_date(spark, sf_dir):
         "where": cond("soldeorigine", ">", 1000),
         "groupBy": ["typcontrat"],
     }
-    return M.metric(datamart(spark, sf_dir, client=False), spec, at="1998-03-01").withColumn("value", F.round("value", 2))
+    return M.metric(datamart(spark, sf_dir), spec, at="1998-03-01").withColumn("value", F.round("value", 2))
 
 
 @check(
@@ -154,7 +154,7 @@ def metric_rows_topn(spark, sf_dir):
         "orderBy": [{"field": "value", "direction": "DESC"}, "id"],
         "top": 25,
     }
-    return M.metric(datamart(spark, sf_dir, client=False), spec)
+    return M.metric(datamart(spark, sf_dir), spec)
 
 
 SIX = {
@@ -262,7 +262,7 @@ def star_role_playing(spark, sf_dir):
         "where": cond("numagence", "!=", 105),
         "groupBy": ["devise", "devisebnq", "numagencecontrat"],
     }
-    return M.metric(datamart(spark, sf_dir, client=False), spec)
+    return M.metric(datamart(spark, sf_dir), spec)
 
 
 @check(
@@ -288,7 +288,7 @@ def order_nulls(spark, sf_dir):
 
 @check("dates_all", with_views(DATAMART_VIEWS, "SELECT DISTINCT date_value AS reference_date FROM fact_balance f JOIN sub_dim_date d ON f.id_date = d.id"))
 def dates_all(spark, sf_dir):
-    return M.reference_dates(datamart(spark, sf_dir, client=False))
+    return M.reference_dates(datamart(spark, sf_dir))
 
 
 @check(
@@ -297,7 +297,7 @@ def dates_all(spark, sf_dir):
         JOIN sub_dim_date d ON f.id_date = d.id ORDER BY 1 DESC LIMIT 5"""),
 )
 def dates_latest(spark, sf_dir):
-    return M.reference_dates(datamart(spark, sf_dir, client=False), latest=5)
+    return M.reference_dates(datamart(spark, sf_dir), latest=5)
 
 
 @check(
@@ -310,6 +310,12 @@ def code_scope_missing(spark, sf_dir):
     return M.scope(["Brand#1", " Brand#7", "Brand#99", "Nope", "Nope", ""], brands)[1]
 
 
+@check("code_scope_found", "SELECT p_brand AS code, p_partkey FROM part WHERE p_brand IN ('Brand#1', 'Brand#7', 'Brand#99', 'Nope')")
+def code_scope_found(spark, sf_dir):
+    brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("code"), "p_partkey")
+    return M.scope(["Brand#1", " Brand#7", "Brand#99", "Nope", "Nope", ""], brands)[0]
+
+
 def _long_sql() -> str:
     return """SELECT reference_date, code, value FROM (
         UNPIVOT wide ON total, open_total, mean_amount, n_doubtful, debit, share INTO NAME code VALUE value)"""
