@@ -98,13 +98,14 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count().collect()  # start the engine
     prepare(spark, sf_dir)
-    times = {}
+    times, cold = {}, {}
     for name in sys.argv[1:] or QUERIES:
-        start = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - start, 3)
+        for took in (cold, times):  # the first run also generates and compiles its code
+            start = time.time()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took[name] = round(time.time() - start, 3)
     print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+        "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "cold": cold,
         "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0),
     }))
     spark.stop()
