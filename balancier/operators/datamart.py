@@ -146,7 +146,8 @@ def contract_types(contracts: DataFrame) -> DataFrame:
 def accounts(ledger: DataFrame) -> DataFrame:
     """One row per account with its greatest label."""
     rows = ledger.select(C.guarded("compte", "bigint").alias("numcompte"), C.blank_to_null("libellecompte").alias("l"))
-    return rows.filter(F.col("numcompte").isNotNull()).groupBy("numcompte").agg(F.max("l").alias("libellecompte"))
+    pairs = rows.filter(F.col("numcompte").isNotNull()).distinct()  # hashed; a text's maximum needs sorted rows
+    return pairs.groupBy("numcompte").agg(F.max("l").alias("libellecompte"))
 
 
 def residences(customers: DataFrame) -> DataFrame:

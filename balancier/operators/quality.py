@@ -200,18 +200,19 @@ def deletion_counts(df: DataFrame, rules: Rules, id_col: str = "id") -> DataFram
     """One row with what ``clean`` deletes per rule; each rule sees what the last one left.
 
     One pass: the lowest-id row of each key, taken inside the aggregation, says whether
-    the row that survives rule 2 breaks rule 3. Rows without a key are all kept by rule 2.
+    the row that survives rule 2 breaks rule 3. Its id and flag are one number, so that the
+    aggregation can hash. Rows without a key are all kept by rule 2.
     """
     flagged = df.select(*_keys(rules), F.col(id_col).alias("_id"), any_null(rules).alias("_null"), bad_type(rules).alias("_bad"))
     left = ~F.col("_null")
     per_key = flagged.groupBy("k0").agg(
         F.count_if("_null").alias("nulls"),
         F.count_if(left).alias("n"),
-        F.min(F.when(left, F.struct("_id", "_bad"))).alias("first"),
+        F.min(F.when(left, F.col("_id").cast("decimal(20,0)") * 2 + F.col("_bad").cast("int"))).alias("first"),
         F.count_if(left & F.col("_bad")).alias("bad"),
     )
     keyed = F.col("k0").isNotNull()
-    bad = F.when(keyed, F.coalesce(F.col("first._bad"), F.lit(False)).cast("bigint")).otherwise(F.col("bad"))
+    bad = F.when(keyed, F.coalesce(F.pmod("first", F.lit(2)), F.lit(0)).cast("bigint")).otherwise(F.col("bad"))
     sums = per_key.agg(
         F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
         F.coalesce(F.sum(F.when(keyed & (F.col("n") > 1), F.col("n") - 1)), F.lit(0)).alias("duplicates"),

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from balancier.functions import text as X
-from balancier.session import work_folder, written
 
 TOP_K = 8
 RRF_K = 60
@@ -128,26 +127,19 @@ def dense(documents: DataFrame, queries: Sequence[Query], k: int = 2 * TOP_K, id
 def by_terms(documents: DataFrame, queries: Sequence[Query], k: int = 2 * TOP_K, id_col: str = "id", texts: Sequence[str] = ("content", "title")) -> DataFrame:
     """Documents with any term of the query, ranked by the sum of tf * ln(1 + N / df).
 
-    Term counts come from one pass over the texts; they are written to the shared work
-    folder because document frequencies and scores both read them.
+    Only words that some query names leave the scan. Their counts are shuffled once and read
+    both for the document frequencies and for the scores.
     """
     spark = documents.sparkSession
     wanted = sorted({t for q in queries for t in q.terms})
     if not wanted:
         return best(spark.createDataFrame([], RESULT), k)
     whole = F.concat_ws(" ", *[F.col(t) for t in texts])
-    listed = F.array(*[F.lit(t) for t in wanted])
-    counted = F.transform(
-        F.array_intersect("words", listed),
-        lambda t: F.struct(t.alias("term"), (F.size("words") - F.size(F.array_remove("words", t))).alias("tf")),
-    )
-    matched = (
-        documents.select(F.col(id_col).cast("bigint").alias("id"), X.words(whole).alias("words"))
-        .filter(F.arrays_overlap("words", listed)).select("id", F.inline(counted))
-    )
-    pairs = written(matched, work_folder(spark))
-    total = documents.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    weights = pairs.groupBy("term").agg(F.log1p(F.lit(float(total)) / F.count(F.lit(1))).alias("weight"))  # one row per term
+    words = documents.select(F.col(id_col).cast("bigint").alias("id"), F.explode(X.words(whole)).alias("term"))
+    pairs = words.filter(F.col("term").isin(*wanted)).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = documents.agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("_one", F.lit(1))
+    frequency = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
+    weights = frequency.join(total, "_one").select("term", F.log1p(F.col("n") / F.col("df")).alias("weight"))
     asked = spark.createDataFrame([(q.name, t) for q in queries for t in dict.fromkeys(q.terms)], "query string, term string")
     scored = (
         pairs.join(weights, "term").join(asked, "term")
