@@ -48,7 +48,6 @@ def prepare(spark, sf):
     folder = work_folder(spark)
     for name in VIEWS:
         PREPARED[name] = written(staging(spark, sf, name), f"{folder}/{name}")
-    PREPARED["root"] = f"{folder}/mart"
     views = datamart(spark, sf)
     stored = {n: views[n] for n in (*DATAMART_SQL, "sub_dim_date") if n != "fact_balance"}
     PREPARED["star"] = {n: written(df, f"{folder}/star/{n}") for n, df in stored.items()}
@@ -63,6 +62,11 @@ def clean(spark, sf):
 
 
 def load(spark, sf):
+    PREPARED["root"] = f"{work_folder(spark)}/mart"  # an empty one for every run
+    return reload(spark, sf)
+
+
+def reload(spark, sf):
     return D.table_counts(D.load_datamart(spark, *PREPARED["clean"], PREPARED["root"]))
 
 
@@ -79,7 +83,7 @@ QUERIES = {
     "dq_deletions": lambda s, d: Q.deletion_counts(PREPARED["stg_contrat"], Q.CONTRACTS),
     "clean_staging": clean,
     "datamart_load": load,
-    "datamart_reload": load,
+    "datamart_reload": reload,
     "entities": corpus.entities_long,
     "tokens_top": corpus.tokens_top,
     "chunks": corpus.chunks,
