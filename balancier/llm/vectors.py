@@ -2,9 +2,10 @@
 
 Every vector is rotated at random a few times and keeps the signs, and for each rotation the
 factor that makes the inner product of the signs with another vector an unbiased estimate of
-the cosine. Runs of sign bits are the keys on which vectors meet. Those that meet are compared
-by the estimates; a pair whose confidence bound reaches the threshold is computed exactly. The
-links of a component are then counted exactly, in blocks.
+the cosine. Runs of sign bits are the keys on which vectors meet. First those that meet are
+compared with a few leaders by the estimates; a pair whose confidence bound reaches the threshold
+is computed exactly. Then every two vectors of a key that this leaves in different components are
+compared in blocks, by bounds that hold always. The links of a component are counted exactly.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ RECALL = 0.995
 CROWD = 32
 #: Standard errors between an estimate and its bound.
 SURE = 4.0
-#: Vectors of a component that are compared with each other in one step.
+#: Vectors of a key or a component that are compared with each other in one step.
 SIDE = 1024
 
 
@@ -80,6 +81,12 @@ def _read(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, digest binary, unit array<double>")
 
 
+def _small(unit: np.ndarray) -> tuple[float, np.ndarray]:
+    """A vector in steps of a scale."""
+    scale = float(np.abs(unit).max() / 127)
+    return scale, np.rint(unit / scale).astype("i1")
+
+
 def codes(classes: DataFrame, bits: int, count: int) -> DataFrame:
     """``key, node, code, factors, scale, small``: a row for each table of every vector.
 
@@ -99,8 +106,8 @@ def codes(classes: DataFrame, bits: int, count: int) -> DataFrame:
                 turned = turns[dim] @ x
                 signs = (turned >= 0).ravel()
                 factors = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-                scale = float(np.abs(x).max() / 127)
-                small = np.rint(x / scale).astype("i1").tobytes()
+                scale, small = _small(x)
+                small = small.tobytes()
                 packed = np.packbits(signs).tobytes()
                 own = np.zeros((count, 64), "u1")
                 own[:, 64 - bits :] = signs[: bits * count].reshape(count, bits)
@@ -143,7 +150,7 @@ class _Leaders:
 
 
 def meet(coded: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` that share a key and whose bound reaches the threshold.
+    """Pairs ``a, b`` that share a key and whose bound reaches the threshold: a first pass, not all of them.
 
     Within a key a vector is compared with those leading before it: it names the first that may
     be near and the likeliest, and leads too unless one is near by the estimate. Rows are dealt out
@@ -187,6 +194,107 @@ def _pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def smalls(classes: DataFrame) -> DataFrame:
+    """``node, small, scale, off``: vectors in steps of ``scale``, and how far that is from the vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = [np.array(u) for u in batch.column("unit").to_pylist()]
+            scaled = [_small(u) for u in units]
+            off = [float(np.linalg.norm(u - scale * small)) for u, (scale, small) in zip(units, scaled)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([x.tobytes() for _, x in scaled], pa.binary()), pa.array([x for x, _ in scaled], pa.float64()),
+                 pa.array(off, pa.float64())],
+                ["node", "small", "scale", "off"],
+            )
+
+    return classes.select("node", "unit").mapInArrow(run, "node long, small binary, scale double, off double")
+
+
+def apart(groups: DataFrame, small: DataFrame) -> DataFrame:
+    """Members of the keys that hold more than one component, in blocks of about ``SIDE`` vectors.
+
+    ``groups`` has ``key, node, component``. A component of more than ``SIDE`` vectors of a key has
+    blocks of its own there, the others share theirs. Each block is compared with every block,
+    but not with those of the same large component.
+    """
+    sizes = groups.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") > SIDE
+    blocks = F.ceil(F.col("n") / SIDE).cast("int").alias("blocks")
+    mixed = sizes.groupBy("key").agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.collect_list(F.when(large, F.struct(F.col("component").alias("owner"), blocks))).alias("large"),
+        F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / SIDE).cast("int").alias("shared"),
+    )
+    rows = groups.join(mixed.where("parts > 1").drop("parts"), "key")
+    own = F.filter("large", lambda x: x["owner"] == F.col("component"))
+    rows = rows.withColumn("own", F.when(F.size(own) > 0, own[0]))
+    name = lambda owner, i: F.concat_ws(":", owner, i)
+    named = lambda owner, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: name(owner, i))).otherwise(F.array().cast("array<string>"))
+    others = F.filter("large", lambda x: F.col("own").isNull() | (x["owner"] != F.col("component")))
+    others = F.flatten(F.transform(others, lambda x: named(x["owner"].cast("string"), x["blocks"])))
+    others = F.concat(others, named(F.lit("shared"), F.col("shared")))
+    home = name(F.coalesce(F.col("own.owner").cast("string"), F.lit("shared")), F.pmod(F.xxhash64("node"), F.coalesce("own.blocks", "shared")))
+    rows = rows.select("key", "node", "component", home.alias("home"), F.explode(others).alias("other"))
+    group = F.concat_ws("/", "key", F.least("home", "other"), F.greatest("home", "other"))
+    side = F.when(F.col("home") > F.col("other"), 1).otherwise(0)
+    rows = rows.select(group.alias("group"), side.alias("side"), "node", "component")
+    return rows.join(small, "node").repartition("group").sortWithinPartitions("group")
+
+
+def near(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of different components within a group of ``apart`` that join all that links there.
+
+    Cosines of the scaled vectors are off by no more than these are, so a pair is a link for
+    sure, is none, or is left to be computed. Of the sure links those that join two components
+    are named; of the others each pair that these leave apart.
+    """
+
+    def compare(held: list[dict]) -> list[tuple[int, int]]:
+        out = []
+        for dim in {len(r["small"]) for r in held}:
+            rows = [r for r in held if len(r["small"]) == dim]
+            part = np.unique(np.array([r["component"] for r in rows], "i8"), return_inverse=True)[1]
+            if not part.any():
+                continue
+            node, side = (np.array([r[k] for r in rows], "i8") for k in ("node", "side"))
+            scale, off = (np.array([r[k] for r in rows]) for k in ("scale", "off"))
+            units = np.frombuffer(b"".join(r["small"] for r in rows), "i1").reshape(len(rows), dim) * scale[:, None]
+            cosine = units @ units.T
+            slack = off[:, None] + off + off[:, None] * off + 1e-9
+            may = np.triu(cosine + slack >= threshold, 1)
+            if side.any():
+                may &= side[:, None] != side
+            sure = may & (cosine - slack >= threshold)
+            links = []
+            for i in range(len(rows)):
+                at = np.flatnonzero(sure[i] & (part != part[i]))
+                while len(at):
+                    links.append((i, int(at[0])))
+                    part[part == part[at[0]]] = part[i]
+                    at = at[part[at] != part[i]]
+            links += np.argwhere(may & ~sure & (part[:, None] != part)).tolist()
+            out += [(min(a, b), max(a, b)) for a, b in ((int(node[i]), int(node[j])) for i, j in links)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, seen = None, [], set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["group"] != group:
+                    seen.update(compare(held))
+                    group, held = row["group"], []
+                    if len(seen) > 100_000:
+                        yield _pairs(seen)
+                        seen = set()
+                held.append(row)
+        seen.update(compare(held))
+        if seen:
+            yield _pairs(seen)
+
+    return members.mapInArrow(run, "a long, b long").distinct()
+
+
 def _dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -260,8 +368,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     one = groups.join(sound.select("digest", F.col("vec_id").alias("node"), "unit"), ["digest", "node"]).dropDuplicates(["digest"])
     classes = kept(spark, one)
     bits, count = tables(classes.count(), threshold)
-    pairs = meet(codes(classes, bits, count), threshold)
-    links = verified(pairs, classes, threshold)
+    coded = codes(classes, bits, count)
+    links = kept(spark, verified(meet(coded, threshold), classes, threshold))
+    parts = components(spark, links)
+    met = coded.select("key", "node").join(parts, "node", "left")
+    groups = kept(spark, met.select("key", "node", F.coalesce("component", "node").alias("component")))
+    pairs = near(apart(groups, smalls(classes)), threshold)
+    links = links.unionByName(verified(pairs, classes, threshold))
     parts = kept(spark, components(spark, links))
     others = counted(classes.join(parts, "node"), threshold)
     found = classes.select("digest", "node", "copies").join(parts, "node", "left").join(others, "node", "left")

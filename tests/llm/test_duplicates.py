@@ -223,6 +223,41 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(spark, empty).collect() == []
 
 
+@pytest.mark.parametrize("side,crowd", [(1024, 32), (16, 500)])
+def test_vectors_of_chains_and_big_groups(spark, monkeypatch, side, crowd):
+    """Links that no leader takes part in: border vectors of a big group, chains, and crowded keys in many ranges."""
+    monkeypatch.setattr(vectors, "SIDE", side)
+    monkeypatch.setattr(vectors, "CROWD", crowd)
+    rng = np.random.default_rng(8)
+    dim = 24
+
+    def beside(x, cosine):
+        y = rng.standard_normal(dim)
+        y -= (x @ y) * x
+        return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+    rows = []
+    for _ in range(3):
+        first = beside(np.eye(dim)[0], 0.0)
+        group = [beside(first, 0.93) for _ in range(100)]
+        rows += [first, *group, *[beside(x, 0.96) for x in group[:40]]]
+    for _ in range(20):
+        x = beside(np.eye(dim)[1], 0.0)
+        way = beside(x, 0.0)
+        rows += [np.cos(a) * x + np.sin(a) * way for a in np.arange(8) * 0.25]
+    rows += [beside(np.eye(dim)[2], 0.0) for _ in range(300)]
+    units = np.array(rows)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    linked = units @ units.T >= 0.9
+    union = Union(range(len(rows)))
+    for a, b in np.argwhere(linked):
+        union.join(int(a), int(b))
+    want = {i: (int(linked[i].sum()) - 1, union.find(i), union.find(i) == i) for i in range(len(rows))}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark, df).collect()}
+    assert got == want
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     turns = vectors.rotations(64, 256)
