@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balancier.llm import factors, jaccard, packing, quality
-from balancier.llm.common import kept, small_batches
+from balancier.llm.common import documents, kept, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,12 +20,22 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their shingles the one of the smallest id, once."""
+    """Of each group of documents linked by their shingles the one of the smallest id, once.
+
+    A document is an id and a text: rows of a null id or of one id are told apart by their texts.
+    A null id counts as the smallest; of one id the text of the least hash stays. Rows equal in
+    id and text are one document, of which the least row stays.
+    """
     small_batches(spark)
-    found = jaccard.join(spark, docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first"))
-    stay = docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    known = documents(docs)
+    node = F.xxhash64("doc_id", "text").alias("node")
+    ids = known.select("doc_id", node)
+    parts = jaccard.join(spark, known.select(node.alias("doc_id"), "text"))
+    parts = parts.select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct()
+    first = parts.join(ids, "node").groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("first"))
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text")
+    rows = documents(rows, "row").select(node, "row").join(first.select(F.col("first.node").alias("node")), "node", "left_semi")
+    return rows.groupBy("node").agg(F.min("row").alias("row")).select("row.*")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

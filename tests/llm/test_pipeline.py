@@ -119,5 +119,19 @@ def test_stages_keep_the_columns(spark, corpus):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), corpus).collect() == []
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Rows of one id, or of none, are documents of their own texts."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(60))
+    null, same = [text() for _ in range(6)], [text() for _ in range(6)]
+    copies = [(100 + i, t) for i, t in enumerate(null[:2] + same[:2])]
+    near = [(200, null[2] + " more"), (1, same[2] + " more")]
+    rows = [(None, t) for t in null] + [(7, t) for t in same] + copies + near + [(None, null[3]), (7, same[3]), (8, same[4]), (None, None), (9, "")]
+    want = [(None, t) for t in null] + [(7, t) for i, t in enumerate(same) if i != 2] + [(1, near[1][1]), (None, ""), (9, "")]
+    by_id = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    got = corpus_pipeline.distinct(spark, documents(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=by_id) == sorted(want, key=by_id)
+
+
 def test_every_query_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
