@@ -78,7 +78,7 @@ def parse(match: np.ndarray) -> list[tuple[int, int]]:
 
 
 def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
-    """``doc, span`` of the runs of windows that also stand elsewhere in these contexts."""
+    """``doc, tag, span`` of the runs of windows that also stand elsewhere in these contexts."""
     width = kind.width
     units = own.units.view("u8")
     offsets = own.offsets // 8
@@ -92,7 +92,7 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
     symbols[~piece_end] = kinds
     symbols[piece_end] = len(units) + np.arange(len(lengths))
     match = longest_matches(symbols, 2 * width + 128)
-    start, more, tag = P.unpack(own.span)
+    start, more = P.unpack(own.span)
     out_doc, out_span = [], []
     for i, (head, size, windows) in enumerate(zip(heads.tolist(), lengths.tolist(), (more + 1).tolist())):
         found = match[head : head + size]
@@ -119,7 +119,7 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
             out_span.append((first, previous - first))
     at = np.array(out_doc, "i8")
     runs = np.array(out_span, "i8").reshape(-1, 2)
-    return own.doc[at], P.pack(start[at] + runs[:, 0], runs[:, 1], tag[at])
+    return own.doc[at], own.tag[at], P.pack(start[at] + runs[:, 0], runs[:, 1])
 
 
 def dedup(spark: SparkSession, docs: DataFrame, *carry: str, width: int = WIDTH, k: int = GRAM) -> DataFrame:

@@ -6,9 +6,9 @@ units that a run's windows cover are its context. Equal windows have equal ancho
 places, so only runs of one anchor can hold equal windows. Of these, equal contexts are settled
 at once; different ones go to the operator's own method, which sees all of an anchor together.
 
-Rows between the steps are ``kind, key, ctx, doc_id, span``. ``span`` packs the first window's
-place, the run's number of windows less one and 16 bits of the text's hash, so that rows which
-share an id but not a text stay apart. Rows equal in id and text are one text.
+Rows between the steps are ``kind, key, ctx, doc_id, tag, span``. ``tag`` is the 64-bit hash of the
+text, so that rows which share an id but not a text stay apart. ``span`` packs the first window's
+place and the run's number of windows less one. Rows equal in id and text are one text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from balancier.llm.common import blocks, documents, kept
 #: a run that is settled, a context of a hot anchor, a note that an anchor is hot, and what is
 #: left for the operator's method.
 ALONE, TWICE, SPAN, HOT, MARK, OPEN = range(6)
-ROW = "kind int, key long, ctx long, doc_id long, span long"
+ROW = "kind int, key long, ctx long, doc_id long, tag long, span long"
 #: Contexts of one anchor in one block from which on it is hot: its contexts then skip the meeting.
 MANY = 200
 BLOCK = 4 * 1024 * 1024
@@ -54,12 +54,12 @@ class Kind(NamedTuple):
     hashed: Callable[[np.ndarray], np.ndarray]
 
 
-def pack(start: np.ndarray, more: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    return (start << 23) | (more << 16) | tag
+def pack(start: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return (start << 7) | more
 
 
-def unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return span >> 23, (span >> 16) & 127, span & 0xFFFF
+def unpack(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return span >> 7, span & 127
 
 
 def runs(units: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
@@ -108,15 +108,15 @@ def same_before(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(kind: np.ndarray, key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
-    columns = [kind.astype("i4"), key.astype("u8").view("i8"), ctx.astype("u8").view("i8"), doc, span]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "ctx", "doc_id", "span"])
+def _rows(kind: np.ndarray, key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, tag: np.ndarray, span: np.ndarray) -> pa.RecordBatch:
+    columns = [kind.astype("i4"), key.astype("u8").view("i8"), ctx.astype("u8").view("i8"), doc, tag, span]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "ctx", "doc_id", "tag", "span"])
 
 
-def _meet(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, span: np.ndarray, twice: np.ndarray, keep_first: bool):
-    """Rows in order of all four: which are each context's first, which of these are met again, which are settled."""
+def _meet(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, tag: np.ndarray, span: np.ndarray, twice: np.ndarray, keep_first: bool):
+    """Rows in order of all five: which are each context's first, which of these are met again, which are settled."""
     again = same_before(key, ctx)
-    equal = same_before(key, ctx, doc, span)  # a repeated row of the table, not another place
+    equal = same_before(key, ctx, doc, tag, span)  # a repeated row of the table, not another place
     heads = np.flatnonzero(~again)
     others = np.add.reduceat((again & ~equal) | twice, heads) > 0 if len(heads) else np.zeros(0, bool)
     group = np.cumsum(~again) - 1
@@ -124,16 +124,16 @@ def _meet(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, span: np.ndarray, t
     return heads, others, settled
 
 
-def meet_locally(key, ctx, doc, span, keep_first: bool) -> pa.RecordBatch:
+def meet_locally(key, ctx, doc, tag, span, keep_first: bool) -> pa.RecordBatch:
     """One task's contexts: what is settled by them alone, and one row for the rest of each."""
-    order = np.lexsort((span, doc, ctx, key))
-    key, ctx, doc, span = key[order], ctx[order], doc[order], span[order]
-    heads, others, settled = _meet(key, ctx, doc, span, np.zeros(len(key), bool), keep_first)
+    order = np.lexsort((span, tag, doc, ctx, key))
+    key, ctx, doc, tag, span = key[order], ctx[order], doc[order], tag[order], span[order]
+    heads, others, settled = _meet(key, ctx, doc, tag, span, np.zeros(len(key), bool), keep_first)
     anchor_heads = np.flatnonzero(~same_before(key[heads]))
     counts = np.diff(np.append(anchor_heads, len(heads)))
     hot = np.repeat(counts >= MANY, counts)
     kind = np.where(hot, HOT, np.where(others & (not keep_first), TWICE, ALONE))
-    spread = W.mix(doc.astype("u8") * np.uint64(_FACTOR) + span.astype("u8"))
+    spread = W.mix(doc.astype("u8") * np.uint64(_FACTOR) + tag.astype("u8") + span.astype("u8"))
     mark = heads[anchor_heads[counts >= MANY]]
     none = np.zeros(len(mark), "i8")
     out_spans = np.flatnonzero(settled)
@@ -142,6 +142,7 @@ def meet_locally(key, ctx, doc, span, keep_first: bool) -> pa.RecordBatch:
         np.concatenate([np.where(hot, spread[heads], key[heads]), spread[out_spans], key[mark]]),
         np.concatenate([np.where(hot, key[heads], ctx[heads]), ctx[out_spans], none.astype("u8")]),
         np.concatenate([doc[heads], doc[out_spans], none]),
+        np.concatenate([tag[heads], tag[out_spans], none]),
         np.concatenate([span[heads], span[out_spans], none]),
     )
 
@@ -169,7 +170,7 @@ def contexts(docs: DataFrame, kind: Kind) -> DataFrame:
         for batch in blocks(batches, "text", BLOCK):
             for units, offsets, doc, tag, place in pieces(batch):
                 row, first, more, key, ctx = runs(units, offsets, kind.width, kind.k)
-                held.append((key, ctx, doc[row], pack(first + place[row], more, tag[row])))
+                held.append((key, ctx, doc[row], tag[row], pack(first + place[row], more)))
             size += batch.nbytes
             if size >= FLUSH:
                 yield meet_locally(*map(np.concatenate, zip(*held)), kind.keep_first)
@@ -185,11 +186,11 @@ def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
 
     Contexts of an anchor that is hot in some task become HOT like those of that task.
     """
-    kind, key, ctx, doc, span = part
+    kind, key, ctx, doc, tag, span = part
     if not len(kind):
         return None
     mark = kind == MARK
-    heads, others, settled = _meet(key, ctx, doc, span, kind == TWICE, keep_first)
+    heads, others, settled = _meet(key, ctx, doc, tag, span, kind == TWICE, keep_first)
     first = np.flatnonzero(~same_before(key[heads]))
     several = np.diff(np.append(first, len(heads)))
     hot = np.repeat(np.add.reduceat(mark[heads], first) > 0, several)
@@ -199,7 +200,7 @@ def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
     out = np.concatenate([settled, at])
     kinds = np.concatenate([np.full(len(settled), SPAN), np.where(hot[left], HOT, OPEN)])
     named = np.concatenate([ctx[settled], np.where(hot[left], key[at], ctx[at])])
-    return _rows(kinds, key[out], named, doc[out], span[out]) if len(out) else None
+    return _rows(kinds, key[out], named, doc[out], tag[out], span[out]) if len(out) else None
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def _together(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
 
 
 def columns(batch: pa.RecordBatch, keep: np.ndarray | None = None) -> list[np.ndarray]:
-    out = [np.asarray(batch.column(c)) for c in ("kind", "key", "ctx", "doc_id", "span")]
+    out = [np.asarray(batch.column(c)) for c in ("kind", "key", "ctx", "doc_id", "tag", "span")]
     return out if keep is None else [c[keep] for c in out]
 
 
@@ -247,14 +248,14 @@ def settle(rows: DataFrame, keep_first: bool) -> DataFrame:
             if out is not None:
                 yield out
 
-    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "span").mapInArrow(run, ROW)
+    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "tag", "span").mapInArrow(run, ROW)
 
 
 def tagged(docs: DataFrame, *carry: str) -> DataFrame:
-    """``doc_id, text, tag, carried``: no nulls in id and text, 16 bits of the text's hash, other columns to keep."""
+    """``doc_id, text, tag, carried``: no nulls in id and text, the text's hash, other columns to keep."""
     carried = docs.select(F.struct(*[F.col(c) for c in carry]).alias("carried"), "doc_id", "text") if carry else docs
     rows = documents(docs) if not carry else documents(carried, "carried")
-    return rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)))
+    return rows.withColumn("tag", F.xxhash64("text"))
 
 
 def _small(docs: DataFrame) -> DataFrame:
@@ -274,8 +275,7 @@ def _small(docs: DataFrame) -> DataFrame:
 
 def beside(docs: DataFrame, rows: DataFrame, how: str, *fields: Column) -> DataFrame:
     """``doc_id, tag, small, found``: compressed texts with the rows found in them, each as a struct."""
-    tag = F.col("span").bitwiseAND(F.lit(0xFFFF)).alias("tag")
-    found = rows.groupBy("doc_id", tag).agg(F.collect_list(F.struct(*fields)).alias("found"))
+    found = rows.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*fields)).alias("found"))
     return _small(docs).join(found, ["doc_id", "tag"], how)
 
 
@@ -289,6 +289,7 @@ class Contexts(NamedTuple):
 
     key: np.ndarray
     doc: np.ndarray
+    tag: np.ndarray
     span: np.ndarray
     twice: np.ndarray
     units: np.ndarray
@@ -307,13 +308,13 @@ def opened(docs: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
             values, ends = lists.values, np.asarray(lists.offsets)
             kinds, key, span = (np.asarray(values.field(n))[ends[0] : ends[-1]] for n in ("kind", "key", "span"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-            doc = np.asarray(batch.column("doc_id"))[owner]
-            start, more, tag = unpack(span)
+            doc, tag = (np.asarray(batch.column(c))[owner] for c in ("doc_id", "tag"))
+            start, more = unpack(span)
             a = offsets[owner] + start
             b = a + more + kind.width
             is_open = np.flatnonzero(kinds == OPEN)
             contents = [units[x:y].tobytes() for x, y in zip(a[is_open].tolist(), b[is_open].tolist())]
-            met = _rows(np.full(len(is_open), OPEN), key[is_open], np.zeros(len(is_open), "u8"), doc[is_open], span[is_open])
+            met = _rows(np.full(len(is_open), OPEN), key[is_open], np.zeros(len(is_open), "u8"), doc[is_open], tag[is_open], span[is_open])
             yield _with_units(met, contents)
             hot = np.flatnonzero(kinds == HOT)
             if len(hot):
@@ -322,8 +323,8 @@ def opened(docs: DataFrame, rows: DataFrame, kind: Kind) -> DataFrame:
                 nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(a[hot], count) + nth
                 keys, ctx = (W.rolling(hashes, kind.width, f)[at] for f in (_FACTOR, 0xE7037ED1A0B428DB))
-                places = pack(np.repeat(start[hot], count) + nth, np.zeros(len(at), "i8"), np.repeat(tag[hot], count))
-                met = meet_locally(keys, ctx, np.repeat(doc[hot], count), places, kind.keep_first)
+                places = pack(np.repeat(start[hot], count) + nth, np.zeros(len(at), "i8"))
+                met = meet_locally(keys, ctx, np.repeat(doc[hot], count), np.repeat(tag[hot], count), places, kind.keep_first)
                 yield _with_units(met, [None] * met.num_rows)
 
     return found.mapInArrow(run, ROW + ", units binary")
@@ -336,7 +337,7 @@ def _with_units(rows: pa.RecordBatch, units: list) -> pa.RecordBatch:
 def resolved(rows: DataFrame, kind: Kind, method: Callable[[Contexts], tuple[np.ndarray, ...]]) -> DataFrame:
     """SPAN rows of what ``method`` finds in the contexts of ``opened``, and of the single windows that meet.
 
-    ``method`` returns ``doc, span`` of settled runs.
+    ``method`` returns ``doc, tag, span`` of settled runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,29 +349,29 @@ def resolved(rows: DataFrame, kind: Kind, method: Callable[[Contexts], tuple[np.
             out = _decide(columns(batch, ~past & ~is_open), kind.keep_first)
             if out is not None:
                 yield out
-            _, key, ctx, doc, span = columns(batch, is_open)
+            _, key, ctx, doc, tag, span = columns(batch, is_open)
             raw, offsets = W.raw(batch.column("units").filter(pa.array(is_open)))
             heads = np.flatnonzero(~same_before(key))
             at = 0
             while at < len(heads):  # as many whole anchors as make a chunk
                 stop = max(at + 1, int(np.searchsorted(offsets[heads], offsets[heads[at]] + CHUNK)))
                 i, j = heads[at], heads[stop] if stop < len(heads) else len(key)
-                own = Contexts(key[i:j], doc[i:j], span[i:j], ctx[i:j], raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                docs, spans = method(own)
+                own = Contexts(key[i:j], doc[i:j], tag[i:j], span[i:j], ctx[i:j], raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                docs, tags, spans = method(own)
                 if len(docs):
                     none = np.zeros(len(docs), "i8")
-                    yield _rows(np.full(len(docs), SPAN), none.astype("u8"), none.astype("u8"), docs, spans)
+                    yield _rows(np.full(len(docs), SPAN), none.astype("u8"), none.astype("u8"), docs, tags, spans)
                 at = stop
 
-    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "span").mapInArrow(run, ROW)
+    return rows.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "tag", "span").mapInArrow(run, ROW)
 
 
 def spans(spark: SparkSession, docs: DataFrame, kind: Kind, method: Callable) -> DataFrame:
-    """``doc_id, span`` of every run of windows to be taken out of the rows of ``tagged``."""
+    """``doc_id, tag, span`` of every run of windows to be taken out of the rows of ``tagged``."""
     met = kept(spark, settle(contexts(docs, kind), kind.keep_first))
     more = resolved(opened(docs, met, kind), kind, method)
     both = met.where(F.col("kind") == SPAN).unionByName(more.where(F.col("kind") == SPAN))
-    return both.select("doc_id", "span")
+    return both.select("doc_id", "tag", "span")
 
 
 def covered(batch: pa.RecordBatch, offsets: np.ndarray, width: int) -> np.ndarray:
@@ -378,7 +379,7 @@ def covered(batch: pa.RecordBatch, offsets: np.ndarray, width: int) -> np.ndarra
     lists = batch.column("found")
     owner = np.repeat(np.arange(batch.num_rows), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
     span = np.asarray(pc.list_flatten(lists).field("span")) if len(owner) else np.zeros(0, "i8")
-    start, more, _ = unpack(span)
+    start, more = unpack(span)
     edges = np.zeros(offsets[-1] + 1, "i8")
     np.add.at(edges, offsets[owner] + start, 1)
     np.add.at(edges, offsets[owner] + start + more + width, -1)

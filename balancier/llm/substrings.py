@@ -46,9 +46,10 @@ def _common(parts: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
-    """``doc, span`` of the windows that also start earlier in these contexts."""
+    """``doc, tag, span`` of the windows that also start earlier in these contexts."""
     width, units = kind.width, own.units
-    start, more, tag = P.unpack(own.span)
+    start, more = P.unpack(own.span)
+    tag = own.tag
     a, b = own.offsets[:-1], own.offsets[1:]
     group = np.cumsum(~P.same_before(own.key)) - 1
     # The anchor is where its hash first stands.
@@ -81,7 +82,7 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
         else:
             by_group.setdefault(content[0], []).append(i)
     settled = np.array(settled, "i8")
-    out_doc, out_span = [own.doc[settled]], [P.pack(place[settled], count[settled] - 1, tag[settled])]
+    out_doc, out_tag, out_span = [own.doc[settled]], [tag[settled]], [P.pack(place[settled], count[settled] - 1)]
     rest = [i for g in by_group.values() if len(g) > 1 for i in g]
     if rest:
         rest = np.array(rest)
@@ -111,8 +112,9 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(np.append(head, len(gone)))
         i = rest[piece[gone[head]]]
         out_doc.append(own.doc[i])
-        out_span.append(P.pack(place[i] + nth[gone[head]], size - 1, tag[i]))
-    return np.concatenate(out_doc), np.concatenate(out_span)
+        out_tag.append(tag[i])
+        out_span.append(P.pack(place[i] + nth[gone[head]], size - 1))
+    return np.concatenate(out_doc), np.concatenate(out_tag), np.concatenate(out_span)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFrame:
@@ -120,7 +122,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, k: int = GRA
 
     Every byte goes that a string of ``width`` bytes covers which also starts earlier: in a
     document of smaller id, or before it in the same. Rows equal in id and text are one document,
-    whose row is repeated; rows of one id with other texts are ordered by 16 bits of their hash.
+    whose row is repeated; rows of one id with other texts are ordered by their hash.
     Null texts are empty. Cut characters are left as they are cut.
     """
     kind = bytes_kind(width, k)

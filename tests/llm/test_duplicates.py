@@ -1,6 +1,7 @@
 """Fingerprints, joins, substrings, passages and vectors against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -164,6 +165,35 @@ def test_substrings(spark, monkeypatch, width, k, many):
     assert substrings.dedup(spark, documents(spark, [])).collect() == []
 
 
+def many_of_no_id():
+    """A thousand and more different texts without an id, whose repeats stand at places of their own."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{rng.randrange(1000)}" for _ in range(40))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    return [f"{t} {passage} {i}" if i % 2 else f"{t} {i}" for i, t in enumerate(texts)]
+
+
+def test_passages_of_many_rows_without_id(spark):
+    texts = many_of_no_id()
+    counts = Counter(tuple(w[i : i + 35]) for w in map(word_list, texts) for i in range(len(w) - 34))
+    want = []
+    for own in map(word_list, texts):
+        gone = {j for i in range(len(own) - 34) if counts[tuple(own[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want.append((len(own), len(gone), " ".join(w for i, w in enumerate(own) if i not in gone)))
+    got = factors.dedup(spark, documents(spark, [(None, t) for t in texts])).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept) for r in got) == sorted(want)
+
+
+def test_substrings_of_many_rows_without_id(spark):
+    texts = many_of_no_id()
+    docs = documents(spark, [(None, t) for t in texts])
+    ordered = [r.text for r in docs.select("text", F.xxhash64("text").alias("hash")).orderBy("hash").collect()]
+    want = without_repeats(enumerate(ordered), 100)
+    got = substrings.dedup(spark, docs).collect()
+    assert sum(removed > 0 for _, removed, _, _ in want.values()) > 700
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want.values())
+
+
 def test_suffix_order():
     rng = np.random.default_rng(2)
     for _ in range(3000):
