@@ -134,4 +134,4 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 
 
 def test_every_query_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
