@@ -46,7 +46,7 @@ def operator_name(raw: str) -> str:
     try:
         return _BY_SPELLING[" ".join(raw.upper().split())]
     except (KeyError, AttributeError):
-        raise SpecError(f"Unsupported filter operator: {raw}") from None
+        raise SpecError(f"no filter compares by {raw!r}") from None
 
 
 def literal(value: Any, dtype: str | None = None) -> Column:
@@ -74,13 +74,13 @@ def parts(node: Any) -> tuple[str, list[Mapping], list[Any]]:
     if is_condition(node):
         return "AND", [node], []
     if not isinstance(node, Mapping):
-        raise SpecError("Filter group must be an object or an array")
+        raise SpecError("a filter is a dict or a list of them")
     logic = str(node.get("logic", "AND")).strip().upper()
     if logic not in ("AND", "OR"):
-        raise SpecError(f"Unsupported filter logic: {logic}")
+        raise SpecError(f"filters are joined by AND or OR, not by {logic}")
     conditions, groups = list(node.get("conditions", [])), list(node.get("groups", []))
     if not conditions and not groups:
-        raise SpecError("Empty filter group")
+        raise SpecError("a filter without conditions")
     return logic, conditions, groups
 
 

@@ -7,14 +7,14 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from balancier.functions import cleaning as C
 from balancier.functions import recode as R
 from balancier.functions.sections import SECTION_LABELS
 from balancier.operators import quality as Q
-from balancier.session import written
+from balancier.session import work_folder, written
 
 # Labels of the code dimensions.
 AGENT_LABELS = {
@@ -170,6 +170,67 @@ def groups(customers: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("grpaffaires").cast("bigint").alias("id")).agg(name)
 
 
+#: Columns of the pooled dimensions, in the order of a member's ``a``, ``b`` and ``c``.
+POOLED = {
+    "sub_dim_residence": {"pays": "string", "residence": "string", "geo": "string"},
+    "sub_dim_douteux": {"douteux": "int", "datdouteux": "date"},
+    "sub_dim_agence": {"numagence": "int"},
+    "sub_dim_devise": {"devise": "string"},
+    "sub_dim_date": {"date_value": "date"},
+    "sub_dim_typcontrat": {"typcontrat": "string"},
+    "sub_dim_chapitre": {"chapitre": "bigint"},
+}
+#: Dimensions of a key and its label; a key that is known keeps its label, whatever comes.
+LABELLED = {"sub_dim_grpaffaire": "nomgrpaffaires", "sub_dim_agenteco": "libelle", "sub_dim_sectionactivite": "libelle", "sub_dim_objetfinance": "libelle"}
+#: Pairs of an account and a label, and the dates of the ledger alone: members of no table.
+ACCOUNT, FACT_DATE = "account", "fact_date"
+MEMBER = ("a", "b", "c")
+
+
+def _member(dimension: str, *values: Column) -> Column:
+    texts = [v.cast("string") for v in values] + [F.lit(None).cast("string")] * (len(MEMBER) - len(values))
+    return F.struct(F.lit(dimension).alias("dimension"), *[t.alias(n) for t, n in zip(texts, MEMBER)])
+
+
+def members(customers: DataFrame, contracts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``dimension, a, b, c``: the distinct members of all dimensions, from one scan of each staging table.
+
+    Every row gives its members, and copies go in the task before they are shuffled.
+    """
+    doubt = C.blank_to_null("douteux").isNotNull() | C.blank_to_null("datdouteux").isNotNull()
+    zone = F.when(F.col("residencenum").isNotNull(), R.zone_label("residencenum"))
+    place = F.coalesce(C.blank_to_null("nationalite"), C.blank_to_null("residence"), zone).isNotNull()
+    found = [
+        customers.select(F.inline(F.array(
+            F.when(place, _member("sub_dim_residence", C.blank_to_null("nationalite"), C.blank_to_null("residence"), R.zone_label("residencenum"))),
+            F.when(doubt, _member("sub_dim_douteux", C.guarded("douteux"), C.parse_date("datdouteux"))),
+            F.when(F.col("grpaffaires").isNotNull(), _member("sub_dim_grpaffaire", F.col("grpaffaires").cast("bigint"), C.blank_to_null("nomgrpaffaires"))),
+        ))).where("dimension IS NOT NULL"),
+        contracts.select(F.inline(F.array(
+            _member("sub_dim_agence", C.guarded("agence")), _member("sub_dim_devise", C.blank_to_null("devise")),
+            _member("sub_dim_date", C.parse_date("datouv")), _member("sub_dim_date", C.parse_date("datech")),
+            _member("sub_dim_typcontrat", C.blank_to_null("typcontrat")),
+        ))).where("a IS NOT NULL"),
+        ledger.select(F.inline(F.array(
+            _member("sub_dim_agence", C.guarded("agence")), _member("sub_dim_devise", C.blank_to_null("devise")),
+            _member("sub_dim_devise", C.blank_to_null("devisebbnq")), _member("sub_dim_date", C.parse_date("date_bal")),
+            _member(FACT_DATE, C.parse_date("date_bal")), _member("sub_dim_chapitre", C.guarded("chapitre", "bigint")),
+            _member(ACCOUNT, C.guarded("compte", "bigint"), C.blank_to_null("libellecompte")),
+        ))).where("a IS NOT NULL"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def known_members(tables: Mapping[str, DataFrame]) -> DataFrame | None:
+    """The members that the dimensions have already."""
+    columns = {**POOLED, **{name: ("id", label) for name, label in LABELLED.items()}}
+    known = [
+        tables[name].select(F.inline(F.array(_member(name, *[F.col(c) for c in own]))))
+        for name, own in columns.items() if name in tables
+    ]
+    return reduce(DataFrame.unionByName, known) if known else None
+
+
 def label_table(spark: SparkSession, labels: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame([(int(k), v) for k, v in labels.items()], "id bigint, libelle string")
 
@@ -243,12 +304,8 @@ def contract_rows(contracts: DataFrame, dims: Mapping[str, DataFrame], arrival:
     )
 
 
-def fact_rows(ledger: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct fact rows (no id yet): keys resolved, whole-row copies dropped.
-
-    An id without a parent becomes NULL, which can make rows alike that were not, so
-    the copies go last.
-    """
+def resolved_rows(ledger: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
+    """Ledger rows as facts without id: values cleaned, keys resolved, copies kept."""
     df = ledger.select(
         C.guarded("agence").alias("numagence"),
         C.blank_to_null("devise").alias("devise"),
@@ -269,7 +326,16 @@ def fact_rows(ledger: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     df = lookup(df, dims["sub_dim_compte"], {"numcompte": "numcompte"}, "id_compte")
     df = lookup(df, dims["dim_client"], {"idtiers": "idtiers"}, "id_client", id_col="idtiers")
     df = lookup(df, dims["dim_contrat"], {"idcontrat": "id"}, "id_contrat")
-    return df.select(*FACT_KEYS, *MEASURES).distinct()
+    return df.select(*FACT_KEYS, *MEASURES)
+
+
+def fact_rows(ledger: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
+    """Distinct fact rows (no id yet): keys resolved, whole-row copies dropped.
+
+    An id without a parent becomes NULL, which can make rows alike that were not, so
+    the copies go last.
+    """
+    return resolved_rows(ledger, dims).distinct()
 
 
 def dedup_fact(fact: DataFrame) -> DataFrame:
@@ -310,20 +376,21 @@ def backfill_category(df: DataFrame, text: str, lookup_table: DataFrame, out: st
 
 
 def clean_staging(customers: DataFrame, contracts: DataFrame, ledger: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Quality rules and recodes of the three raw tables, stored under ``folder``.
+    """Quality rules and recodes of the three raw tables; customers and contracts are stored under ``folder``.
 
-    Customers and contracts lose their offending rows; ledger rows are only reported on.
+    These lose their offending rows. Ledger rows are only reported on, so the ledger is not copied: its
+    blanks become NULL as it is read.
     """
     good_customers = Q.clean(customers, Q.CUSTOMERS, C.repair_customers())
     return (
         written(R.recode_customers(good_customers), f"{folder}/stg_tiers"),
         written(R.recode_contracts(Q.clean(contracts, Q.CONTRACTS)), f"{folder}/stg_contrat"),
-        written(Q.blanks_to_null(ledger, Q.LEDGER.blanks), f"{folder}/stg_compta"),
+        Q.blanks_to_null(ledger, Q.LEDGER.blanks),
     )
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{root}/{name}")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
     return current_accounts(df) if name == "sub_dim_compte" else df
 
 
@@ -356,15 +423,37 @@ def append_accounts(existing: DataFrame | None, new: DataFrame, path: str) -> Da
         before = existing.select("id", F.col("libellecompte").alias("_old"))
         changed = ~F.col("libellecompte").eqNullSafe(F.col("_old")) | (F.col("id") > top)
         diff = after.join(before, "id", "left").filter(changed)
-        diff.drop("_old").withColumn("load_no", F.lit(load_no)).write.mode("append").parquet(path)
-    return current_accounts(spark.read.parquet(path))
+        fresh, count = _counted(diff.drop("_old").withColumn("load_no", F.lit(load_no)))
+        if count:
+            fresh.write.mode("append").parquet(path)
+    return current_accounts(spark.read.schema(SCHEMAS["sub_dim_compte"]).parquet(path))
+
+
+#: Stored columns of every table; with them no file is opened to learn its columns.
+SCHEMAS = {
+    **{name: "id bigint, " + ", ".join(f"{c} {t}" for c, t in columns.items()) for name, columns in POOLED.items()},
+    "sub_dim_agenteco": "id bigint, libelle string",
+    "sub_dim_sectionactivite": "id bigint, libelle string",
+    "sub_dim_objetfinance": "id bigint, libelle string",
+    "sub_dim_grpaffaire": "id bigint, nomgrpaffaires string",
+    "sub_dim_compte": "id bigint, numcompte bigint, libellecompte string, load_no int",
+    "dim_client": "idtiers string, id_residence bigint, id_agenteco bigint, id_douteux bigint, id_grpaffaire bigint, "
+                  "id_sectionactivite bigint, nomprenom string, raisonsoc string, chiffreaffaires string",
+    "dim_contrat": "id string, id_client string, id_agence bigint, id_devise bigint, id_objetfinance bigint, id_typcontrat bigint, "
+                   "id_dateouverture bigint, id_dateecheance bigint, ancienneteimpaye int, tauxcontrat int, actif int",
+    "fact_balance": "id bigint, id_agence bigint, id_devise bigint, id_devisebnq bigint, id_compte bigint, id_chapitre bigint, "
+                    "id_client string, id_contrat string, soldeorigine bigint, soldeconvertie decimal(38,10), cumulmvtdb bigint, "
+                    "cumulmvtcr bigint, soldeinitdebmois bigint, amount bigint, actif int, row_hash bigint, id_date bigint",
+}
+TABLES = tuple(SCHEMAS)
+LABELS = {"sub_dim_agenteco": AGENT_LABELS, "sub_dim_sectionactivite": SECTION_LABELS, "sub_dim_objetfinance": PURPOSE_LABELS}
 
 
-TABLES = (
-    "sub_dim_residence", "sub_dim_agenteco", "sub_dim_douteux", "sub_dim_grpaffaire", "sub_dim_sectionactivite",
-    "sub_dim_agence", "sub_dim_devise", "sub_dim_objetfinance", "sub_dim_typcontrat", "sub_dim_date",
-    "sub_dim_chapitre", "sub_dim_compte", "dim_client", "dim_contrat", "fact_balance",
-)
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows written to the work folder, and how many they are: what follows reads them from there."""
+    seen = Observation("fresh")
+    out = written(rows.observe(seen, F.count(F.lit(1)).alias("rows")), work_folder(rows.sparkSession))
+    return out, seen.get["rows"]
 
 
 def load_datamart(
@@ -372,54 +461,101 @@ def load_datamart(
 ) -> dict[str, DataFrame]:
     """Load the three cleaned staging tables into the parquet datamart under ``root``.
 
-    Rows already there stay; a second load of the same data adds nothing. Each table is
-    written before the next needs it, so lookups plan with real sizes; all are only ever
-    appended to. The staging tables are read several times: pass stored ones.
+    Rows already there stay; a second load of the same data adds nothing and writes no table.
+    Each table is written before the next needs it, so lookups plan with real sizes; all are
+    only ever appended to. The ledger is read twice, for its members and for the facts.
     """
     tables = read_tables(spark, root)
 
-    def add(name: str, new: DataFrame, keys: Sequence[str], id_col: str | None = "id") -> None:
-        insert_ignore(tables.get(name), new, keys, id_col).write.mode("append").parquet(f"{root}/{name}")
-        tables[name] = spark.read.parquet(f"{root}/{name}")
-
-    add("sub_dim_residence", residences(customers), ["pays", "residence", "geo"])
-    add("sub_dim_agenteco", label_table(spark, AGENT_LABELS), ["id"], None)
-    add("sub_dim_sectionactivite", label_table(spark, SECTION_LABELS), ["id"], None)
-    add("sub_dim_douteux", doubtful(customers), ["douteux", "datdouteux"])
-    add("sub_dim_grpaffaire", groups(customers), ["id"], None)
-    add("dim_client", customer_rows(customers, tables), ["idtiers"], None)
-
-    add("sub_dim_agence", agencies(contracts.select("agence").unionByName(ledger.select("agence"))), ["numagence"])
-    money = currencies(contracts, "devise").unionByName(currencies(ledger, "devise", "devisebbnq")).distinct()
-    add("sub_dim_devise", money, ["devise"])
-    days = dates(contracts, "datouv", "datech").unionByName(dates(ledger, "date_bal")).distinct()
-    add("sub_dim_date", days, ["date_value"])
-    add("sub_dim_objetfinance", label_table(spark, PURPOSE_LABELS), ["id"], None)
-    add("sub_dim_typcontrat", contract_types(contracts), ["typcontrat"])
-    add("dim_contrat", contract_rows(contracts, tables), ["id"], None)
-
-    add("sub_dim_chapitre", chapters(ledger), ["chapitre"])
-    tables["sub_dim_compte"] = append_accounts(tables.get("sub_dim_compte"), accounts(ledger), f"{root}/sub_dim_compte")
-    append_facts(spark, fact_rows(ledger, tables), ledger, tables, root)
+    def store(name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{root}/{name}")
+        tables[name] = _read(spark, root, name)
+
+    def store_new(name: str, rows: DataFrame, keys: Sequence[str]) -> None:
+        """Rows with keys of their own that the table lacks."""
+        if name not in tables:
+            store(name, rows)
+            return
+        fresh, count = _counted(not_yet_in(rows, tables[name], keys))
+        if count:
+            store(name, fresh)
+
+    rows = [(name, str(key), label) for name, labels in LABELS.items() for key, label in labels.items()]
+    fixed = spark.createDataFrame(rows, "dimension string, a string, b string").withColumn("c", F.lit(None).cast("string"))
+    pool = members(customers, contracts, ledger).unionByName(fixed)
+    known = known_members(tables)
+    pool = pool if known is None else not_yet_in(pool, known, ["dimension", *MEMBER])
+    path = work_folder(spark)
+    pool.write.partitionBy("dimension").parquet(path)
+    pool = spark.read.schema(pool.schema).parquet(path)
+    found = {r["dimension"] for r in pool.select("dimension").distinct().collect()}  # names of dimensions
+
+    def of(name: str, columns: Mapping[str, str]) -> DataFrame:
+        rows = pool.where(F.col("dimension") == name)
+        return rows.select(*[F.col(m).cast(t).alias(c) for m, (c, t) in zip(MEMBER, columns.items())])
+
+    for name, columns in POOLED.items():
+        if name in found or name not in tables:
+            store(name, number_rows(of(name, columns), list(columns), _top(tables.get(name), "id")))
+    for name in LABELS:
+        if name in found or name not in tables:
+            store_new(name, of(name, {"id": "bigint", "libelle": "string"}), ["id"])
+    if "sub_dim_grpaffaire" in found or "sub_dim_grpaffaire" not in tables:
+        named = of("sub_dim_grpaffaire", {"id": "bigint", "nomgrpaffaires": "string"})
+        store_new("sub_dim_grpaffaire", named.groupBy("id").agg(F.min("nomgrpaffaires").alias("nomgrpaffaires")), ["id"])
+    labelled = of(ACCOUNT, {"numcompte": "bigint", "libellecompte": "string"}).groupBy("numcompte")
+    tables["sub_dim_compte"] = append_accounts(
+        tables.get("sub_dim_compte"), labelled.agg(F.max("libellecompte").alias("libellecompte")), f"{root}/sub_dim_compte"
+    )
+
+    # Known customers and contracts go before any key is looked up.
+    store_new("dim_client", customer_rows(_unknown(customers, tables.get("dim_client"), "idtiers", "idtiers"), tables), ["idtiers"])
+    store_new("dim_contrat", contract_rows(_unknown(contracts, tables.get("dim_contrat"), "idcontrat", "id"), tables), ["id"])
+    append_facts(resolved_rows(ledger, tables), of(FACT_DATE, {"date_value": "date"}), tables, root)
     return tables
 
 
-def append_facts(spark: SparkSession, rows: DataFrame, ledger: DataFrame, tables: dict[str, DataFrame], root: str) -> None:
-    """Add facts the table lacks, one folder per date. Only the batch's dates are compared."""
-    path, existing = f"{root}/fact_balance", tables.get("fact_balance")
+def _unknown(staging: DataFrame, dim: DataFrame | None, column: str, key: str) -> DataFrame:
+    if dim is None:
+        return staging
+    return staging.join(dim.select(F.col(key).alias("_known")), C.blank_to_null(column) == F.col("_known"), "left_anti")
+
+
+def row_hash(columns: Sequence[str]) -> Column:
+    """64 bits of a row's values and of which of them are NULL."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
+def not_stored(rows: DataFrame, existing: DataFrame, columns: Sequence[str], hash_col: str = "row_hash") -> DataFrame:
+    """Rows of ``rows`` that ``existing`` lacks, joined on the hash alone; the columns are compared where hashes meet.
+
+    The comparisons stand in an array, as each of them would otherwise become two more join keys.
+    """
+    known = existing.select(F.col(hash_col).alias("_hash"), *[F.col(c).alias(f"_{c}") for c in columns])
+    same = F.array(*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return rows.join(known, (F.col(hash_col) == F.col("_hash")) & ~F.array_contains(same, False), "left_anti")
+
+
+def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame], root: str) -> None:
+    """Add facts the table lacks, one folder per date; ``days`` are the batch's dates, and only these are compared.
+
+    Rows may repeat: copies go after those that are stored, so a reload compares and never sorts them out.
+    """
+    path, existing, top = f"{root}/fact_balance", tables.get("fact_balance"), 0
     keys = [*FACT_KEYS, *MEASURES]
+    rows = rows.withColumn("row_hash", row_hash(keys))
     if existing is not None:
-        top = _top(existing, "id")
-        batch = lookup(dates(ledger, "date_bal"), tables["sub_dim_date"], {"date_value": "date_value"}, "id_date")
+        batch = lookup(days, tables["sub_dim_date"], {"date_value": "date_value"}, "id_date")
         # Only the folders of the batch's dates are read (and those of no date): the small side prunes them.
         dated = existing.join(batch.select("id_date").distinct(), "id_date", "left_semi")
-        rows = not_yet_in(rows, dated.unionByName(existing.filter(F.col("id_date").isNull())), keys)
-    else:
-        top = 0
-    ids = number_rows(rows, keys, top)
+        rows, count = _counted(not_stored(rows, dated.unionByName(existing.filter(F.col("id_date").isNull())), keys))
+        if not count:
+            return
+        top = _top(existing, "id")
+    ids = number_rows(rows.distinct(), keys, top)
     # Rows of a date come together, and a date too large for one file is split by size.
     ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
-    tables["fact_balance"] = spark.read.parquet(path)
+    tables["fact_balance"] = rows.sparkSession.read.schema(SCHEMAS["fact_balance"]).parquet(path)
 
 
 def table_counts(tables: Mapping[str, DataFrame], names: Sequence[str] = ("dim_client", "dim_contrat", "fact_balance")) -> DataFrame:

@@ -110,13 +110,12 @@ def duplicates(df: DataFrame, rules: Rules, id_col: str = "id") -> DataFrame:
 def drop_duplicates(df: DataFrame, rules: Rules, id_col: str = "id") -> DataFrame:
     """Keep the first arrival of each key, and every row without one.
 
-    The lowest-id row is taken inside the aggregation: one shuffle, map-side combined.
+    Only ids and keys are aggregated, which hashes; the wide rows are then picked by their unique
+    id. A row without a key is a group of its own, by its id.
     """
-    first = F.min(F.struct(id_col, *[c for c in df.columns if c != id_col])).alias("row")
-    kept = _candidates(df, rules).groupBy(*_keys(rules)).agg(first).select("row.*").select(*df.columns)
-    if rules.whole_row:
-        return kept
-    return kept.unionByName(df.filter(F.col(rules.key[0]).isNull()))
+    own = [] if rules.whole_row else [F.when(F.col(rules.key[0]).isNull(), F.col(id_col)).alias("own")]
+    first = df.groupBy(*_keys(rules), *own).agg(F.min(id_col).alias(id_col))
+    return df.join(first.select(id_col), id_col, "left_semi").select(*df.columns)
 
 
 def _has_key(rules: Rules) -> Column:

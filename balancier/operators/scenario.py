@@ -23,6 +23,11 @@ SHOCK_OPERATIONS = ("SET", "ADD", "SUBTRACT")
 METRIC_OPERATIONS = ("MULTIPLY", "ADD", "REPLACE", "MODIFY_FORMULA")
 BALANCE_TOLERANCE = Decimal("0.000001")
 CHANGE = 1e-9
+# Codes that messages of refused scenarios begin with.
+INVALID = "INVALID_OPERATION"
+UNKNOWN = "UNKNOWN_PARAMETER"
+NO_DATA = "NO_DATA_FOR_DATE"
+UNBALANCED = "UNBALANCED_SIMULATION"
 
 
 class Shock(NamedTuple):
@@ -36,12 +41,12 @@ class Shock(NamedTuple):
 def read_shock(raw: Mapping) -> Shock:
     operation = str(raw.get("operation") or "").strip().upper()
     if operation not in SHOCK_OPERATIONS:
-        raise SpecError(f"INVALID_OPERATION: {operation or 'operation is required'}")
+        raise SpecError(f"{INVALID}: {operation or 'operation is required'}")
     if raw.get("value") is None:
-        raise SpecError("INVALID_OPERATION: value is required")
+        raise SpecError(f"{INVALID}: value is required")
     field = resolve(raw.get("field") or "")
     if field.name not in SHOCK_FIELDS:
-        raise SpecError(f"INVALID_OPERATION: field {raw['field']} is not adjustable (allowed: {SHOCK_FIELDS})")
+        raise SpecError(f"{INVALID}: field {raw['field']} is not adjustable (allowed: {SHOCK_FIELDS})")
     for name in P.fields_in(raw.get("filters") or None):
         resolve(name)  # an unknown one is an error
     return Shock(operation, field.flat, field.name, Decimal(str(raw["value"])), raw.get("filters") or None)
@@ -262,10 +267,10 @@ def balance_scenario(
     totals = {k: v for k, v in one.items() if not k.startswith(("b_", "s_"))}
     if one["rows_read"] == 0:
         latest = [r[0].isoformat() for r in M.reference_dates(tables, 5).collect()]
-        raise SpecError(f"NO_DATA_FOR_DATE: {at}; available dates: {latest}")
+        raise SpecError(f"{NO_DATA}: {at}; available dates: {latest}")
     if not one["balanced"]:
         raise SpecError(
-            f"UNBALANCED_SIMULATION: positive={one['positive_delta']}, negative={one['negative_delta']}, difference={one['difference']}"
+            f"{UNBALANCED}: positive={one['positive_delta']}, negative={one['negative_delta']}, difference={one['difference']}"
         )
     nan = float("nan")
     before = {c: one[f"b_{c}"] if c in specs else nan for c in metrics}
@@ -287,11 +292,11 @@ def metric_scenario(
     for adj in adjustments:
         code, operation = str(adj.get("code") or "").strip(), str(adj.get("operation") or "").strip().upper()
         if operation not in METRIC_OPERATIONS:
-            raise SpecError(f"INVALID_OPERATION: {operation or 'operation is required'}")
+            raise SpecError(f"{INVALID}: {operation or 'operation is required'}")
         if code not in everything:
-            raise SpecError(f"UNKNOWN_PARAMETER: {code}")
+            raise SpecError(f"{UNKNOWN}: {code}")
         if adj.get("formula" if operation == "MODIFY_FORMULA" else "value") is None:
-            raise SpecError(f"INVALID_OPERATION: {operation} needs a {'formula' if operation == 'MODIFY_FORMULA' else 'value'}")
+            raise SpecError(f"{INVALID}: {operation} needs a {'formula' if operation == 'MODIFY_FORMULA' else 'value'}")
         last[code] = {**adj, "operation": operation}
     scoped = {**metrics, **{c: everything[c] for c in last}}
     specs, _ = _specs(scoped)
@@ -302,7 +307,7 @@ def metric_scenario(
     columns += [scalar_column(s, reading).alias(f"n_{c}") for c, s in formulas.items()]
     one = rows.agg(F.count(F.lit(1)).alias("rows_read"), *columns).first().asDict()
     if one["rows_read"] == 0:
-        raise SpecError(f"NO_DATA_FOR_DATE: {at}")
+        raise SpecError(f"{NO_DATA}: {at}")
     nan = float("nan")
     before = {c: one.get(f"b_{c}", nan) for c in scoped}
     after = dict(before)

@@ -23,7 +23,7 @@ class Node(NamedTuple):
     parent_key: str | None
     key: str | None
     prefix: str
-    columns: str  # "name:type", types NUMBER, TEXT, DATE
+    columns: Mapping[str, str]  # name -> type
 
 
 class Field(NamedTuple):
@@ -38,43 +38,52 @@ class Field(NamedTuple):
         return f"{self.alias}_{self.column}"
 
 
+# Types of columns.
+NUMBER, TEXT, DATE = "NUMBER", "TEXT", "DATE"
 # Tables, roles, join keys and typed columns of the star.
 NODES: dict[str, Node] = {
     "f": Node(
         "fact_balance", None, None, None, "",
-        "id:NUMBER id_agence:NUMBER id_devise:NUMBER id_devisebnq:NUMBER id_compte:NUMBER "
-        "id_chapitre:NUMBER id_client:TEXT id_contrat:TEXT id_date:NUMBER soldeorigine:NUMBER "
-        "soldeconvertie:NUMBER cumulmvtdb:NUMBER cumulmvtcr:NUMBER soldeinitdebmois:NUMBER "
-        "amount:NUMBER actif:NUMBER",
+        {
+            "id": NUMBER, "id_agence": NUMBER, "id_devise": NUMBER, "id_devisebnq": NUMBER, "id_compte": NUMBER,
+            "id_chapitre": NUMBER, "id_client": TEXT, "id_contrat": TEXT, "id_date": NUMBER, "soldeorigine": NUMBER,
+            "soldeconvertie": NUMBER, "cumulmvtdb": NUMBER, "cumulmvtcr": NUMBER, "soldeinitdebmois": NUMBER,
+            "amount": NUMBER, "actif": NUMBER,
+        },
     ),
     "cl": Node(
         "dim_client", "f", "id_client", "idtiers", "dimClient.",
-        "idtiers:TEXT id_residence:NUMBER id_agenteco:NUMBER id_douteux:NUMBER id_grpaffaire:NUMBER "
-        "id_sectionactivite:NUMBER nomprenom:TEXT raisonsoc:TEXT chiffreaffaires:TEXT",
+        {
+            "idtiers": TEXT, "id_residence": NUMBER, "id_agenteco": NUMBER, "id_douteux": NUMBER,
+            "id_grpaffaire": NUMBER, "id_sectionactivite": NUMBER, "nomprenom": TEXT, "raisonsoc": TEXT,
+            "chiffreaffaires": TEXT,
+        },
     ),
     "dc": Node(
         "dim_contrat", "f", "id_contrat", "id", "dimContrat.",
-        "id:TEXT id_client:TEXT id_agence:NUMBER id_devise:NUMBER id_objetfinance:NUMBER "
-        "id_typcontrat:NUMBER id_dateouverture:NUMBER id_dateecheance:NUMBER "
-        "ancienneteimpaye:NUMBER tauxcontrat:NUMBER actif:NUMBER",
+        {
+            "id": TEXT, "id_client": TEXT, "id_agence": NUMBER, "id_devise": NUMBER, "id_objetfinance": NUMBER,
+            "id_typcontrat": NUMBER, "id_dateouverture": NUMBER, "id_dateecheance": NUMBER,
+            "ancienneteimpaye": NUMBER, "tauxcontrat": NUMBER, "actif": NUMBER,
+        },
     ),
-    "agf": Node("sub_dim_agence", "f", "id_agence", "id", "subDimAgence.", "numagence:NUMBER"),
-    "c": Node("sub_dim_compte", "f", "id_compte", "id", "subDimCompte.", "numcompte:TEXT libellecompte:TEXT"),
-    "ch": Node("sub_dim_chapitre", "f", "id_chapitre", "id", "subDimChapitre.", "chapitre:NUMBER"),
-    "dtf": Node("sub_dim_date", "f", "id_date", "id", "subDimDate.", "date_value:DATE"),
-    "dvf": Node("sub_dim_devise", "f", "id_devise", "id", "subDimDevise.", "devise:TEXT"),
-    "dvb": Node("sub_dim_devise", "f", "id_devisebnq", "id", "subDimDeviseBnq.", "devise:TEXT"),
-    "res": Node("sub_dim_residence", "cl", "id_residence", "id", "subDimResidence.", "pays:TEXT residence:TEXT geo:TEXT"),
-    "aec": Node("sub_dim_agenteco", "cl", "id_agenteco", "id", "subDimAgenteco.", "libelle:TEXT"),
-    "dout": Node("sub_dim_douteux", "cl", "id_douteux", "id", "subDimDouteux.", "douteux:NUMBER datdouteux:DATE"),
-    "gaf": Node("sub_dim_grpaffaire", "cl", "id_grpaffaire", "id", "subDimGrpaffaire.", "nomgrpaffaires:TEXT"),
-    "sac": Node("sub_dim_sectionactivite", "cl", "id_sectionactivite", "id", "subDimSectionactivite.", "libelle:TEXT"),
-    "agc": Node("sub_dim_agence", "dc", "id_agence", "id", "dimContrat.subDimAgence.", "numagence:NUMBER"),
-    "dvc": Node("sub_dim_devise", "dc", "id_devise", "id", "dimContrat.subDimDevise.", "devise:TEXT"),
-    "ofc": Node("sub_dim_objetfinance", "dc", "id_objetfinance", "id", "dimContrat.subDimObjetfinance.", "libelle:TEXT"),
-    "tyc": Node("sub_dim_typcontrat", "dc", "id_typcontrat", "id", "dimContrat.subDimTypcontrat.", "typcontrat:TEXT"),
-    "dto": Node("sub_dim_date", "dc", "id_dateouverture", "id", "dimContrat.subDimDateOuverture.", "date_value:DATE"),
-    "dte": Node("sub_dim_date", "dc", "id_dateecheance", "id", "dimContrat.subDimDateEcheance.", "date_value:DATE"),
+    "agf": Node("sub_dim_agence", "f", "id_agence", "id", "subDimAgence.", {"numagence": NUMBER}),
+    "c": Node("sub_dim_compte", "f", "id_compte", "id", "subDimCompte.", {"numcompte": TEXT, "libellecompte": TEXT}),
+    "ch": Node("sub_dim_chapitre", "f", "id_chapitre", "id", "subDimChapitre.", {"chapitre": NUMBER}),
+    "dtf": Node("sub_dim_date", "f", "id_date", "id", "subDimDate.", {"date_value": DATE}),
+    "dvf": Node("sub_dim_devise", "f", "id_devise", "id", "subDimDevise.", {"devise": TEXT}),
+    "dvb": Node("sub_dim_devise", "f", "id_devisebnq", "id", "subDimDeviseBnq.", {"devise": TEXT}),
+    "res": Node("sub_dim_residence", "cl", "id_residence", "id", "subDimResidence.", {"pays": TEXT, "residence": TEXT, "geo": TEXT}),
+    "aec": Node("sub_dim_agenteco", "cl", "id_agenteco", "id", "subDimAgenteco.", {"libelle": TEXT}),
+    "dout": Node("sub_dim_douteux", "cl", "id_douteux", "id", "subDimDouteux.", {"douteux": NUMBER, "datdouteux": DATE}),
+    "gaf": Node("sub_dim_grpaffaire", "cl", "id_grpaffaire", "id", "subDimGrpaffaire.", {"nomgrpaffaires": TEXT}),
+    "sac": Node("sub_dim_sectionactivite", "cl", "id_sectionactivite", "id", "subDimSectionactivite.", {"libelle": TEXT}),
+    "agc": Node("sub_dim_agence", "dc", "id_agence", "id", "dimContrat.subDimAgence.", {"numagence": NUMBER}),
+    "dvc": Node("sub_dim_devise", "dc", "id_devise", "id", "dimContrat.subDimDevise.", {"devise": TEXT}),
+    "ofc": Node("sub_dim_objetfinance", "dc", "id_objetfinance", "id", "dimContrat.subDimObjetfinance.", {"libelle": TEXT}),
+    "tyc": Node("sub_dim_typcontrat", "dc", "id_typcontrat", "id", "dimContrat.subDimTypcontrat.", {"typcontrat": TEXT}),
+    "dto": Node("sub_dim_date", "dc", "id_dateouverture", "id", "dimContrat.subDimDateOuverture.", {"date_value": DATE}),
+    "dte": Node("sub_dim_date", "dc", "id_dateecheance", "id", "dimContrat.subDimDateEcheance.", {"date_value": DATE}),
 }
 
 # Short names that no rule below derives.
@@ -106,7 +115,7 @@ def _canonical_fields() -> list[Field]:
     return [
         Field(node.prefix + _camel(column), alias, column, dtype)
         for alias, node in NODES.items()
-        for column, dtype in (item.split(":") for item in node.columns.split())
+        for column, dtype in node.columns.items()
     ]
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_TABLES = (
-    "region nation customer supplier part orders lineitem events "
-    "documents embeddings pages benchmark labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
