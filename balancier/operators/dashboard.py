@@ -151,6 +151,13 @@ def threshold_status(listing: DataFrame) -> DataFrame:
     return listing.withColumn("severity", status).filter(F.col("severity").isNotNull())
 
 
+def severity_counts(listing: DataFrame) -> DataFrame:
+    """Per date how many ratios have a value, and how many of each severity."""
+    status = threshold_status(listing)
+    counts = [F.count_if(F.col("severity") == level.upper()).alias(level) for level in ("critical", "alert", "warning", "healthy")]
+    return status.groupBy("reference_date").agg(F.count(F.lit(1)).alias("ratios"), *counts)
+
+
 def trend_points(rows: DataFrame, config: DataFrame, codes: Iterable[str], dates: Iterable[date]) -> DataFrame:
     """(code, date, value) for every asked code and date; NULL where nothing is stored."""
     spark = rows.sparkSession

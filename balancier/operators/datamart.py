@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from balancier.functions import cleaning as C
@@ -235,6 +235,17 @@ def label_table(spark: SparkSession, labels: Mapping[int, str]) -> DataFrame:
     return spark.createDataFrame([(int(k), v) for k, v in labels.items()], "id bigint, libelle string")
 
 
+def seed_labels(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The label tables of codes under ``root``; labels there stay as they are, and only missing codes are added."""
+    tables = {name: df for name, df in read_tables(spark, root).items() if name in LABELS}
+    for name, labels in LABELS.items():
+        rows, count = _counted(insert_ignore(tables.get(name), label_table(spark, labels), ["id"], None))
+        if count:
+            rows.write.mode("append").parquet(f"{root}/{name}")
+            tables[name] = _read(spark, root, name)
+    return tables
+
+
 # --- natural keys -> surrogate keys ------------------------------------------------
 
 
@@ -451,9 +462,8 @@ LABELS = {"sub_dim_agenteco": AGENT_LABELS, "sub_dim_sectionactivite": SECTION_L
 
 def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
     """The rows written to the work folder, and how many they are: what follows reads them from there."""
-    seen = Observation("fresh")
-    out = written(rows.observe(seen, F.count(F.lit(1)).alias("rows")), work_folder(rows.sparkSession))
-    return out, seen.get["rows"]
+    out = written(rows, work_folder(rows.sparkSession))
+    return out, out.count()  # from the files' footers
 
 
 def load_datamart(
@@ -539,7 +549,8 @@ def not_stored(rows: DataFrame, existing: DataFrame, columns: Sequence[str], has
 def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame], root: str) -> None:
     """Add facts the table lacks, one folder per date; ``days`` are the batch's dates, and only these are compared.
 
-    Rows may repeat: copies go after those that are stored, so a reload compares and never sorts them out.
+    Rows may repeat: copies go after those that are stored, so a reload compares and never sorts
+    them out. What is new is written once and numbered from there.
     """
     path, existing, top = f"{root}/fact_balance", tables.get("fact_balance"), 0
     keys = [*FACT_KEYS, *MEASURES]
@@ -548,11 +559,13 @@ def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame],
         batch = lookup(days, tables["sub_dim_date"], {"date_value": "date_value"}, "id_date")
         # Only the folders of the batch's dates are read (and those of no date): the small side prunes them.
         dated = existing.join(batch.select("id_date").distinct(), "id_date", "left_semi")
-        rows, count = _counted(not_stored(rows, dated.unionByName(existing.filter(F.col("id_date").isNull())), keys))
+        rows = not_stored(rows, dated.unionByName(existing.filter(F.col("id_date").isNull())), keys)
+    rows, count = _counted(rows.distinct())
+    if existing is not None:
         if not count:
             return
         top = _top(existing, "id")
-    ids = number_rows(rows.distinct(), keys, top)
+    ids = number_rows(rows, keys, top)
     # Rows of a date come together, and a date too large for one file is split by size.
     ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
     tables["fact_balance"] = rows.sparkSession.read.schema(SCHEMAS["fact_balance"]).parquet(path)

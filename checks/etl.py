@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from balancier.functions import cleaning as C
@@ -10,10 +13,11 @@ from balancier.operators import datamart as D
 from balancier.operators import quality as Q
 from balancier.session import work_folder, written
 from balancier.sources import load as L
+from balancier.sources.readers import discover, spark_columns
 from balancier.sources.tabular import tidy
 from checks.registry import ORACLE, check
 from checks.staging import staging, staging_sql
-from checks.tables import duck, table, view
+from checks.tables import TEST_TABLES, duck, table, view
 
 NUM = r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 INT = "^-?[0-9]+$"
@@ -89,12 +93,20 @@ def _values(pairs) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(text(x) for x in p) + ")" for p in pairs) + ")"
 
 
+# Expected codes of the values that the staging tables hold; 99999, 999, 'US' and '99' have none.
+PURPOSE_CODES = "(VALUES (10234, 1340), (30411, 1311), (14259, 1320), (48350, 1330))"
+AGENT_CODES = "(VALUES (100, 21100), (230, 22220), (320, 24200), (400, 24200), (266, 21311), (203, 23300))"
+ZONE_CODES = "(VALUES ('SN', 110), ('CI', 120), ('BJ', 120), ('FR', 143), ('CM', 141), ('GM', 142))"
+_LABEL = """CASE z WHEN 110 THEN 'Etat du Declarant' WHEN 120 THEN 'Autres Etats Membre de l''UMOA' WHEN 141 THEN 'Autre pays de la Zone Franc'
+    WHEN 142 THEN 'Autre Etats membres de la CEDEAO' WHEN 143 THEN 'Zone euro' ELSE 'Autres Etats' END"""
+
+
 @check(
     "recode_exact",
     staging_sql(
         f"""SELECT c.id, coalesce(CAST(m.code AS VARCHAR), c.objetfinance) AS objetfinance,
         CASE lower(trim(c.typcontrat)) WHEN 'p' THEN 'PRET' WHEN 'd' THEN 'COMPTE ORDINAIRE' ELSE c.typcontrat END AS typcontrat
-        FROM stg_contrat c LEFT JOIN {_values(R.PURPOSES.items())} m(src, code)
+        FROM stg_contrat c LEFT JOIN {PURPOSE_CODES} m(src, code)
         ON m.src = CASE WHEN regexp_matches(trim(c.objetfinance), '^[+-]?[0-9]+$') THEN TRY_CAST(trim(c.objetfinance) AS INT) END""",
         "stg_contrat",
     ),
@@ -109,8 +121,8 @@ def recode_exact(spark, sf_dir):
     staging_sql(
         f"""SELECT c.id, coalesce(CAST(a.code AS VARCHAR), c.agenteco) AS agenteco,
         CASE WHEN c.residence IS NOT NULL THEN coalesce(z.zone, 144) END AS residencenum
-        FROM stg_tiers c LEFT JOIN {_values(R.ZONES.items())} z(pays, zone) ON z.pays = upper(trim(c.residence))
-        LEFT JOIN {_values(R.AGENTS.items())} a(src, code) ON CAST(a.src AS VARCHAR) = trim(c.agenteco)""",
+        FROM stg_tiers c LEFT JOIN {ZONE_CODES} z(pays, zone) ON z.pays = upper(trim(c.residence))
+        LEFT JOIN {AGENT_CODES} a(src, code) ON CAST(a.src AS VARCHAR) = trim(c.agenteco)""",
         "stg_tiers",
     ),
 )
@@ -222,7 +234,8 @@ def dq_duplicates_key(spark, sf_dir):
     return Q.violations(staging(spark, sf_dir, "stg_contrat"), Q.CONTRACTS, "duplicates").select("id", "idcontrat", "typcontrat")
 
 
-@check("dq_duplicates_row", staging_sql(f"SELECT c.id, compte, soldeorigine FROM stg_compta c JOIN {_DUP_LEDGER} d ON c.id = d.id WHERE rn > 1", "stg_compta"))
+@check("dq_duplicates_row", staging_sql(
+    f"SELECT id, compte, soldeorigine FROM stg_compta QUALIFY row_number() OVER (PARTITION BY {_TRIMMED} ORDER BY id) > 1", "stg_compta"))
 def dq_duplicates_row(spark, sf_dir):
     return Q.violations(staging(spark, sf_dir, "stg_compta"), Q.LEDGER, "duplicates").select("id", "compte", "soldeorigine")
 
@@ -323,6 +336,22 @@ def dq_balance_reconcile(spark, sf_dir):
     return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
 
 
+@check(
+    "balance_reconcile_loaded",
+    staging_sql(
+        f"""SELECT CAST(s AS DOUBLE) AS balance_sum, CAST(l AS DOUBLE) AS fact_sum,
+        CAST(CASE WHEN abs(s - l) < 1 THEN 0 ELSE s - l END AS DOUBLE) AS difference FROM
+        (SELECT coalesce(sum({dec_sql('soldeconvertie')}), 0) AS s FROM stg_compta),
+        (SELECT coalesce(sum(soldeconvertie), 0) AS l FROM ({_FACT_FROM}))""",
+    ),
+)
+def balance_reconcile_loaded(spark, sf_dir):
+    """The ledger against the facts that it became."""
+    ledger, dims = _small_dims(spark, sf_dir)
+    out = Q.balance_sums(ledger, D.fact_rows(ledger, dims))
+    return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
+
+
 @check("dq_rejected_numbers", staging_sql(
     "SELECT " + ", ".join(f"count(CASE WHEN nullif(trim({c}), '') IS NOT NULL AND {dec_sql(c)} IS NULL THEN 1 END) AS {c}" for c in ("soldeorigine", "soldeconvertie", "cumulmvtdb"))
     + " FROM stg_compta", "stg_compta"))
@@ -426,12 +455,21 @@ def fact_keys(spark, sf_dir):
     return fact.drop("id_agence", "id_devise", "id_devisebnq", "id_chapitre", "id_date", "id_compte")
 
 
-@check("fact_dedup", "SELECT min(l_orderkey * 10 + l_linenumber) AS id, l_suppkey % 7 AS id_agence, l_linenumber AS actif FROM lineitem GROUP BY 2, 3")
+# Facts of fifteen filled columns; every third order stands there twice, with higher ids.
+_FACTS = """SELECT l_orderkey * 10 + l_linenumber + c.copy * 1000000000000 AS id, l_suppkey % 7 AS id_agence, l_partkey % 4 AS id_devise,
+    CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_partkey % 5 END AS id_devisebnq, l_partkey % 90 AS id_compte, l_partkey % 50 AS id_chapitre,
+    CAST(o_custkey % 20 AS STRING) AS id_client, CASE WHEN l_linenumber > 3 THEN NULL ELSE CAST(l_orderkey % 30 AS STRING) END AS id_contrat,
+    CAST(year(l_shipdate) AS BIGINT) AS id_date, CAST(l_quantity AS BIGINT) % 3 AS soldeorigine, CAST(l_tax AS DECIMAL(18,4)) AS soldeconvertie,
+    CAST(l_linenumber AS BIGINT) AS cumulmvtdb, CASE WHEN l_linenumber = 2 THEN NULL ELSE CAST(l_linenumber % 2 AS BIGINT) END AS cumulmvtcr,
+    CAST(l_suppkey % 2 AS BIGINT) AS soldeinitdebmois, CAST(l_quantity AS BIGINT) % 2 AS amount, CAST(l_linenumber % 2 AS INT) AS actif
+    FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN (SELECT 0 AS copy UNION ALL SELECT 1 AS copy) c ON c.copy = 0 OR l_orderkey % 3 = 0"""
+_FACT_COLS = ", ".join([*D.FACT_KEYS, *D.MEASURES])
+
+
+@check("fact_dedup", f"SELECT min(id) AS id, {_FACT_COLS.replace('soldeconvertie', 'CAST(soldeconvertie AS DOUBLE) AS soldeconvertie')} FROM ({duck(_FACTS)}) GROUP BY {_FACT_COLS}")
 def fact_dedup(spark, sf_dir):
-    rows = view(spark, sf_dir, "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 7 AS id_agence, l_linenumber AS actif FROM {lineitem}")
-    missing = [c for c in (*D.FACT_KEYS, *D.MEASURES) if c not in rows.columns]
-    full = rows.select("*", *[F.lit(None).cast("bigint").alias(c) for c in missing])
-    return D.dedup_fact(full).select("id", "id_agence", "actif")
+    rows = D.dedup_fact(view(spark, sf_dir, _FACTS))
+    return rows.withColumn("soldeconvertie", F.col("soldeconvertie").cast("double"))
 
 
 @check(
@@ -496,15 +534,12 @@ def dim_accounts(spark, sf_dir):
     return D.accounts(staging(spark, sf_dir, "stg_compta"))
 
 
-_LABEL = "CASE z " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.ZONE_LABELS.items()) + " ELSE 'Autres Etats' END"
-
-
 @check(
     "dim_residences",
     staging_sql(
         f"""SELECT DISTINCT nullif(trim(nationalite), '') AS pays, nullif(trim(c.residence), '') AS residence, {_LABEL} AS geo FROM
         (SELECT t.*, CASE WHEN t.residence IS NOT NULL THEN coalesce(m.zone, 144) END AS z FROM stg_tiers t
-         LEFT JOIN {_values(R.ZONES.items())} m(pays, zone) ON m.pays = upper(trim(t.residence))) c
+         LEFT JOIN {ZONE_CODES} m(pays, zone) ON m.pays = upper(trim(t.residence))) c
         WHERE nullif(trim(nationalite), '') IS NOT NULL OR nullif(trim(c.residence), '') IS NOT NULL OR z IS NOT NULL""",
         "stg_tiers",
     ),
@@ -513,19 +548,164 @@ def dim_residences(spark, sf_dir):
     return D.residences(R.recode_customers(staging(spark, sf_dir, "stg_tiers")))
 
 
-@check(
-    "datamart_load",
-    staging_sql("").rstrip() + ",\n" + _stage_sql(Q.CUSTOMERS, "stg_tiers", "cu") + ",\n" + _stage_sql(Q.CONTRACTS, "stg_contrat", "co")
-    + """ SELECT 'dim_client' AS "table", count(DISTINCT nullif(trim(idtiers), '')) AS rows FROM cu3
-    UNION ALL SELECT 'dim_contrat', count(DISTINCT nullif(trim(idcontrat), '')) FROM co3
-    UNION ALL SELECT 'fact_balance', count(*) FROM (""" + _FACT_FROM.replace("FROM stg_tiers t", "FROM cu3 t").replace("FROM stg_contrat k", "FROM co3 k") + ")",
+def _line(*values: str) -> str:
+    """DuckDB SQL of one text of several values."""
+    return "concat_ws('|', " + ", ".join(f"coalesce(CAST({v} AS VARCHAR), '~')" for v in values) + ")"
+
+
+_CUSTOMER = ["idtiers", "nomprenom", "raisonsoc", "residence", "agenteco", "sectionactivite", "datdouteux", "nomgrpaffaires"]
+_FIXED = [*_CUSTOMER, "nationalite", "chiffreaffaires", "douteux"]
+_MEASURES = ["soldeorigine", "CAST(soldeconvertie * 10000 AS BIGINT)", "cumulmvtdb", "cumulmvtcr", "soldeinitdebmois", "amount", "actif"]
+# The contents of all tables, surrogate ids shown by what they stand for.
+MART = (
+    staging_sql("").rstrip() + ",\n" + _stage_sql(Q.CUSTOMERS, "stg_tiers", "cu") + ",\n" + _stage_sql(Q.CONTRACTS, "stg_contrat", "co") + f""",
+cu4 AS ({_repair_sql("id, grpaffaires, " + ", ".join(_CUSTOMER)).replace("FROM stg_tiers", "FROM cu3")}),
+cu5 AS (SELECT id, grpaffaires, {", ".join(f"nullif(trim({c}), '') AS {c}" for c in _FIXED)} FROM cu4),
+cu6 AS (SELECT cu5.* EXCLUDE (agenteco), coalesce(CAST(a.code AS VARCHAR), agenteco) AS agenteco,
+    CASE WHEN cu5.residence IS NOT NULL THEN coalesce(zone, 144) END AS z,
+    CASE WHEN regexp_matches(sectionactivite, '{INT}') THEN CAST(sectionactivite AS INT) // 10 END AS v
+    FROM cu5 LEFT JOIN {ZONE_CODES} m(pays, zone) ON m.pays = upper(cu5.residence) LEFT JOIN {AGENT_CODES} a(src, code) ON CAST(a.src AS VARCHAR) = cu5.agenteco),
+nearest AS (SELECT v, arg_min(k.code, (abs(k.k - v), k.k)) AS section FROM (SELECT DISTINCT v FROM cu6 WHERE v IS NOT NULL) x, {_values(_KEYS)} k(k, code) GROUP BY v),
+customers AS (SELECT cu6.*, nationalite AS pays, {_LABEL} AS geo, section, {int_sql('douteux')} AS doubt, {date_sql('datdouteux')} AS doubt_day,
+    douteux IS NOT NULL OR datdouteux IS NOT NULL AS doubted, nationalite IS NOT NULL OR residence IS NOT NULL OR z IS NOT NULL AS placed
+    FROM cu6 LEFT JOIN nearest USING (v)),
+contracts AS (SELECT nullif(trim(idcontrat), '') AS idcontrat, nullif(trim(idtiers), '') AS idtiers, {int_sql('agence')} AS agence, nullif(trim(devise), '') AS devise,
+    p.code AS purpose, CASE lower(trim(typcontrat)) WHEN 'p' THEN 'PRET' WHEN 'd' THEN 'COMPTE ORDINAIRE' ELSE nullif(trim(typcontrat), '') END AS kind,
+    {date_sql(norm_sql('datouv'))} AS opened, {date_sql(norm_sql('datech'))} AS due, {int_sql('ancienneteimpaye')} AS late, {int_sql('tauxcontrat')} AS rate, {int_sql('actif')} AS actif
+    FROM co3 LEFT JOIN {PURPOSE_CODES} p(src, code) ON CAST(p.src AS VARCHAR) = trim(co3.objetfinance)),
+facts AS ({_FACT_FROM.replace("FROM stg_tiers t", "FROM cu3 t").replace("FROM stg_contrat k", "FROM co3 k")}),
+accounts AS (SELECT {int_sql('compte', 'BIGINT')} AS numcompte, max(nullif(trim(libellecompte), '')) AS label FROM stg_compta GROUP BY 1),
+texts AS (
+    SELECT DISTINCT 'sub_dim_residence' AS "table", {_line("pays", "residence", "geo")} AS content FROM customers WHERE placed
+    UNION ALL SELECT DISTINCT 'sub_dim_douteux', {_line("doubt", "doubt_day")} FROM customers WHERE doubted
+    UNION ALL SELECT 'sub_dim_grpaffaire', {_line("grpaffaires", "min(nomgrpaffaires)")} FROM customers WHERE grpaffaires IS NOT NULL GROUP BY grpaffaires
+    UNION ALL SELECT 'sub_dim_agenteco', content FROM (VALUES ('25'), ('21100|Banque Centrales'), ('24200|Particuliers'), ('27000|Autres organismes')) x(content)
+    UNION ALL SELECT 'sub_dim_sectionactivite', content FROM (VALUES ('89'), ('3|Peche, pisciculture, acquaculture')) x(content)
+    UNION ALL SELECT 'sub_dim_objetfinance', content FROM (VALUES ('7'), ('1311|Credits immobiliers residentiel'), ('1360|Autres Credits')) x(content)
+    UNION ALL SELECT DISTINCT 'sub_dim_agence', CAST(a AS VARCHAR) FROM (SELECT agence AS a FROM contracts UNION SELECT numagence FROM facts) WHERE a IS NOT NULL
+    UNION ALL SELECT DISTINCT 'sub_dim_devise', a FROM (SELECT devise AS a FROM contracts UNION SELECT devise FROM facts UNION SELECT devisebnq FROM facts) WHERE a IS NOT NULL
+    UNION ALL SELECT DISTINCT 'sub_dim_date', CAST(a AS VARCHAR) FROM (SELECT opened AS a FROM contracts UNION SELECT due FROM contracts UNION SELECT date_value FROM facts) WHERE a IS NOT NULL
+    UNION ALL SELECT DISTINCT 'sub_dim_typcontrat', kind FROM contracts WHERE kind IS NOT NULL
+    UNION ALL SELECT DISTINCT 'sub_dim_chapitre', CAST(chapitre AS VARCHAR) FROM facts WHERE chapitre IS NOT NULL
+    UNION ALL SELECT 'sub_dim_compte', {_line("numcompte", "label")} FROM accounts WHERE numcompte IS NOT NULL
+    UNION ALL SELECT 'dim_client', {_line("idtiers", "CASE WHEN placed THEN " + _line("pays", "residence", "geo") + " ELSE '~|~|~' END",
+        "CASE WHEN agenteco IN ('21100', '22220', '24200', '21311', '23300') THEN agenteco END",
+        "CASE WHEN doubted THEN " + _line("doubt", "doubt_day") + " ELSE '~|~' END", "grpaffaires", "section", "nomprenom", "raisonsoc", "chiffreaffaires")}
+        FROM customers WHERE idtiers IS NOT NULL
+    UNION ALL SELECT 'dim_contrat', {_line("idcontrat", "(SELECT max(c.idtiers) FROM cu5 c WHERE c.idtiers = contracts.idtiers)", "agence", "devise", "purpose", "kind", "opened", "due", "late", "rate", "actif")}
+        FROM contracts WHERE idcontrat IS NOT NULL
+    UNION ALL SELECT 'fact_balance', {_line("numagence", "devise", "devisebnq", "numcompte", "chapitre", "id_client", "id_contrat", "date_value", *_MEASURES)} FROM facts)
+SELECT * FROM texts"""
 )
-def datamart_load(spark, sf_dir):
-    """Clean, recode and load all three staging tables, then count the large ones."""
+
+
+def _contents(tables):
+    """One line of text for every row of every table, keys replaced by what they point at."""
+
+    def line(*values):
+        return F.concat_ws("|", *[F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("~")) for v in values])
+
+    def named(name, id_col, *columns):
+        dim = tables[name]
+        return dim.select(F.col("id").alias(id_col), line(*columns).alias(f"{id_col}_text"))
+
+    def look(df, name, id_col, *columns):
+        return df.join(named(name, id_col, *columns), id_col, "left").withColumn(
+            f"{id_col}_text", F.coalesce(f"{id_col}_text", F.lit("|".join("~" * len(columns)))))
+
+    plain = {
+        "sub_dim_residence": ["pays", "residence", "geo"], "sub_dim_douteux": ["douteux", "datdouteux"], "sub_dim_grpaffaire": ["id", "nomgrpaffaires"],
+        "sub_dim_agence": ["numagence"], "sub_dim_devise": ["devise"], "sub_dim_date": ["date_value"], "sub_dim_typcontrat": ["typcontrat"],
+        "sub_dim_chapitre": ["chapitre"], "sub_dim_compte": ["numcompte", "libellecompte"],
+    }
+    out = [(n, tables[n].select(line(*c).alias("content"))) for n, c in plain.items()]
+    for name, some in (("sub_dim_agenteco", [21100, 24200, 27000]), ("sub_dim_sectionactivite", [3]), ("sub_dim_objetfinance", [1311, 1360])):
+        out.append((name, tables[name].agg(F.count(F.lit(1)).cast("string").alias("content"))))
+        out.append((name, tables[name].where(F.col("id").isin(some)).select(line("id", "libelle").alias("content"))))
+    clients = look(tables["dim_client"], "sub_dim_residence", "id_residence", "pays", "residence", "geo")
+    clients = look(clients, "sub_dim_douteux", "id_douteux", "douteux", "datdouteux")
+    out.append(("dim_client", clients.select(line(
+        "idtiers", "id_residence_text", "id_agenteco", "id_douteux_text", "id_grpaffaire", "id_sectionactivite", "nomprenom", "raisonsoc", "chiffreaffaires").alias("content"))))
+    contracts = tables["dim_contrat"].withColumnRenamed("id", "idcontrat")
+    for name, key, column in (("sub_dim_agence", "id_agence", "numagence"), ("sub_dim_devise", "id_devise", "devise"), ("sub_dim_typcontrat", "id_typcontrat", "typcontrat"),
+                              ("sub_dim_date", "id_dateouverture", "date_value"), ("sub_dim_date", "id_dateecheance", "date_value")):
+        contracts = look(contracts, name, key, column)
+    out.append(("dim_contrat", contracts.select(line(
+        "idcontrat", "id_client", "id_agence_text", "id_devise_text", "id_objetfinance", "id_typcontrat_text", "id_dateouverture_text", "id_dateecheance_text",
+        "ancienneteimpaye", "tauxcontrat", "actif").alias("content"))))
+    facts = tables["fact_balance"]
+    for name, key, column in (("sub_dim_agence", "id_agence", "numagence"), ("sub_dim_devise", "id_devise", "devise"), ("sub_dim_devise", "id_devisebnq", "devise"),
+                              ("sub_dim_compte", "id_compte", "numcompte"), ("sub_dim_chapitre", "id_chapitre", "chapitre"), ("sub_dim_date", "id_date", "date_value")):
+        facts = look(facts, name, key, column)
+    measures = [(F.col(m) * 10000).cast("bigint") if m == "soldeconvertie" else m for m in D.MEASURES]
+    out.append(("fact_balance", facts.select(line(
+        "id_agence_text", "id_devise_text", "id_devisebnq_text", "id_compte_text", "id_chapitre_text", "id_client", "id_contrat", "id_date_text", *measures).alias("content"))))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("table"), "content") for n, df in out])
+
+
+def _loaded(spark, sf_dir):
     folder = work_folder(spark)
     raw = [written(staging(spark, sf_dir, n), f"{folder}/raw_{n}") for n in ("stg_tiers", "stg_contrat", "stg_compta")]
     clean = D.clean_staging(*raw, folder)
-    return D.table_counts(D.load_datamart(spark, *clean, f"{folder}/mart"))
+    return clean, f"{folder}/mart"
+
+
+@check("datamart_load", MART)
+def datamart_load(spark, sf_dir):
+    """Clean, recode and load all three staging tables; the contents of all fifteen tables."""
+    clean, root = _loaded(spark, sf_dir)
+    return _contents(D.load_datamart(spark, *clean, root))
+
+
+@check("datamart_reload", MART)
+def datamart_reload(spark, sf_dir):
+    """Half of the ledger and the customers first, then all of it: the same contents as from one load."""
+    (customers, contracts, ledger), root = _loaded(spark, sf_dir)
+    some = ledger.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+    # Labels go by the greatest of a load, so the first load sees those of all rows.
+    D.load_datamart(spark, customers, contracts, some.withColumn("libellecompte", F.lit(None).cast("string")), root)
+    return _contents(D.load_datamart(spark, customers, contracts, ledger, root))
+
+
+# Labels that the staging values come to, with their customers and contracts.
+_SEEDED = """SELECT 'agenteco' AS kind, m.label, count(*) AS rows FROM stg_tiers t JOIN (VALUES
+        ('100', 'Banque Centrales'), ('230', 'Societes non financieres privees nationales'), ('320', 'Particuliers'), ('400', 'Particuliers'),
+        ('266', 'Societes d''assurances'), ('203', 'Administrations de securite sociale')) m(src, label) ON m.src = trim(t.agenteco) GROUP BY 2
+    UNION ALL SELECT 'objetfinance', m.label, count(*) FROM stg_contrat t JOIN (VALUES ('10234', 'Credits a la consommation'),
+        ('30411', 'Credits immobiliers residentiel'), ('14259', 'Credits d''exploitation'), ('48350', 'Credits d''equipement')) m(src, label)
+        ON m.src = trim(t.objetfinance) GROUP BY 2"""
+
+
+@check("labels_seeded", staging_sql(_SEEDED, "stg_tiers", "stg_contrat"))
+def labels_seeded(spark, sf_dir):
+    """Label tables of codes, stored and read back, and how many staging rows carry each label."""
+    root = work_folder(spark)
+    tables = D.seed_labels(spark, root)
+    D.seed_labels(spark, root)  # a second seeding adds nothing
+    agents = R.recode_customers(staging(spark, sf_dir, "stg_tiers")).select(F.lit("agenteco").alias("kind"), C.guarded("agenteco", "bigint").alias("id"))
+    purposes = R.recode_contracts(staging(spark, sf_dir, "stg_contrat")).select(F.lit("objetfinance").alias("kind"), C.guarded("objetfinance", "bigint").alias("id"))
+    found = [rows.join(spark.read.parquet(f"{root}/{name}"), "id") for rows, name in ((agents, "sub_dim_agenteco"), (purposes, "sub_dim_objetfinance"))]
+    assert len(tables) == 3
+    return found[0].unionByName(found[1]).groupBy("kind", F.col("libelle").alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+_TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+    WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"""
+
+
+@check(
+    "catalog_tables",
+    f"""SELECT table_name, CAST(ordinal_position AS INT) AS position, column_name AS name, {_TYPES} AS type, is_nullable = 'YES' AS nullable
+    FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ({", ".join(f"'{t}'" for t in TEST_TABLES)})""",
+)
+def catalog_tables(spark, sf_dir):
+    """The test tables as tables of a catalog, discovered with their columns."""
+    database = "tables_" + sf_dir.rstrip("/").rpartition("/")[2].replace(".", "_").replace("-", "_")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name in TEST_TABLES:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} USING parquet OPTIONS (path '{sf_dir}/{name}.parquet')")
+    found = discover(spark_columns(spark, database), database)
+    return found.select("table_name", F.inline("columns"))
 
 
 @check(

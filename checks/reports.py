@@ -138,13 +138,19 @@ def ratio_values_zero(spark, sf_dir):
 @check(
     "ratio_long",
     LONG + """ SELECT c.reference_date, c.code, round(c.value, 6) AS value,
-    CASE c.code WHEN 'RS' THEN 3 WHEN 'COEL' THEN 2 ELSE 2 END AS inputs, round(CASE WHEN c.code = 'RLCT' THEN m.TOEXP ELSE m.FPE END, 2) AS first_input
-    FROM cells c JOIN m USING (reference_date) WHERE c.code <> 'COEL'""",
+    CASE c.code WHEN 'RS' THEN 3 ELSE 2 END AS inputs,
+    round(CASE c.code WHEN 'RLCT' THEN m.TOEXP WHEN 'COEL' THEN m.SNT ELSE m.FPE END, 2) AS first_input,
+    round(CASE c.code WHEN 'RS' THEN m.RCR WHEN 'RL' THEN m.SNT WHEN 'COEL' THEN m.RO WHEN 'RLCT' THEN m.ENC ELSE m.NIL END, 2) AS second_input
+    FROM cells c JOIN m USING (reference_date)""",
 )
 def ratio_long(spark, sf_dir):
-    long = R.ratios_long(_wide(spark, sf_dir), RATIOS, ["reference_date"]).filter(F.col("code") != "COEL")
-    first = F.when(F.col("code") == "RLCT", F.col("inputs")["TOEXP"]).otherwise(F.col("inputs")["FPE"])
-    return long.select("reference_date", "code", F.round("value", 6).alias("value"), F.size("inputs").alias("inputs"), F.round(first, 2).alias("first_input"))
+    long = R.ratios_long(_wide(spark, sf_dir), RATIOS, ["reference_date"])
+    named = {"RS": ("FPE", "RCR"), "RL": ("FPE", "SNT"), "COEL": ("SNT", "RO"), "RLCT": ("TOEXP", "ENC"), "BAD": ("FPE", "NIL")}
+    pair = [F.create_map(*[F.lit(x) for code, own in named.items() for x in (code, own[i])])[F.col("code")] for i in (0, 1)]
+    return long.select(
+        "reference_date", "code", F.round("value", 6).alias("value"), F.size("inputs").alias("inputs"),
+        F.round(F.col("inputs")[pair[0]], 2).alias("first_input"), F.round(F.col("inputs")[pair[1]], 2).alias("second_input"),
+    )
 
 
 @check(
@@ -227,14 +233,14 @@ def dashboard_at_date(spark, sf_dir):
 
 @check(
     "dashboard_by_ratio",
-    STORED + """ SELECT coalesce(c.code, concat('id_', s.id_ratios)) AS code, count(*) AS dates, min(reference_date)::VARCHAR AS first_date,
-    round(arg_max(ratios_value, reference_date), 6) AS last_value FROM stored s LEFT JOIN config c ON c.id = s.id_ratios AND c.id < 3 GROUP BY 1""",
+    STORED + """ SELECT coalesce(c.code, concat('id_', s.id_ratios)) AS code, reference_date::VARCHAR AS reference_date, round(ratios_value, 6) AS value,
+    row_number() OVER (PARTITION BY s.id_ratios ORDER BY reference_date) AS place FROM stored s LEFT JOIN config c ON c.id = s.id_ratios AND c.id < 3""",
 )
 def dashboard_by_ratio(spark, sf_dir):
+    """Every entry of every series, with its place."""
     series = B.by_ratio(_stored(spark, sf_dir), _config(spark).filter("id < 3"))
-    keys, values = F.map_keys("values"), F.map_values("values")
-    return series.select("code", F.size(keys).cast("bigint").alias("dates"), F.element_at(keys, 1).alias("first_date"),
-                         F.round(F.element_at(values, -1), 6).alias("last_value"))
+    entries = series.select("code", F.posexplode(F.map_entries("values")).alias("place", "entry"))
+    return entries.select("code", F.col("entry.key").alias("reference_date"), F.round("entry.value", 6).alias("value"), (F.col("place") + 1).cast("bigint").alias("place"))
 
 
 @check(
@@ -258,6 +264,18 @@ def threshold_status(spark, sf_dir):
     return B.threshold_status(_listing(spark, sf_dir)).select("code", "reference_date", "severity")
 
 
+@check(
+    "severity_counts",
+    STORED + f""" SELECT reference_date, count(*) AS ratios, count(*) FILTER (value < seuil_appetence) AS critical,
+    count(*) FILTER (NOT coalesce(value < seuil_appetence, false) AND value < seuil_alerte) AS alert,
+    count(*) FILTER (NOT coalesce(value < seuil_appetence, false) AND NOT coalesce(value < seuil_alerte, false) AND value < seuil_tolerance) AS warning,
+    count(*) FILTER (NOT coalesce(value < seuil_appetence, false) AND NOT coalesce(value < seuil_alerte, false) AND NOT coalesce(value < seuil_tolerance, false)) AS healthy
+    FROM ({_LISTING}) WHERE value IS NOT NULL GROUP BY 1""",
+)
+def severity_counts(spark, sf_dir):
+    return B.severity_counts(_listing(spark, sf_dir))
+
+
 _DAYS = [date(1996, 1, 1), date(1996, 2, 1), date(1997, 3, 1), date(2001, 9, 1), date(2030, 1, 1)]
 _TREND = STORED + """, asked AS (SELECT w.code, d.d FROM (VALUES ('RS'), ('RL'), ('coel'), ('NONE')) w(code),
     (VALUES (DATE '1996-01-01'), (DATE '1996-02-01'), (DATE '1997-03-01'), (DATE '2001-09-01'), (DATE '2030-01-01')) d(d)),

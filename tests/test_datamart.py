@@ -1,5 +1,8 @@
 """Loading: idempotence, key numbering, conservation."""
 
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from balancier.operators import datamart as D
 from balancier.operators import listing as P
 from balancier.operators import metrics as M
 from balancier.operators import quality as Q
-from balancier.session import work_folder
+from balancier.session import work_folder, written
 from checks.staging import staging
 from tests.plans import text
 
@@ -128,3 +131,78 @@ def test_first_arrival_wins_and_group_names_are_steady(spark):
     assert sorted((r["k"], r["v"]) for r in D.first_per_key(rows, "k", "n").collect()) == [("k", "early"), ("m", "x")]
     groups = spark.createDataFrame([(7, "B "), (7, " A"), (None, "C")], "grpaffaires int, nomgrpaffaires string")
     assert [tuple(r) for r in D.groups(groups).collect()] == [(7, "A")]
+
+
+def files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in Path(root).rglob("*.parquet")}
+
+
+def test_ledger_is_scanned_twice_and_a_reload_writes_no_table(spark, cleaned, tmp_path):
+    customers, contracts, ledger = cleaned
+    ledger = written(ledger, work_folder(spark))
+    rows, read = ledger.count(), spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    watched = ledger.mapInArrow(passed, ledger.schema)
+    root = str(tmp_path)
+    D.load_datamart(spark, customers, contracts, watched, root)
+    assert rows < read.value <= 2 * rows
+    before, read.value = files(root), 0
+    D.load_datamart(spark, customers, contracts, watched, root)
+    assert files(root) == before and rows < read.value <= 2 * rows
+
+
+def test_rows_of_one_hash_are_told_apart(spark):
+    """The hash finds candidates, the values decide, and NULL equals NULL."""
+    rows = spark.createDataFrame([(1, None, "a"), (None, 1, "a"), (1, 1, "b"), (2, None, None)], "x int, y int, z string")
+    stored = spark.createDataFrame([(1, None, "a"), (2, None, None), (1, 1, "c")], "x int, y int, z string")
+    keys = ["x", "y", "z"]
+    want = {(None, 1, "a"), (1, 1, "b")}
+    for hashed in (D.row_hash(keys), F.lit(7).cast("bigint")):
+        a, b = (df.withColumn("row_hash", hashed) for df in (rows, stored))
+        new = D.not_stored(a, b, keys)
+        assert {(r.x, r.y, r.z) for r in new.collect()} == want
+    left, right = (spark.createDataFrame([v], "x int, y int").select(D.row_hash(["x", "y"]).alias("h")).first().h for v in ((None, 5), (5, None)))
+    assert left != right
+
+
+def test_stored_facts_are_joined_on_their_hash_alone(spark, loaded):
+    _, t = loaded
+    keys = [*D.FACT_KEYS, *D.MEASURES]
+    plan = text(D.not_stored(t["fact_balance"], t["fact_balance"], keys))
+    joins = re.findall(r"Left keys \[(\d+)\]", plan)
+    assert joins == ["1"] and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_only_new_facts_and_members_come(spark, cleaned, tmp_path):
+    customers, contracts, ledger = cleaned
+    root = str(tmp_path)
+    some = ledger.where("id % 3 = 0 AND agence <> '4'")
+    first = D.load_datamart(spark, customers, contracts, some, root)
+    facts, agencies = first["fact_balance"].count(), first["sub_dim_agence"].collect()
+    second = D.load_datamart(spark, customers, contracts, ledger, root)
+    assert second["fact_balance"].count() == D.fact_rows(ledger, second).count() > facts
+    assert second["fact_balance"].agg(F.count_distinct("id")).first()[0] == second["fact_balance"].count()
+    assert set(agencies) <= set(second["sub_dim_agence"].collect())
+
+
+def test_empty_staging_gives_empty_tables(spark, cleaned, tmp_path):
+    none = [df.limit(0) for df in cleaned]
+    for _ in range(2):
+        t = D.load_datamart(spark, *none, str(tmp_path))
+        counts = {r["table"]: r["rows"] for r in D.table_counts(t, D.TABLES).collect()}
+        assert {n for n, c in counts.items() if c} == set(D.LABELS)
+    t = D.load_datamart(spark, *cleaned, str(tmp_path))
+    assert t["fact_balance"].count() and t["sub_dim_grpaffaire"].count()
+
+
+def test_labels_are_seeded_once(spark, tmp_path):
+    root = str(tmp_path)
+    one = {n: df.count() for n, df in D.seed_labels(spark, root).items()}
+    before = files(root)
+    assert {n: df.count() for n, df in D.seed_labels(spark, root).items()} == one and files(root) == before
+    assert one == {"sub_dim_agenteco": 25, "sub_dim_sectionactivite": 89, "sub_dim_objetfinance": 7}
