@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from balancier.llm import words as W
 from balancier.llm.common import blocks, documents, kept, null_ids
-from balancier.llm.components import components
+from balancier.llm.components import followed, merged
 
 SHINGLE = 5
 #: Linked when ``100 * both >= PERCENT * either``; the bound ``d`` below is for this number.
@@ -181,7 +181,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, docs: DataFrame) -> DataFra
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return kept(spark, met.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"))
+    return met.where(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def near(members: DataFrame, nearest: int | None) -> DataFrame:
@@ -277,13 +277,15 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     led = groups.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"))
     best = led.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best"))
     pairs = best.select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
-    links = _verified(spark, _possible(pairs, sketches), docs)
-    parts = components(spark, links)
+    links = kept(spark, _verified(spark, _possible(pairs, sketches), docs).distinct())  # rows of one id link alike
+    # A lead is smaller than the documents that it leads, and each of these has one.
+    parts = followed(spark, links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     for nearest, share in ((1, 4), (None, 1)):
         some = groups.select("key", "node").where(F.pmod("key", F.lit(share)) == 0)
         pairs = near(_apart(some, parts, sketches), nearest)
-        links = links.unionByName(_verified(spark, pairs, docs))
-        parts = components(spark, links)
+        found = _verified(spark, pairs, docs)
+        # Links of the leads may run deeper than was followed.
+        parts = merged(spark, parts, found if nearest is None else links.unionByName(found))
 
     nodes = read.select("doc_id", "n_shingles", "twin").join(parts.withColumnRenamed("node", "twin"), "twin", "left")
     nodes = nodes.select("doc_id", "n_shingles", F.coalesce("component", "twin").alias("component"))

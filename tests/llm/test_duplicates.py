@@ -303,3 +303,32 @@ def test_estimates_are_unbiased_and_bounded():
         off.append(found[0] - 0.8)
         beyond += abs(found[0] - 0.8) > bound[0]
     assert abs(np.mean(off)) < 0.01 and beyond == 0
+
+
+def test_followed_parents_and_merged_parts(spark):
+    """Chains deeper than is followed come together by their links, and nodes of no part are their own."""
+    from balancier.llm.components import components, followed, merged
+
+    chain = [(i, i - 1) for i in range(1, 30)] + [(100, 3), (101, 3), (202, 201)]
+    parents = spark.createDataFrame(chain, "node long, parent long")
+    parts = followed(spark, parents)
+    assert {(r.node, r.component) for r in parts.collect()} >= {(2, 0), (4, 0), (100, 0), (202, 201), (9, 5)}
+    links = parents.selectExpr("parent AS a", "node AS b").unionByName(spark.createDataFrame([(300, 202), (400, 401)], "a long, b long"))
+    got = {r.node: r.component for r in merged(spark, parts, links).collect()}
+    want = {r.node: r.component for r in components(spark, links).collect()}
+    assert {n: got.get(n, n) for n in want} == want and got[300] == 201 and got[401] == 400
+    none = links.limit(0)
+    assert components(spark, none).collect() == []
+    assert sorted(merged(spark, parts, none).collect()) == sorted(parts.collect())
+
+
+def test_jobs_of_the_near_duplicates_stage(spark):
+    """Planning is what fills the driver: the stage stays under a bound of jobs."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.sparkContext.setJobGroup("near_duplicates", "")
+    corpus_pipeline.kept(spark, corpus_pipeline.distinct(spark, docs, ""))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("near_duplicates")
+    spark.sparkContext.setJobGroup("default", "")
+    assert 0 < len(jobs) < 80
