@@ -43,16 +43,21 @@ def _round(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, tuple]:
 
 
 def followed(spark: SparkSession, parents: DataFrame) -> DataFrame:
-    """``node, component`` of ``node, parent``, where every node has one parent at most, and a smaller one.
+    """``node, component`` of ``node, parent``: where the steps from parent to parent end.
 
-    Each join doubles the steps that are followed. What lies deeper than four steps keeps a
-    component of its own, so parts may be smaller than components but never mix them.
+    Every node has one parent at most and none is its own ancestor. Each join doubles the steps
+    that are followed; the table is written after two of them, until the second finds nothing more.
     """
     out = parents.select("node", F.col("parent").alias("component"))
-    for _ in range(2):
-        above = out.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        out = out.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-    return kept(spark, out)
+    while True:
+        for _ in range(2):
+            above = out.select(F.col("node").alias("component"), F.col("component").alias("above"))
+            joined = out.select("node", "component").join(above, "component", "left")
+            out = joined.select("node", F.coalesce("above", "component").alias("component"), F.col("above").isNotNull().alias("moved"))
+        told = Observation()
+        out = kept(spark, out.observe(told, F.count_if("moved").alias("moved")).select("node", "component"))
+        if not told.get["moved"]:
+            return out
 
 
 def merged(spark: SparkSession, parts: DataFrame, links: DataFrame) -> DataFrame:

@@ -270,22 +270,25 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     docs = documents(docs)
     read = kept(spark, _read(docs))
     met = read.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    leads = met.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
-    groups = kept(spark, met.join(leads.select("key", "lead"), "key"))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sized = kept(spark, met.join(sizes, "key"))
+    # The member that meets most others leads: of near copies of one text that text or a close one.
+    weights = sized.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = sized.select("key", "node").join(weights, "node")
+    leads = weighed.groupBy("key").agg(F.bitwise_not(F.max(F.struct("weight", F.bitwise_not("node").alias("n")))["n"]).alias("lead"))
+    groups = kept(spark, sized.select("key", "node").join(leads, "key"))
     sketches = read.where("sketch IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
 
     led = groups.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("shared"))
     best = led.groupBy("node").agg(F.max(F.struct("shared", "lead")).alias("best"))
     pairs = best.select(F.col("best.lead").alias("a"), F.col("node").alias("b"))
     links = kept(spark, _verified(spark, _possible(pairs, sketches), docs).distinct())  # rows of one id link alike
-    # A lead is smaller than the documents that it leads, and each of these has one.
+    # A lead weighs more than the documents that it leads, or is smaller; each of these has one.
     parts = followed(spark, links.select(F.col("b").alias("node"), F.col("a").alias("parent")))
     for nearest, share in ((1, 4), (None, 1)):
         some = groups.select("key", "node").where(F.pmod("key", F.lit(share)) == 0)
         pairs = near(_apart(some, parts, sketches), nearest)
-        found = _verified(spark, pairs, docs)
-        # Links of the leads may run deeper than was followed.
-        parts = merged(spark, parts, found if nearest is None else links.unionByName(found))
+        parts = merged(spark, parts, _verified(spark, pairs, docs))
 
     nodes = read.select("doc_id", "n_shingles", "twin").join(parts.withColumnRenamed("node", "twin"), "twin", "left")
     nodes = nodes.select("doc_id", "n_shingles", F.coalesce("component", "twin").alias("component"))
