@@ -83,6 +83,24 @@ def metrics_by_date(
     return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs, rows))
 
 
+def distinct_counts(rows: DataFrame, ids: str, wanted: Mapping[str, Column | None], groups: Iterable[str] = ()) -> DataFrame:
+    """Exact counts of distinct ``ids``, one for each filter in ``wanted``, in one pass.
+
+    ``ids`` are dense numbers from 0 on, as surrogate keys are; NULL counts for nothing. A count is
+    the number of bits in bitmaps of 32,768 ids each, so rows are not multiplied by the number of
+    filters, as several COUNT(DISTINCT) would do, and a hot id is one bit in every task.
+    """
+    groups, one = list(groups), F.bitmap_bit_position(F.col(ids))
+    hits = {name: F.lit(True) if cond is None else F.coalesce(cond, F.lit(False)) for name, cond in wanted.items()}
+    hits = {name: F.col(ids).isNotNull() & hit for name, hit in hits.items()}
+    flagged = rows.select(
+        *groups, F.bitmap_bucket_number(F.col(ids)).alias("_bucket"), *[F.when(hit, one).alias(f"_{n}") for n, hit in hits.items()]
+    )
+    maps = [F.expr(f"bitmap_construct_agg(`_{n}`) FILTER (WHERE `_{n}` IS NOT NULL)").alias(n) for n in hits]
+    counted = flagged.groupBy(*groups, "_bucket").agg(*maps).select(*groups, *[F.bitmap_count(n).alias(n) for n in hits])
+    return counted.groupBy(*groups).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in hits])
+
+
 def to_long(wide: DataFrame, codes: Iterable[str], keys: Iterable[str] = (), code: str = "code", value: str = "value") -> DataFrame:
     """Metric columns -> (keys, code, value) rows."""
     pairs = F.array(*[F.struct(F.lit(c).alias(code), F.col(f"`{c}`").alias(value)) for c in codes])

@@ -147,6 +147,23 @@ def recode_nearest(spark, sf_dir):
     return R.recode_customers(staging(spark, sf_dir, "stg_tiers")).select("id", "sectionactivite")
 
 
+_NEAR_KEYS = "SELECT l_orderkey * 7 + l_linenumber * 1000 AS key, concat('K', CAST(l_suppkey AS STRING)) AS code FROM {lineitem}"
+_NEAR_VALUES = "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 3 THEN NULL ELSE (o_custkey * 7919 + o_orderkey * 31) % 900000 - 2000 END AS v FROM {orders}"
+
+
+@check(
+    "recode_nearest_table",
+    f"""WITH keys AS (SELECT key, min(code) AS code FROM ({duck(_NEAR_KEYS)}) GROUP BY 1), rows AS ({duck(_NEAR_VALUES)}),
+    low AS (SELECT o_orderkey, key, code FROM rows ASOF JOIN keys ON rows.v >= keys.key),
+    high AS (SELECT o_orderkey, key, code FROM rows ASOF JOIN keys ON rows.v <= keys.key)
+    SELECT o_orderkey, v, CASE WHEN low.key IS NULL THEN high.code WHEN high.key IS NULL OR v - low.key <= high.key - v THEN low.code ELSE high.code END AS code
+    FROM rows LEFT JOIN low USING (o_orderkey) LEFT JOIN high USING (o_orderkey)""",
+)
+def recode_nearest_table(spark, sf_dir):
+    """The nearest key of a stored table of keys."""
+    return R.nearest_from(view(spark, sf_dir, _NEAR_VALUES), "v", view(spark, sf_dir, _NEAR_KEYS), "code")
+
+
 def _repair_sql(cols: str, where: str = "") -> str:
     return f"""SELECT {cols},
         CASE WHEN nationalite IS NULL OR nationalite = '' OR regexp_matches(nationalite, '{LOOSE}') THEN residence ELSE nationalite END AS nationalite,

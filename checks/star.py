@@ -331,3 +331,20 @@ def _long_sql() -> str:
 )
 def metrics_long(spark, sf_dir):
     return M.to_long(metrics_all_dates(spark, sf_dir), list(SIX), ["reference_date"])
+
+
+_COUNTED = {
+    "parts": None, "small": "l_quantity <= 10", "large": "l_quantity > 40", "taxed": "l_tax > 0.04", "free": "l_tax = 0",
+    "first": "l_linenumber = 1", "open": "l_linestatus = 'O'", "reduced": "l_discount > 0.05", "dear": "l_extendedprice > 50000", "none": "l_quantity < 0",
+}
+
+
+@check(
+    "metric_distinct_bitmaps",
+    "SELECT l_returnflag, " + ", ".join("count(DISTINCT l_partkey)" + (f" FILTER ({c})" if c else "") + f' AS "{n}"' for n, c in _COUNTED.items())
+    + " FROM lineitem GROUP BY 1",
+)
+def metric_distinct_bitmaps(spark, sf_dir):
+    """Ten filtered distinct counts from one scan."""
+    wanted = {n: None if c is None else F.expr(c) for n, c in _COUNTED.items()}
+    return M.distinct_counts(table(spark, sf_dir, "lineitem"), "l_partkey", wanted, ["l_returnflag"])
