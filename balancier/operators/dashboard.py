@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from balancier.operators import metrics as M
 from balancier.operators import ratios as R
+from balancier.operators import states as S
 from balancier.operators.datamart import not_yet_in, number_rows
 from balancier.plans.catalog import SpecError
 
@@ -31,16 +32,16 @@ class Fill(NamedTuple):
 
 def fill(
     tables: Mapping[str, DataFrame], ratios: Mapping[str, tuple[int, Mapping]], catalog: Mapping[str, Mapping],
-    existing: DataFrame | None = None,
+    existing: DataFrame | None = None, states: str | None = None,
 ) -> Fill:
     """Evaluate every missing (ratio, date) pair in one grouped pass over the facts.
 
-    Only dates that lack some ratio are read. A value that cannot be computed has an
-    error instead; such rows are for reporting and are not stored.
+    Only dates that lack some ratio are read. With ``states``, the folder where metric states
+    are kept, these are refreshed from facts they do not know yet, and dates and values come
+    from them. A value that cannot be computed has an error instead; such rows are for
+    reporting and are not stored.
     """
     spark = tables["fact_balance"].sparkSession
-    found = M.reference_dates(tables)
-    dates = found.select(F.col(found.columns[0]).alias("reference_date"))
     broken, good = {}, {}
     for code, (ident, tree) in ratios.items():
         try:
@@ -48,12 +49,17 @@ def fill(
             good[code] = (ident, tree)
         except SpecError as error:
             broken[code] = (ident, str(error))
+    needed = R.needed_metrics({code: tree for code, (_, tree) in good.items()}, catalog)
+    kept = None
+    if states is not None and needed:
+        S.refresh(tables, needed, states)
+        kept = S.metrics_by_date(tables, needed, states)
+    dates = M.reference_dates(tables) if kept is None else kept.select("reference_date")
     todo = missing_pairs([i for i, _ in ratios.values()], dates, existing)
     schema = "id_ratios bigint, code string, value double, error string"
     parts = []
     if good:
-        trees = {code: tree for code, (_, tree) in good.items()}
-        wide = M.metrics_by_date(tables, R.needed_metrics(trees, catalog), todo)
+        wide = M.metrics_by_date(tables, needed, todo) if kept is None else kept
         cells = []
         for code, (ident, tree) in good.items():
             value = R.ratio_column(tree)

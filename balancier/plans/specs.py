@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from decimal import Decimal
 from functools import reduce
 from typing import Any, NamedTuple
@@ -153,7 +153,8 @@ def row_value(node: Mapping, reading: Reading = PLAIN) -> Column:
     return _arith(kind, row_value(node["left"], reading), row_value(node["right"], reading))
 
 
-def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
+def aggregate_input(node: Mapping, where: Column | None, reading: Reading = PLAIN) -> tuple[str, Column]:
+    """The function of an aggregate node, and what it runs on: NULL for rows its filters leave out."""
     function = node["function"].strip().upper()
     if function not in FUNCTIONS:
         raise SpecError(f"no such aggregate: {function}")
@@ -164,21 +165,50 @@ def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
     else:
         x = F.lit(1)
     keep = [c for c in (where, reading.filter(node["filters"]) if node.get("filters") else None) if c is not None]
-    if keep:
-        x = F.when(reduce(lambda a, b: a & b, keep), x)
+    return function, F.when(reduce(lambda a, b: a & b, keep), x) if keep else x
+
+
+def mean(total: Column, count: Column) -> Column:
+    """From an exact sum, so whatever order the rows come in."""
+    return total.cast("double") / F.nullif(count.cast("double"), F.lit(0.0))
+
+
+def _aggregate(node: Mapping, where: Column | None, reading: Reading) -> Column:
+    function, x = aggregate_input(node, where, reading)
     distinct = node.get("distinct") is True
     if function == "COUNT":
         return (F.count_distinct(x) if distinct else F.count(x)).cast("double")
     if function == "SUM":
         out = (F.sum_distinct(x) if distinct else F.sum(x)).cast("double")
-    elif function == "AVG":  # an exact sum, whatever order the rows come in
-        total, n = (F.sum_distinct(x), F.count_distinct(x)) if distinct else (F.sum(x), F.count(x))
-        out = total.cast("double") / F.nullif(n.cast("double"), F.lit(0.0))
+    elif function == "AVG":
+        out = mean(F.sum_distinct(x), F.count_distinct(x)) if distinct else mean(F.sum(x), F.count(x))
     else:
         out = {"MIN": F.min, "MAX": F.max}[function](x).cast("double")
     return F.coalesce(out, F.lit(0.0)) if reading.what_if else out
 
 
+def combine(expression: Mapping, leaf: Callable[[Mapping], Column], what_if: bool = False) -> Column:
+    """A metric's arithmetic over the values that ``leaf`` gives for its aggregates and fields."""
+    kind = _type(expression)
+    if kind in ("AGGREGATION", "FIELD"):
+        return leaf(expression)
+    if kind == "VALUE":
+        return P.literal(expression["value"]).cast("double")
+    left, right = (combine(expression[side], leaf, what_if) for side in ("left", "right"))
+    if kind == "DIVIDE" and what_if:
+        return F.coalesce(left / F.when(F.abs(right) >= NEAR_ZERO, right), F.lit(0.0))
+    return _arith(kind, left, right)
+
+
+def aggregates_of(expression: Mapping) -> Iterator[Mapping]:
+    kind = _type(expression)
+    if kind == "AGGREGATION":
+        yield expression
+    elif kind in ARITHMETIC:
+        yield from aggregates_of(expression["left"])
+        yield from aggregates_of(expression["right"])
+
+
 def metric_column(expression: Mapping, where: Column | None = None, reading: Reading = PLAIN) -> Column:
     """Aggregate Column of a metric, as a double.
 
@@ -186,18 +216,13 @@ def metric_column(expression: Mapping, where: Column | None = None, reading: Rea
     share one pass over the same rows. Sums run on the column's own exact type and
     turn into doubles after aggregation.
     """
-    kind = _type(expression)
-    if kind == "AGGREGATION":
-        return _aggregate(expression, where, reading)
-    if kind == "VALUE":
-        return P.literal(expression["value"]).cast("double")
-    if kind == "FIELD":
-        return column_of(expression["field"], reading.swap).cast("double")
-    left = metric_column(expression["left"], where, reading)
-    right = metric_column(expression["right"], where, reading)
-    if kind == "DIVIDE" and reading.what_if:
-        return F.coalesce(left / F.when(F.abs(right) >= NEAR_ZERO, right), F.lit(0.0))
-    return _arith(kind, left, right)
+
+    def leaf(node: Mapping) -> Column:
+        if _type(node) == "FIELD":
+            return column_of(node["field"], reading.swap).cast("double")
+        return _aggregate(node, where, reading)
+
+    return combine(expression, leaf, reading.what_if)
 
 
 def scalar_column(spec: Spec, reading: Reading = PLAIN) -> Column:

@@ -11,8 +11,10 @@ from balancier.operators import dashboard as B
 from balancier.operators import metrics as M
 from balancier.operators import ratios as R
 from balancier.operators import scenario as X
+from balancier.operators import states as S
 from balancier.plans.catalog import star
-from checks.registry import check
+from balancier.session import work_folder
+from checks.registry import ORACLE, check
 from checks.star import agg, cond, field, op, value
 from checks.tables import DATAMART_VIEWS, datamart, star_sql, with_views
 
@@ -188,6 +190,52 @@ def dashboard_fill_report(spark, sf_dir):
     return B.fill(datamart(spark, sf_dir), ratios, METRICS, _stored(spark, sf_dir)).report
 
 
+KEPT = {
+    **METRICS,
+    "MEAN": agg("AVG", "soldeorigine", cond("amount", ">", 10)),
+    "LEAST": agg("MIN", "soldeconvertie"),
+    "MOST": agg("MAX", "cumulmvtdb", cond("pays", "<>", "NATION_3")),
+    "ACCOUNTS": {"expression": agg("COUNT", "numcompte", distinct=True), "where": cond("actif", "=", 1)},
+    "STEPS": agg("SUM", "amount", cond("grpaffaire", "=", "BUILDING"), distinct=True),
+}
+KEPT_SQL = METRICS_SQL + """,
+    CAST(sum(CASE WHEN {a} > 10 THEN f.soldeorigine END) AS DOUBLE) / nullif(count(CASE WHEN {a} > 10 THEN f.soldeorigine END), 0) AS MEAN,
+    CAST(min({v}) AS DOUBLE) AS LEAST, CAST(max(CASE WHEN res.pays <> 'NATION_3' THEN f.cumulmvtdb END) AS DOUBLE) AS MOST,
+    CAST(count(DISTINCT CASE WHEN f.actif = 1 THEN c.numcompte END) AS DOUBLE) AS ACCOUNTS,
+    CAST(sum(DISTINCT CASE WHEN gaf.nomgrpaffaires = 'BUILDING' THEN {a} END) AS DOUBLE) AS STEPS"""
+
+
+def _first_load(spark, sf_dir):
+    """The datamart with the lower half of the fact ids, as an earlier load would leave it."""
+    tables = datamart(spark, sf_dir)
+    half = tables["fact_balance"].agg(F.max("id")).first()[0] or 0
+    tables["fact_balance"] = tables["fact_balance"].filter(F.col("id") <= half // 2)
+    return tables
+
+
+@check("metrics_kept", star_sql(
+    "dtf.date_value AS reference_date, " + KEPT_SQL.replace("{v}", "f.soldeconvertie").replace("{a}", "f.amount"),
+    "WHERE dtf.date_value IS NOT NULL GROUP BY 1",
+))
+def metrics_kept(spark, sf_dir):
+    """States of some metrics at a first load; all of them, with late facts of every date, at a second."""
+    root = work_folder(spark)
+    S.refresh(_first_load(spark, sf_dir), {c: KEPT[c] for c in list(KEPT)[::2]}, root)
+    tables = datamart(spark, sf_dir)
+    S.refresh(tables, KEPT, root)
+    out = S.metrics_by_date(tables, KEPT, root)
+    return out.select("reference_date", *[F.coalesce(c, F.lit(0.0)).alias(c) if c in METRICS else c for c in KEPT])
+
+
+@check("dashboard_fill_kept", ORACLE["dashboard_fill"])
+def dashboard_fill_kept(spark, sf_dir):
+    """The fill from kept states, refreshed after a second load."""
+    ratios, root = {c: (IDS[c], tree) for c, tree in RATIOS.items()}, work_folder(spark)
+    S.refresh(_first_load(spark, sf_dir), METRICS, root)
+    rows = B.fill(datamart(spark, sf_dir), ratios, METRICS, _stored(spark, sf_dir), states=root).rows
+    return rows.withColumn("value", F.round("value", 6))
+
+
 @check("dashboard_new_ratio", LONG + " SELECT 7 AS id_ratios, 'RL' AS code, reference_date, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS error FROM cells WHERE code = 'RL'")
 def dashboard_new_ratio(spark, sf_dir):
     rows = B.fill(datamart(spark, sf_dir), {"RL": (7, RATIOS["RL"])}, METRICS).rows
