@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from balancier.functions import cleaning as C
 from balancier.functions import recode as R
 from balancier.functions.sections import SECTION_LABELS
+from balancier.operators import buckets as B
 from balancier.operators import quality as Q
 from balancier.session import work_folder, written
 
@@ -400,17 +401,26 @@ def clean_staging(customers: DataFrame, contracts: DataFrame, ledger: DataFrame,
     )
 
 
-def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
+class Tables(dict):
+    """Tables of a datamart by name; ``beside`` names the dimension that lies in the facts' buckets, if any."""
+
+    beside: str | None = None
+
+
+def _read(spark: SparkSession, root: str, name: str, buckets: int | None = None) -> DataFrame:
+    if name in B.KEYS and buckets:
+        return B.opened(spark, root, name, SCHEMAS[name], buckets)
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
     return current_accounts(df) if name == "sub_dim_compte" else df
 
 
-def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def read_tables(spark: SparkSession, root: str) -> Tables:
     """Tables already in the datamart folder."""
-    out = {}
+    out, buckets = Tables(), B.layout(spark, root)
+    out.beside = B.BESIDE if buckets else None
     for name in TABLES:
         try:
-            out[name] = _read(spark, root, name)
+            out[name] = _read(spark, root, name, buckets)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -467,19 +477,31 @@ def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def load_datamart(
-    spark: SparkSession, customers: DataFrame, contracts: DataFrame, ledger: DataFrame, root: str
-) -> dict[str, DataFrame]:
+    spark: SparkSession, customers: DataFrame, contracts: DataFrame, ledger: DataFrame, root: str, buckets: int | None = None
+) -> Tables:
     """Load the three cleaned staging tables into the parquet datamart under ``root``.
 
     Rows already there stay; a second load of the same data adds nothing and writes no table.
     Each table is written before the next needs it, so lookups plan with real sizes; all are
     only ever appended to. The ledger is read twice, for its members and for the facts.
+
+    With ``buckets``, the first load stores facts and contracts in as many buckets by contract, so
+    that their join, the largest, needs no shuffle. A contract that would fill a bucket far beyond
+    the others (see ``buckets.even``) keeps the plain layout, whose join splits hot keys. Later
+    loads follow the first.
     """
     tables = read_tables(spark, root)
+    if not tables and buckets and B.even(ledger, C.blank_to_null("idcontrat"), buckets):
+        B.set_layout(spark, root, buckets)
+        tables.beside = B.BESIDE
+    buckets = B.layout(spark, root)
 
     def store(name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{root}/{name}")
-        tables[name] = _read(spark, root, name)
+        if name in B.KEYS and buckets:
+            B.append(rows, root, name, SCHEMAS[name], buckets)
+        else:
+            rows.write.mode("append").parquet(f"{root}/{name}")
+        tables[name] = _read(spark, root, name, buckets)
 
     def store_new(name: str, rows: DataFrame, keys: Sequence[str]) -> None:
         """Rows with keys of their own that the table lacks."""
@@ -521,7 +543,7 @@ def load_datamart(
     # Known customers and contracts go before any key is looked up.
     store_new("dim_client", customer_rows(_unknown(customers, tables.get("dim_client"), "idtiers", "idtiers"), tables), ["idtiers"])
     store_new("dim_contrat", contract_rows(_unknown(contracts, tables.get("dim_contrat"), "idcontrat", "id"), tables), ["id"])
-    append_facts(resolved_rows(ledger, tables), of(FACT_DATE, {"date_value": "date"}), tables, root)
+    append_facts(resolved_rows(ledger, tables), of(FACT_DATE, {"date_value": "date"}), tables, root, buckets)
     return tables
 
 
@@ -546,7 +568,7 @@ def not_stored(rows: DataFrame, existing: DataFrame, columns: Sequence[str], has
     return rows.join(known, (F.col(hash_col) == F.col("_hash")) & ~F.array_contains(same, False), "left_anti")
 
 
-def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame], root: str) -> None:
+def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame], root: str, buckets: int | None = None) -> None:
     """Add facts the table lacks, one folder per date; ``days`` are the batch's dates, and only these are compared.
 
     Rows may repeat: copies go after those that are stored, so a reload compares and never sorts
@@ -566,9 +588,12 @@ def append_facts(rows: DataFrame, days: DataFrame, tables: dict[str, DataFrame],
             return
         top = _top(existing, "id")
     ids = number_rows(rows, keys, top)
-    # Rows of a date come together, and a date too large for one file is split by size.
-    ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
-    tables["fact_balance"] = rows.sparkSession.read.schema(SCHEMAS["fact_balance"]).parquet(path)
+    if buckets:
+        B.append(ids, root, "fact_balance", SCHEMAS["fact_balance"], buckets)
+    else:
+        # Rows of a date come together, and a date too large for one file is split by size.
+        ids.hint("rebalance", "id_date").write.mode("append").partitionBy("id_date").parquet(path)
+    tables["fact_balance"] = _read(rows.sparkSession, root, "fact_balance", buckets)
 
 
 def table_counts(tables: Mapping[str, DataFrame], names: Sequence[str] = ("dim_client", "dim_contrat", "fact_balance")) -> DataFrame:

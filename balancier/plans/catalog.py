@@ -184,13 +184,14 @@ def needed_roles(fields: Iterable[str]) -> list[str]:
     return [a for a in NODES if a in wanted and a != FACT]
 
 
-def _join_order(roles: list[str]) -> list[str]:
+def _join_order(roles: list[str], beside: str | None = None) -> list[str]:
     """The date first, then small tables, then customers and contracts.
 
     A filter on a joined table turns its join into an inner one; early joins then spare
-    the later, shuffled ones the rows they drop.
+    the later, shuffled ones the rows they drop. A table ``beside`` the facts, in the same buckets,
+    comes right after the date, before any shuffle takes the facts out of their buckets.
     """
-    return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table.startswith("dim_")))
+    return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table != beside, NODES[r].table.startswith("dim_")))
 
 
 def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -> DataFrame:
@@ -198,15 +199,17 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
 
     Only the roles those fields need are joined. Second-hop tables are attached to
     their dimension first, so they meet the dimension's rows and not the fact's, and
-    each side carries just the columns that are used.
+    each side carries just the columns that are used. Tables that say so (``beside``) have a
+    dimension in the facts' buckets; it is joined without a shuffle.
     """
+    beside = getattr(tables, "beside", None)
     names = [f.name for f in FIELDS] if fields is None else list(dict.fromkeys(fields))
     used = {resolve(n) for n in names}
     roles = needed_roles(names)
 
     def branch(alias: str) -> DataFrame:
         node = NODES[alias]
-        children = _join_order([r for r in roles if NODES[r].parent == alias])
+        children = _join_order([r for r in roles if NODES[r].parent == alias], beside)
         own = [f.column for f in FIELDS if f.alias == alias and f in used]
         links = [NODES[r].parent_key for r in children]
         keep = list(dict.fromkeys([*([node.key] if node.key else []), *own, *links]))

@@ -684,6 +684,13 @@ def datamart_reload(spark, sf_dir):
     return _contents(D.load_datamart(spark, customers, contracts, ledger, root))
 
 
+@check("datamart_buckets", MART)
+def datamart_buckets(spark, sf_dir):
+    """Facts and contracts stored in buckets by contract: the same contents."""
+    clean, root = _loaded(spark, sf_dir)
+    return _contents(D.load_datamart(spark, *clean, root, buckets=8))
+
+
 # Labels that the staging values come to, with their customers and contracts.
 _SEEDED = """SELECT 'agenteco' AS kind, m.label, count(*) AS rows FROM stg_tiers t JOIN (VALUES
         ('100', 'Banque Centrales'), ('230', 'Societes non financieres privees nationales'), ('320', 'Particuliers'), ('400', 'Particuliers'),
