@@ -166,12 +166,13 @@ def pack(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY) -> DataF
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces``.
 
     Ranks within a length are counted in slices of the documents, so that a length which a third
-    of all pieces share is numbered by many tasks. Pieces that are equal in every column may
+    of all pieces share is numbered by many tasks. Slices go by the ids' checksum too: documents
+    without an id, or with one id, spread unless their texts are equal. Pieces that are equal in every column may
     change places, which changes no result.
     """
     cut = kept(spark, cut)
     slices = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slices)))
     per_slice = cut.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in per_slice.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = places(plan(counts, capacity))  # its size is bounded by the number of lengths
