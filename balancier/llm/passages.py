@@ -31,7 +31,8 @@ from balancier.llm.common import blocks, documents, kept
 #: left for the operator's method.
 ALONE, TWICE, SPAN, HOT, MARK, OPEN = range(6)
 ROW = "kind int, key long, ctx long, doc_id long, tag long, span long"
-#: Contexts of one anchor in one block from which on it is hot: its contexts then skip the meeting.
+#: Different contexts of one anchor from which on it is hot, in all texts: its windows then meet one by
+#: one. An anchor with as many in one task's block is known to be hot before it is sent.
 MANY = 200
 BLOCK = 4 * 1024 * 1024
 #: Bytes of texts whose contexts are met within the task before they are sent.
@@ -184,7 +185,7 @@ def contexts(docs: DataFrame, kind: Kind) -> DataFrame:
 def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
     """Of whole anchors: SPAN rows of what is settled, OPEN rows of the different contexts of one anchor.
 
-    Contexts of an anchor that is hot in some task become HOT like those of that task.
+    Contexts of an anchor with ``MANY`` in all, or that is hot in some task, become HOT.
     """
     kind, key, ctx, doc, tag, span = part
     if not len(kind):
@@ -193,7 +194,7 @@ def _decide(part: list[np.ndarray], keep_first: bool) -> pa.RecordBatch | None:
     heads, others, settled = _meet(key, ctx, doc, tag, span, kind == TWICE, keep_first)
     first = np.flatnonzero(~same_before(key[heads]))
     several = np.diff(np.append(first, len(heads)))
-    hot = np.repeat(np.add.reduceat(mark[heads], first) > 0, several)
+    hot = np.repeat((np.add.reduceat(mark[heads], first) > 0) | (several >= MANY), several)
     left = np.repeat(several > 1, several) & ~mark[heads]
     at = heads[left]
     settled = np.flatnonzero(settled & ~mark)
