@@ -1,14 +1,16 @@
 """Duplicate passages of words by relative Lempel-Ziv parsing.
 
-Contexts that share an anchor (see ``passages``) make the reference blocks: a context is
-factored greedily against its block, each factor the longest stretch that also stands elsewhere
-in it. Factors of ``WIDTH`` words or more are duplicates; a window that crosses the end of a
-factor is looked up by itself.
+Contexts that share an anchor (see ``passages``) make the reference blocks, each with an index
+of its suffixes. A context is factored greedily against its block: the longest stretch that also
+stands elsewhere in it is looked up at the factor's start, then at its end, and so on. Factors of
+``WIDTH`` words or more are duplicates; at factor boundaries the windows that end within the next
+factor are looked up too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,49 +39,102 @@ def words_kind(width: int = WIDTH, k: int = GRAM) -> P.Kind:
     return P.Kind(width, k, False, _words, _same)
 
 
-def longest_matches(symbols: np.ndarray, most: int) -> np.ndarray:
-    """For each place the length of the longest stretch from it that also starts elsewhere, at most ``most``.
+class Index(NamedTuple):
+    """A block's suffixes in order, and the ranks of its pieces of 1, 2, 4 ... symbols."""
 
-    The index of a block: its suffixes ordered by doubling; a place's longest match stands beside it.
-    """
+    ranks: list[np.ndarray]
+    order: np.ndarray
+    place: np.ndarray
+
+
+def indexed(symbols: np.ndarray, most: int) -> Index:
+    """Index of a block in which every stretch that stands twice is shorter than ``most``."""
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype("i8")
     ranks, length = [rank], 1
-    while length < most:
+    while length < most and rank.max(initial=0) < n - 1:
         after = np.append(rank[length:], np.full(min(length, n), -1))
-        both = (rank + 1) * (n + 2) + after + 1
-        rank = np.unique(both, return_inverse=True)[1].astype("i8")
+        rank = np.unique((rank + 1) * (n + 2) + after + 1, return_inverse=True)[1].astype("i8")
         ranks.append(rank)
         length *= 2
     order = np.argsort(rank, kind="stable")
-    left, right = order[:-1].copy(), order[1:].copy()
-    shared = np.zeros(len(left), "i8")
-    for level in range(len(ranks) - 1, -1, -1):
-        ok = (left < n) & (right < n)
-        same = np.zeros(len(left), bool)
-        same[ok] = ranks[level][left[ok]] == ranks[level][right[ok]]
-        # Ranks past the end are told apart by the symbols that end each piece, which are all different.
-        shared += same * (1 << level)
-        left += same * (1 << level)
-        right += same * (1 << level)
-    out = np.zeros(n, "i8")
-    out[order] = np.maximum(np.append(0, shared), np.append(shared, 0))
-    return np.minimum(out, most)
-
-
-def parse(match: np.ndarray) -> list[tuple[int, int]]:
-    """``start, length`` of the greedy factors of one piece; a word without a match is a factor of one."""
-    out, at, lengths = [], 0, match.tolist()
-    while at < len(lengths):
-        size = max(1, min(lengths[at], len(lengths) - at))
-        out.append((at, size))
-        at += size
-    return out
-
-
-def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
+    place = np.empty(n, "i8")
+    place[order] = np.arange(n)
+    return Index(ranks, order, place)
+
+
+def lookup(index: Index, at: np.ndarray) -> np.ndarray:
+    """How long the longest stretch from each of these places is that also starts at another place.
+
+    It stands beside the place in suffix order.
+    """
+    n = len(index.order)
+    longest = np.zeros(len(at), "i8")
+    for step in (-1, 1):
+        beside = index.place[at] + step
+        there = (beside >= 0) & (beside < n)
+        left, right = at.copy(), index.order[np.clip(beside, 0, n - 1)]
+        shared = np.zeros(len(at), "i8")
+        for level in range(len(index.ranks) - 1, -1, -1):
+            rank = index.ranks[level]
+            ok = there & (left < n) & (right < n)
+            same = ok & (rank[np.minimum(left, n - 1)] == rank[np.minimum(right, n - 1)])
+            gain = same * (1 << level)
+            shared, left, right = shared + gain, left + gain, right + gain
+        longest = np.maximum(longest, shared)
+    return longest
+
+
+def parse(index: Index, heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``piece, start, size, found`` of the greedy factors of all pieces, in order.
+
+    A factor is the longest stretch from its start that also stands elsewhere in the block, or one
+    symbol that does not (``found`` is false). All pieces go on by one factor a round.
+    """
+    at, piece = heads.astype("i8"), np.arange(len(heads))
+    rounds = []
+    while True:
+        going = at < ends[piece]
+        at, piece = at[going], piece[going]
+        if not len(at):
+            break
+        longest = lookup(index, at)
+        size = np.maximum(longest, 1)
+        rounds.append((piece, at, size, longest > 0))
+        at = at + size
+    if not rounds:
+        none = np.zeros(0, "i8")
+        return none, none, none, none.astype(bool)
+    piece, start, size, found = map(np.concatenate, zip(*rounds))
+    order = np.argsort(start, kind="stable")
+    return piece[order], start[order], size[order], found[order]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first``, ``first + 1`` ..., ``count`` numbers of each."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def repeated(index: Index, heads: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+    """Starts of the windows that also stand elsewhere in the block, ascending, from the factors.
+
+    Windows inside a factor do. A window that begins after a factor's start and ends past its end
+    can only if it ends within the next factor: what follows the boundary in it stands elsewhere
+    too, so the factor that starts there is at least as long. Such windows are looked up.
+    """
+    piece, start, size, found = parse(index, heads, ends)
+    long = found & (size >= width)
+    inside = _ranges(start[long], size[long] - width + 1)
+    end = start + size
+    next_end = np.where(np.append(piece[1:] == piece[:-1], False), np.append(end[1:], 0), 0)[: len(end)]
+    first = np.maximum(start + 1, end - width + 1)
+    last = np.minimum(end - 1, next_end - width)
+    across = _ranges(first, np.maximum(last - first + 1, 0))
+    return np.unique(np.concatenate([inside, across[lookup(index, across) >= width]]))
+
+
+def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``doc, tag, span`` of the runs of windows that also stand elsewhere in these contexts."""
-    width = kind.width
     units = own.units.view("u8")
     offsets = own.offsets // 8
     lengths = np.diff(offsets)
@@ -91,35 +146,12 @@ def duplicates(own: P.Contexts, kind: P.Kind) -> tuple[np.ndarray, np.ndarray]:
     piece_end[heads + lengths] = True
     symbols[~piece_end] = kinds
     symbols[piece_end] = len(units) + np.arange(len(lengths))
-    match = longest_matches(symbols, 2 * width + 128)
-    start, more = P.unpack(own.span)
-    out_doc, out_span = [], []
-    for i, (head, size, windows) in enumerate(zip(heads.tolist(), lengths.tolist(), (more + 1).tolist())):
-        found = match[head : head + size]
-        if found.max(initial=0) < width:
-            continue
-        gone: set[int] = set()
-        for at, length in parse(found):
-            if length >= width:
-                gone.update(range(at, at + length - width + 1))
-            # Windows that begin in this factor and end in a later one.
-            for q in range(max(at, at + length - width + 1), at + length):
-                if found[q] >= width:
-                    gone.add(q)
-        first = previous = None
-        for q in sorted(w for w in gone if w < windows):
-            if previous is None or q != previous + 1:
-                if first is not None:
-                    out_doc.append(i)
-                    out_span.append((first, previous - first))
-                first = q
-            previous = q
-        if first is not None:
-            out_doc.append(i)
-            out_span.append((first, previous - first))
-    at = np.array(out_doc, "i8")
-    runs = np.array(out_span, "i8").reshape(-1, 2)
-    return own.doc[at], own.tag[at], P.pack(start[at] + runs[:, 0], runs[:, 1])
+    gone = repeated(indexed(symbols, int(lengths.max(initial=0)) + 1), heads, heads + lengths, kind.width)
+    new = np.flatnonzero(np.append(True, np.diff(gone) != 1)) if len(gone) else np.zeros(0, "i8")
+    more = np.diff(np.append(new, len(gone))) - 1
+    at = np.searchsorted(heads, gone[new], side="right") - 1
+    start, _ = P.unpack(own.span[at])
+    return own.doc[at], own.tag[at], P.pack(start + gone[new] - heads[at], more)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, *carry: str, width: int = WIDTH, k: int = GRAM) -> DataFrame:

@@ -220,9 +220,49 @@ def test_passages(spark, monkeypatch, width, k, many):
 
 def test_greedy_factors():
     symbols = np.array([5, 1, 2, 3, 9, 1, 2, 3, 4, 8])
-    match = factors.longest_matches(symbols, 50)
-    assert match.tolist() == [0, 3, 2, 1, 0, 3, 2, 1, 0, 0]
-    assert factors.parse(match) == [(0, 1), (1, 3), (4, 1), (5, 3), (8, 1), (9, 1)]
+    index = factors.indexed(symbols, 50)
+    assert factors.lookup(index, np.arange(10)).tolist() == [0, 3, 2, 1, 0, 3, 2, 1, 0, 0]
+    piece, start, size, found = factors.parse(index, np.array([0]), np.array([10]))
+    assert piece.tolist() == [0] * 6
+    assert found.tolist() == [False, True, False, True, False, False]
+    assert list(zip(start.tolist(), size.tolist())) == [(0, 1), (1, 3), (4, 1), (5, 3), (8, 1), (9, 1)]
+
+
+def test_windows_from_factors():
+    """Pieces of a small alphabet: windows come from factors and boundaries alone, and none is lost."""
+    rng = random.Random(11)
+    asked = places = 0
+    for _ in range(400):
+        letters, width = rng.choice([1, 2, 3, 8]), rng.choice([1, 2, 4, 7])
+        pieces = [[rng.randrange(letters) for _ in range(rng.randrange(0, 30))] for _ in range(rng.randrange(1, 8))]
+        symbols, heads, ends = [], [], []
+        for i, p in enumerate(pieces):
+            heads.append(len(symbols))
+            symbols += p
+            ends.append(len(symbols))
+            symbols.append(100 + i)
+        counts = Counter(tuple(p[q : q + width]) for p in pieces for q in range(len(p) - width + 1))
+        want = [h + q for h, p in zip(heads, pieces) for q in range(len(p) - width + 1) if counts[tuple(p[q : q + width])] > 1]
+        index = factors.indexed(np.array(symbols), max(map(len, pieces)) + 1)
+        assert factors.repeated(index, np.array(heads), np.array(ends), width).tolist() == want
+        asked += len(factors.parse(index, np.array(heads), np.array(ends))[1])
+        places += sum(map(len, pieces))
+    assert asked < places / 2
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_hot_anchor_by_all_texts(spark, monkeypatch, tasks):
+    """An anchor is hot by its contexts in all tasks, so no call of the method sees more of them."""
+    monkeypatch.setattr(passages, "MANY", 40)
+    rng = random.Random(5)
+    anchor = " ".join(f"a{i}" for i in range(30))
+    texts = [(i, f"x{i} y{rng.randrange(10**6)} {anchor} z{rng.randrange(3)} z{rng.randrange(3)} z{rng.randrange(3)} t{i} u{i}") for i in range(140)]
+    docs = documents(spark, texts).repartition(tasks)
+    kind = factors.words_kind()
+    met = passages.settle(passages.contexts(passages.tagged(docs), kind), kind.keep_first)
+    most = met.where(F.col("kind") == passages.OPEN).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert (most or 0) < 40
+    assert met.where(F.col("kind") == passages.HOT).count() > 0
 
 
 def test_vectors(spark, monkeypatch):
