@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from balancier.functions import text as T
 from balancier.operators import chatlog as G
 from balancier.operators import corpus as C
+from balancier.operators import indexes as I
 from balancier.operators import listing as P
 from balancier.operators import retrieval as V
+from balancier.session import work_folder
 from checks.registry import check
 from checks.tables import DATAMART_VIEWS, datamart, duck, table, view, with_views
 
@@ -218,6 +220,20 @@ def retrieve_terms(spark, sf_dir):
     return _six(V.by_terms(view(spark, sf_dir, CORPUS), _queries(spark, sf_dir)))
 
 
+@check("retrieve_dense_indexed", f"WITH {_CORPUS} SELECT query, id, rank, round(score, 6) AS score FROM dense_hits")
+def retrieve_dense_indexed(spark, sf_dir):
+    path = work_folder(spark)
+    I.write_vectors(view(spark, sf_dir, CORPUS), path, domain="domain")
+    return _six(I.dense(spark, path, _queries(spark, sf_dir)).hits)
+
+
+@check("retrieve_terms_indexed", f"WITH {_CORPUS} SELECT query, id, rank, round(score, 6) AS score FROM term_hits")
+def retrieve_terms_indexed(spark, sf_dir):
+    path = work_folder(spark)
+    I.write_terms(view(spark, sf_dir, CORPUS), path)
+    return _six(I.by_terms(spark, path, _queries(spark, sf_dir)).hits)
+
+
 @check("retrieve_exact", f"WITH {_CORPUS} SELECT query, id, rank, score FROM code_hits")
 def retrieve_exact(spark, sf_dir):
     return _six(V.by_code(view(spark, sf_dir, CORPUS), _queries(spark, sf_dir)))
