@@ -152,6 +152,28 @@ def without_repeats(rows, width):
     return out
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of all rows without an id, a sixth with one id: no range holds many of them, and each meets its next."""
+    rng = random.Random(8)
+    texts = [f"t{i} " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(12))) for i in range(2400)]
+    rows = [(None if i % 3 == 0 else 50 if i % 6 == 1 else i, t) for i, t in enumerate(texts)]
+    docs = documents(spark, rows)
+    keyed = fingerprints.documents(docs).withColumn("tie", F.xxhash64("text"))
+    ranged = keyed.select("doc_id", "tie", "text", fingerprints.id_range(keyed, 64).alias("bucket"))
+    assert ranged.groupBy("bucket").count().agg(F.max("count")).first()[0] < 2400 / 10
+    order = ranged.orderBy(F.desc("doc_id"), F.desc("tie")).collect()
+    assert [r.bucket for r in order] == sorted((r.bucket for r in order), reverse=True)
+    want = []
+    for r, after in zip(order, order[1:] + order[:1]):
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + after.text[:half]
+        own = None if r.doc_id == -(2**63) else r.doc_id
+        want.append((own is None, own, len(r.text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r.doc_id is None, r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.compare(spark, docs).collect()]
+    key = lambda x: (x[0], x[1] or 0, *x[2:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 @pytest.mark.parametrize("width,k,many", [(100, 24, 200), (40, 8, 200), (100, 24, 2), (30, 6, 3)])
 def test_substrings(spark, monkeypatch, width, k, many):
     monkeypatch.setattr(passages, "MANY", many)
