@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from balancier.functions import predicates as P
-from balancier.plans.catalog import column_of, resolve, star
+from balancier.plans.catalog import CALENDAR, column_of, on_dates, resolve, star
 from balancier.plans.specs import Spec, fields_of, has_aggregate, metric_column, read_spec, reading_of, row_value, scalar_column
 
 DATE_FIELD = "subDimDate.dateValue"
@@ -19,6 +19,15 @@ def _as_date(value: str | date) -> date:
     return date.fromisoformat(value) if isinstance(value, str) else value
 
 
+def rows_at(tables: Mapping[str, DataFrame], fields: Iterable[str], at: str | date | None = None) -> DataFrame:
+    """The star's rows, or those of one date."""
+    if at is None:
+        return star(tables, fields)
+    day = F.lit(_as_date(at))
+    dated = on_dates(tables, tables[CALENDAR].filter(F.col("date_value") == day))
+    return star(dated, [*fields, DATE_FIELD]).filter(column_of(DATE_FIELD) == day)
+
+
 def order_keys(order_by: Iterable[tuple[str, bool]]) -> list[Column]:
     keys = []
     for name, ascending in order_by:
@@ -30,10 +39,7 @@ def order_keys(order_by: Iterable[tuple[str, bool]]) -> list[Column]:
 def metric(tables: Mapping[str, DataFrame], raw: Mapping, at: str | date | None = None) -> DataFrame:
     """One metric: a ``value`` column, with its group columns, order and limit if any."""
     spec = read_spec(raw)
-    fields = fields_of(spec, with_order=True) + ([DATE_FIELD] if at else [])
-    rows = star(tables, fields)
-    if at:
-        rows = rows.filter(column_of(DATE_FIELD) == F.lit(_as_date(at)))
+    rows = rows_at(tables, fields_of(spec, with_order=True), at or None)
     if spec.where is not None:
         rows = rows.filter(P.predicate(spec.where))
     groups = [column_of(g).alias(resolve(g).flat) for g in spec.group_by]
@@ -61,10 +67,7 @@ def read_scalars(raw: Mapping[str, Mapping]) -> dict[str, Spec]:
 def metrics_at(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], at: str | date | None = None) -> DataFrame:
     """All scalar metrics in one row, from a single scan of the star."""
     specs = read_scalars(raw)
-    fields = [f for s in specs.values() for f in fields_of(s)] + ([DATE_FIELD] if at else [])
-    rows = star(tables, fields)
-    if at:
-        rows = rows.filter(column_of(DATE_FIELD) == F.lit(_as_date(at)))
+    rows = rows_at(tables, [f for s in specs.values() for f in fields_of(s)], at or None)
     return rows.agg(*metric_columns(specs, rows))
 
 
@@ -73,13 +76,14 @@ def metrics_by_date(
 ) -> DataFrame:
     """All scalar metrics for every reference date, or those in ``only``: one grouped pass."""
     specs = read_scalars(raw)
-    rows = star(tables, [*(f for s in specs.values() for f in fields_of(s)), DATE_FIELD])
+    fields = [*(f for s in specs.values() for f in fields_of(s)), DATE_FIELD]
     day = column_of(DATE_FIELD)
     if only is None:
-        rows = rows.filter(day.isNotNull())
+        rows = star(tables, fields).filter(day.isNotNull())
     else:
-        wanted = only.select(F.col("reference_date").alias("_wanted")).distinct()
-        rows = rows.join(wanted, day == F.col("_wanted"), "left_semi")
+        wanted = F.broadcast(only.select(F.col("reference_date").alias("_wanted")).distinct())  # dates
+        days = tables[CALENDAR].join(wanted, F.col("date_value") == F.col("_wanted"), "left_semi")
+        rows = star(on_dates(tables, days), fields).join(wanted, day == F.col("_wanted"), "left_semi")
     return rows.groupBy(day.alias("reference_date")).agg(*metric_columns(specs, rows))
 
 

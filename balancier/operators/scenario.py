@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from balancier.functions import predicates as P
 from balancier.operators import metrics as M
 from balancier.operators import ratios as R
-from balancier.plans.catalog import SpecError, column_of, resolve, star
+from balancier.plans.catalog import SpecError, resolve
 from balancier.plans.specs import NEAR_ZERO, fields_of, read_spec, reading_of, scalar_column
 
 # Columns a balance shock may change, its operations, tolerances.
@@ -121,10 +121,7 @@ def shock_totals(tables: Mapping[str, DataFrame], raw: Sequence[Mapping], at: st
 
 def _rows(tables: Mapping[str, DataFrame], fields: Iterable[str], shocks: Sequence[Shock], at: str | date | None) -> DataFrame:
     names = [*fields, *(s.field for s in shocks), *(f for s in shocks for f in P.fields_in(s.filters))]
-    if at is not None:
-        names.append(M.DATE_FIELD)
-    rows = star(tables, names)
-    return rows if at is None else rows.filter(column_of(M.DATE_FIELD) == F.lit(M._as_date(at)))
+    return M.rows_at(tables, names, at)
 
 
 # --- which metrics and ratios a change reaches ------------------------------------

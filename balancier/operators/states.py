@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from balancier.operators.metrics import DATE_FIELD, read_scalars
-from balancier.plans.catalog import SpecError, column_of, star
+from balancier.plans.catalog import Narrowed, SpecError, column_of, star
 from balancier.plans.specs import Spec, aggregate_input, aggregates_of, combine, fields_of, mean, reading_of
 
 FACT_ID = "id"
@@ -36,6 +36,8 @@ KINDS = {"SUM": ("total",), "COUNT": ("count",), "AVG": ("total", "count"), "MIN
 BUILD = {"total": F.sum, "count": F.count, "least": F.min, "greatest": F.max}
 MERGE = {**BUILD, "count": F.sum}
 VALUES = "values"
+#: The newest fact of a date.
+NEWEST = "newest"
 
 
 class State(NamedTuple):
@@ -79,14 +81,15 @@ def _star(tables: Mapping[str, DataFrame], states: Iterable[State]) -> DataFrame
     fields = []
     for state in states:
         fields += fields_of(Spec(state.node, state.spec.where, [], [], None))
-    rows = star(tables, [*fields, DATE_FIELD])
+    rows = star(tables, [*fields, DATE_FIELD, FACT_ID])
     return rows.filter(column_of(DATE_FIELD).isNotNull())
 
 
 def _sums(rows: DataFrame, states: Iterable[State]) -> DataFrame:
     built = [BUILD[s.kind](_input(s, rows)).alias(s.name) for s in states if s.kind != VALUES]
     dated = F.count(F.lit(1)).alias("facts")  # there is a row for every date, whatever is asked for
-    return rows.groupBy(column_of(DATE_FIELD).alias(DAY)).agg(dated, *built)
+    newest = F.max(column_of(FACT_ID)).alias(NEWEST)
+    return rows.groupBy(column_of(DATE_FIELD).alias(DAY)).agg(dated, newest, *built)
 
 
 def _values(rows: DataFrame, states: Iterable[State]) -> DataFrame:
@@ -125,51 +128,44 @@ def _marks(log: Iterable) -> dict[str, int]:
 def refresh(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], root: str) -> int:
     """Bring the states of these metrics up to the newest fact; returns how many parts were written.
 
-    States known up to the same fact share one pass, so after a load there is one over the new
-    facts, and one over the older facts for metrics that are new.
+    Facts are read once for sums and once for values of DISTINCT aggregates: after a load there is a
+    pass over the new facts for all states, and one over the older facts for metrics that are new. The
+    pass over the new facts says which the newest is.
     """
     facts = tables["fact_balance"]
     spark = facts.sparkSession
     wanted = states_of(read_scalars(raw))
     marks = _marks(read_log(spark, root))
-    groups: dict[int | None, list[State]] = {}
-    for name, state in wanted.items():
-        groups.setdefault(marks.get(name), []).append(state)
-    if not groups:
+    if not wanted:
         return 0
-    # Row groups below the mark are left out by their statistics.
     known = max(marks.values(), default=0)
-    newest = facts.filter(F.col(FACT_ID) > known).agg(F.max(FACT_ID)).first()[0]
-    newest = known if newest is None else newest
+    bounds = sorted({marks.get(name, 0) for name in wanted} | {known})
     lines = []
-    for after, states in groups.items():
-        if after == newest:
+    for after, upto in zip(bounds, [*bounds[1:], None]):
+        states = [s for name, s in wanted.items() if marks.get(name, 0) <= after]
+        if not states:
             continue
-        after = after or 0
         part = uuid.uuid4().hex
-        between = facts.filter((F.col(FACT_ID) > after) & (F.col(FACT_ID) <= newest))
-        chosen = _Narrowed(tables, between)
+        # Row groups below the mark are left out by their statistics.
+        between = facts.filter(F.col(FACT_ID) > after)
+        chosen = Narrowed(tables, between if upto is None else between.filter(F.col(FACT_ID) <= upto))
         _sums(_star(chosen, states), states).write.parquet(f"{root}/sums/{part}")
+        if upto is None:
+            upto = spark.read.schema(f"{NEWEST} bigint").parquet(f"{root}/sums/{part}").agg(F.max(NEWEST)).first()[0]
+            if upto is None:  # no new facts: the part stays unread, but that unknown states know of none
+                if after > 0 or all(s.name in marks for s in states):
+                    continue
+                upto = after
+            chosen = Narrowed(tables, between.filter(F.col(FACT_ID) <= upto))
         distinct = [s for s in states if s.kind == VALUES]
         if distinct:
             _values(_star(chosen, distinct), distinct).write.parquet(f"{root}/values/{part}")
-        lines.append((part, [s.name for s in states], after, newest))
+        lines.append((part, [s.name for s in states], after, upto))
     if lines:
         spark.createDataFrame(lines, LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
     return len(lines)
 
 
-class _Narrowed(dict):
-    """The tables with other facts in place; the rest is asked of the tables when needed."""
-
-    def __init__(self, tables: Mapping[str, DataFrame], facts: DataFrame):
-        super().__init__(fact_balance=facts)
-        self._tables = tables
-
-    def __missing__(self, name: str) -> DataFrame:
-        return self._tables[name]
-
-
 def _finished(node: Mapping, spec: Spec) -> Column:
     function, names = str(node["function"]).strip().upper(), _names(node, spec)
     if VALUES in names:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FACT = "f"
+FACT, CALENDAR = "f", "sub_dim_date"
 
 
 class SpecError(ValueError):
@@ -194,13 +194,36 @@ def _join_order(roles: list[str], beside: str | None = None) -> list[str]:
     return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table != beside, NODES[r].table.startswith("dim_")))
 
 
+class Narrowed(dict):
+    """The tables with other facts in place; the rest is asked of the tables when needed."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], facts: DataFrame):
+        super().__init__(fact_balance=facts)
+        self._tables, self.beside = tables, getattr(tables, "beside", None)
+
+    def __missing__(self, name: str) -> DataFrame:
+        return self._tables[name]
+
+
+def on_dates(tables: Mapping[str, DataFrame], days: DataFrame) -> Narrowed:
+    """The tables with the facts of these rows of the calendar only.
+
+    Their ids, a few for each date, become a filter on the fact's own key, which Spark pushes down to
+    where the facts are read: those of other dates are neither read from a folder nor shuffled.
+    """
+    ids = [r[0] for r in days.select(NODES["dtf"].key).distinct().collect()]
+    facts = tables[NODES[FACT].table]
+    return Narrowed(tables, facts.filter(F.col(NODES["dtf"].parent_key).isin([i for i in ids if i is not None])))
+
+
 def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -> DataFrame:
     """The flat view over the fields asked for (all 57 by default), one row per fact.
 
     Only the roles those fields need are joined. Second-hop tables are attached to
     their dimension first, so they meet the dimension's rows and not the fact's, and
     each side carries just the columns that are used. Tables that say so (``beside``) have a
-    dimension in the facts' buckets; it is joined without a shuffle.
+    dimension in the facts' buckets; it is joined without a shuffle. The calendar, a row for each
+    date, is broadcast: its size is not known before it is read where it is derived.
     """
     beside = getattr(tables, "beside", None)
     names = [f.name for f in FIELDS] if fields is None else list(dict.fromkeys(fields))
@@ -217,8 +240,12 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
         for child in children:
             link = f"{alias}_{NODES[child].parent_key}"
             key = f"{child}_{NODES[child].key}"
-            right = branch(child)
+            right = F.broadcast(branch(child)) if NODES[child].table == CALENDAR else branch(child)
+            if NODES[child].table == beside:  # facts without a key lie in one bucket, which one task would read
+                apart, df = df.filter(F.col(link).isNull()), df.filter(F.col(link).isNotNull())
             df = df.join(right, F.col(link) == F.col(key), "left")
+            if NODES[child].table == beside:
+                df = df.unionByName(apart.withColumns({c: F.lit(None).cast(t) for c, t in right.dtypes}))
             if not any(f.flat == key for f in used):
                 df = df.drop(key)
         flat = {f.flat for f in used}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from balancier.session import work_folder, written
+
 TEST_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -111,6 +113,8 @@ class Datamart(dict):
 
     def __missing__(self, name: str) -> DataFrame:
         self[name] = view(*self._at, DATAMART_SQL[name], self._opened)
+        if name == "sub_dim_chapitre":  # stored, so that its size is known: distinct values of a large table
+            self[name] = written(self[name], work_folder(self._at[0]))
         return self[name]
 
 
