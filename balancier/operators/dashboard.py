@@ -13,7 +13,8 @@ from balancier.operators import metrics as M
 from balancier.operators import ratios as R
 from balancier.operators import states as S
 from balancier.operators.datamart import not_yet_in, number_rows
-from balancier.plans.catalog import SpecError
+from balancier.plans.catalog import CALENDAR, SpecError, on_dates
+from balancier.session import work_folder, written
 
 PAIR = ["id_ratios", "reference_date"]
 
@@ -54,12 +55,23 @@ def fill(
     if states is not None and needed:
         S.refresh(tables, needed, states)
         kept = S.metrics_by_date(tables, needed, states)
-    dates = M.reference_dates(tables) if kept is None else kept.select("reference_date")
-    todo = missing_pairs([i for i, _ in ratios.values()], dates, existing)
+    # A row for each date, or ratio and date; what is read more than once is written.
+    if kept is not None:
+        wide = written(kept, work_folder(spark))
+        dates = wide.select("reference_date")
+        todo = written(missing_pairs([i for i, _ in ratios.values()], dates, existing), work_folder(spark))
+    else:
+        calendar = written(tables[CALENDAR].filter(F.col("date_value").isNotNull()), work_folder(spark))
+        days = calendar.select(F.col("date_value").alias("reference_date")).distinct()
+        todo = written(missing_pairs([i for i, _ in ratios.values()], days, existing), work_folder(spark))
+        dates, rest = M.reference_dates(tables), calendar.join(todo, F.col("date_value") == F.col("reference_date"), "left_anti")
+        if good:  # the pass finds which of its dates have facts; only the other dates are looked for
+            wide = written(M.metrics_by_date(tables, needed, todo), work_folder(spark))
+            dates = wide.select("reference_date").unionByName(M.reference_dates(on_dates(tables, rest))).distinct()
+        dates = written(dates, work_folder(spark))
     schema = "id_ratios bigint, code string, value double, error string"
     parts = []
     if good:
-        wide = M.metrics_by_date(tables, needed, todo) if kept is None else kept
         cells = []
         for code, (ident, tree) in good.items():
             value = R.ratio_column(tree)

@@ -13,7 +13,7 @@ from balancier.operators import ratios as R
 from balancier.operators import scenario as X
 from balancier.operators import states as S
 from balancier.plans.catalog import star
-from balancier.session import work_folder
+from balancier.session import work_folder, written
 from checks.registry import ORACLE, check
 from checks.star import agg, cond, field, op, value
 from checks.tables import DATAMART_VIEWS, datamart, star_sql, with_views
@@ -105,14 +105,17 @@ def _wide(spark, sf_dir):
 
 
 def _stored(spark, sf_dir):
-    """A dashboard that holds ratios 1 to 3 for odd months."""
+    """A dashboard that holds ratios 1 to 3 for odd months, stored as one is."""
     trees = {c: RATIOS[c] for c in ("RS", "RL", "COEL")}
-    long = R.ratios_long(_wide(spark, sf_dir), trees, ["reference_date"])
+    tables, day = datamart(spark, sf_dir), F.col("reference_date")
+    odd = tables["sub_dim_date"].select(F.col("date_value").alias("reference_date")).filter(F.month(day) % 2 == 1)
+    wide = M.metrics_by_date(tables, R.needed_metrics(trees, METRICS), odd)
+    long = R.ratios_long(wide, trees, ["reference_date"])
     ids = F.create_map(*[F.lit(x) for c in trees for x in (c, IDS[c])])
-    day = F.col("reference_date")
-    rows = long.filter(F.month(day) % 2 == 1).withColumn("id_ratios", ids[F.col("code")].cast("bigint"))
+    rows = long.withColumn("id_ratios", ids[F.col("code")].cast("bigint"))
     ident = F.col("id_ratios") * 1000000 + F.year(day) * 100 + F.month(day)
-    return rows.select(ident.alias("id"), "id_ratios", F.col("value").alias("ratios_value"), "reference_date")
+    rows = rows.select(ident.alias("id"), "id_ratios", F.col("value").alias("ratios_value"), "reference_date")
+    return written(rows, work_folder(spark))
 
 
 @check("ratio_values", BY_DATE + " SELECT reference_date, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in ratios_sql().items()) + " FROM m")
@@ -502,7 +505,7 @@ def metric_shock(spark, sf_dir):
 )
 def dependency_values(spark, sf_dir):
     """Values of the metrics reached from two columns, and of the ratios those reach."""
-    wide = _wide(spark, sf_dir)
+    wide = written(_wide(spark, sf_dir), work_folder(spark))  # read for both
     metrics, _ = X.reached(["soldeorigine"], METRICS, RATIOS)
     _, ratios = X.reached(["f.soldeorigine", "cumulmvtcr", "grpaffaire"], METRICS, RATIOS)
     long = R.ratios_long(wide, {c: RATIOS[c] for c in RATIOS if c in ratios}, ["reference_date"]).drop("inputs")
