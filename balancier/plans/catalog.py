@@ -184,13 +184,21 @@ def needed_roles(fields: Iterable[str]) -> list[str]:
     return [a for a in NODES if a in wanted and a != FACT]
 
 
-def _join_order(roles: list[str], beside: str | None = None) -> list[str]:
+#: The tables that grow with the business, those of narrow rows first.
+LARGE = ("sub_dim_compte", "dim_contrat", "dim_client")
+
+
+def _join_order(roles: list[str], beside: str | None = None, whole: bool = False) -> list[str]:
     """The date first, then small tables, then customers and contracts.
 
     A filter on a joined table turns its join into an inner one; early joins then spare
     the later, shuffled ones the rows they drop. A table ``beside`` the facts, in the same buckets,
-    comes right after the date, before any shuffle takes the facts out of their buckets.
+    comes right after the date, before any shuffle takes the facts out of their buckets. Where the
+    ``whole`` view is asked for, large tables come before the small ones, whose texts no shuffle then carries.
     """
+    if whole:
+        place = {t: i for i, t in enumerate(LARGE)}
+        return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table != beside, place.get(NODES[r].table, len(LARGE))))
     return sorted(roles, key=lambda r: (r != "dtf", NODES[r].table != beside, NODES[r].table.startswith("dim_")))
 
 
@@ -232,7 +240,7 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
 
     def branch(alias: str) -> DataFrame:
         node = NODES[alias]
-        children = _join_order([r for r in roles if NODES[r].parent == alias], beside)
+        children = _join_order([r for r in roles if NODES[r].parent == alias], beside, fields is None)
         own = [f.column for f in FIELDS if f.alias == alias and f in used]
         links = [NODES[r].parent_key for r in children]
         keep = list(dict.fromkeys([*([node.key] if node.key else []), *own, *links]))
