@@ -128,39 +128,38 @@ def _marks(log: Iterable) -> dict[str, int]:
 def refresh(tables: Mapping[str, DataFrame], raw: Mapping[str, Mapping], root: str) -> int:
     """Bring the states of these metrics up to the newest fact; returns how many parts were written.
 
-    Facts are read once for sums and once for values of DISTINCT aggregates: after a load there is a
-    pass over the new facts for all states, and one over the older facts for metrics that are new. The
-    pass over the new facts says which the newest is.
+    States known up to the same fact share one pass, so after a load there is one over the new
+    facts, and one over the older facts for metrics that are new. The first pass, over the fewest
+    facts, says which the newest is.
     """
     facts = tables["fact_balance"]
     spark = facts.sparkSession
     wanted = states_of(read_scalars(raw))
     marks = _marks(read_log(spark, root))
-    if not wanted:
-        return 0
-    known = max(marks.values(), default=0)
-    bounds = sorted({marks.get(name, 0) for name in wanted} | {known})
+    groups: dict[int | None, list[State]] = {}
+    for name, state in wanted.items():
+        groups.setdefault(marks.get(name), []).append(state)
+    known, newest = max(marks.values(), default=0), None
     lines = []
-    for after, upto in zip(bounds, [*bounds[1:], None]):
-        states = [s for name, s in wanted.items() if marks.get(name, 0) <= after]
-        if not states:
+    for after, states in sorted(groups.items(), key=lambda g: -1 if g[0] is None else g[0], reverse=True):
+        if newest is not None and after == newest:
             continue
         part = uuid.uuid4().hex
         # Row groups below the mark are left out by their statistics.
-        between = facts.filter(F.col(FACT_ID) > after)
-        chosen = Narrowed(tables, between if upto is None else between.filter(F.col(FACT_ID) <= upto))
-        _sums(_star(chosen, states), states).write.parquet(f"{root}/sums/{part}")
-        if upto is None:
-            upto = spark.read.schema(f"{NEWEST} bigint").parquet(f"{root}/sums/{part}").agg(F.max(NEWEST)).first()[0]
-            if upto is None:  # no new facts: the part stays unread, but that unknown states know of none
-                if after > 0 or all(s.name in marks for s in states):
-                    continue
-                upto = after
-            chosen = Narrowed(tables, between.filter(F.col(FACT_ID) <= upto))
+        between = facts.filter(F.col(FACT_ID) > (after or 0))
+        if newest is not None:
+            between = between.filter(F.col(FACT_ID) <= newest)
+        _sums(_star(Narrowed(tables, between), states), states).write.parquet(f"{root}/sums/{part}")
+        if newest is None:
+            top = spark.read.schema(f"{NEWEST} bigint").parquet(f"{root}/sums/{part}").agg(F.max(NEWEST)).first()[0]
+            newest = max(known, top or 0)
+            if after == newest:
+                continue  # no new facts: the part stays unread
+            between = between.filter(F.col(FACT_ID) <= newest)
         distinct = [s for s in states if s.kind == VALUES]
         if distinct:
-            _values(_star(chosen, distinct), distinct).write.parquet(f"{root}/values/{part}")
-        lines.append((part, [s.name for s in states], after, upto))
+            _values(_star(Narrowed(tables, between), distinct), distinct).write.parquet(f"{root}/values/{part}")
+        lines.append((part, [s.name for s in states], after or 0, newest))
     if lines:
         spark.createDataFrame(lines, LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
     return len(lines)
