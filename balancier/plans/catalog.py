@@ -219,9 +219,12 @@ def on_dates(tables: Mapping[str, DataFrame], days: DataFrame) -> Narrowed:
     Their ids, a few for each date, become a filter on the fact's own key, which Spark pushes down to
     where the facts are read: those of other dates are neither read from a folder nor shuffled.
     """
-    ids = [r[0] for r in days.select(NODES["dtf"].key).distinct().collect()]
-    facts = tables[NODES[FACT].table]
-    return Narrowed(tables, facts.filter(F.col(NODES["dtf"].parent_key).isin([i for i in ids if i is not None])))
+    found = days.select(NODES["dtf"].key).distinct().collect()
+    ids = sorted(r[0] for r in found if r[0] is not None)
+    facts, key = tables[NODES[FACT].table], F.col(NODES["dtf"].parent_key)
+    # One id is a range of one: an equality would replace the key in the join with the calendar, which prunes folders.
+    wanted = key.between(ids[0], ids[0]) if len(ids) == 1 else key.isin(ids)
+    return Narrowed(tables, facts.filter(wanted))
 
 
 def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -> DataFrame:
