@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from balancier.functions import text as X
@@ -23,6 +23,8 @@ from balancier.session import work_folder, written
 BLOCK_DOCS = 1024
 #: Length levels of a doubling.
 LEVELS = 4
+#: Postings that one task sorts, about.
+TASK_POSTINGS = 2_000_000
 PIVOTS = 64
 #: More than rounding can move a score, relative to it, or an angle.
 SCORE_SLACK, ANGLE_SLACK = 1e-8, 1e-6
@@ -35,6 +37,21 @@ class Found(NamedTuple):
     report: DataFrame
 
 
+def counted_words(documents: DataFrame, id_col: str, texts: Sequence[str]) -> DataFrame:
+    """``id, words, posts`` of every row: how many words it has, and ``term, tf`` of each different one.
+
+    The words of a row are sorted and their runs measured inside the row, so no task keeps the
+    words of more than one text at a time.
+    """
+    whole = F.concat_ws(" ", *[F.col(t) for t in texts])
+    rows = documents.select(F.col(id_col).cast("bigint").alias("id"), F.sort_array(F.filter(X.words(whole), lambda w: w != "")).alias("w"))
+    new = lambda w, i: F.when(~w.eqNullSafe(F.get("w", i - 1)), i)
+    rows = rows.select("id", "w", F.filter(F.transform("w", new), lambda i: i.isNotNull()).alias("starts"))
+    end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("w"))
+    run = lambda i, j: F.struct(F.get("w", i).alias("term"), (end(j) - i).cast("bigint").alias("tf"))
+    return rows.select("id", F.size("w").cast("bigint").alias("words"), F.transform("starts", run).alias("posts"))
+
+
 def write_terms(documents: DataFrame, path: str, id_col: str = "id", texts: Sequence[str] = ("content", "title"), block_docs: int = BLOCK_DOCS) -> None:
     """Index of every word of the documents: ``postings``, ``blocks``, ``terms`` and ``total`` under ``path``.
 
@@ -42,24 +59,30 @@ def write_terms(documents: DataFrame, path: str, id_col: str = "id", texts: Sequ
     and block, so a term that most documents hold is spread over files.
     """
     spark = documents.sparkSession
-    whole = F.concat_ws(" ", *[F.col(t) for t in texts])
-    words = documents.select(F.col(id_col).cast("bigint").alias("id"), F.explode(X.words(whole)).alias("term")).filter("term <> ''")
-    pairs = written(words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), work_folder(spark))
-    lengths = pairs.groupBy("id").agg(F.floor(F.log2(F.sum("tf")) * LEVELS).cast("int").alias("level"))
+    rows = written(counted_words(documents, id_col, texts), work_folder(spark)).filter("words > 0")
+    sizes = F.sum("words").alias("all_words"), F.count(F.lit(1)).alias("parts"), F.sum(F.size("posts")).alias("pairs")
+    lengths = written(rows.groupBy(F.col("id").alias("_id")).agg(*sizes), work_folder(spark))
+    level = lambda words: F.floor(F.log2(words) * LEVELS).cast("int")
     # One number for each level of length: as many as lengths double, times LEVELS.
-    counts = {r["level"]: r["count"] for r in lengths.groupBy("level").count().collect()}
+    found = lengths.groupBy(level("all_words").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs")).collect()
     parts, start, after = {}, {}, 0
-    for level, n in sorted(counts.items()):
-        parts[level], start[level] = -(-n // block_docs), after
-        after += parts[level]
-    by_level = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])[F.col("level")]
-    if counts:
-        block = (by_level(start) + F.pmod(F.xxhash64("id"), by_level(parts))).cast("long")
-    else:
-        block = F.lit(0).cast("long")
-    placed = lengths.select(F.col("id").alias("_id"), block.alias("block"))
-    rows = pairs.join(placed, F.col("id").eqNullSafe(F.col("_id"))).select("term", "block", "id", "tf")
-    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    for r in sorted(found):
+        parts[r["level"]], start[r["level"]] = -(-r["n"] // block_docs), after
+        after += parts[r["level"]]
+
+    def block(words: str) -> Column:
+        by_level = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])[level(words)]
+        number = by_level(start) + F.pmod(F.xxhash64("id"), by_level(parts)) if found else F.lit(0)
+        return number.cast("long").alias("block")
+
+    # A document of one row has its postings and its length there; only those of several rows are added up.
+    several, same = lengths.filter("parts > 1").select("_id", "all_words"), F.col("id").eqNullSafe(F.col("_id"))
+    alone = rows.join(several, same, "left_anti").select("id", block("words"), F.inline("posts"))
+    added = rows.join(several, same).select("id", "all_words", F.inline("posts")).groupBy("id", "all_words", "term").agg(F.sum("tf").alias("tf"))
+    posts = alone.select("term", "block", "id", "tf").unionByName(added.select("term", block("all_words"), "id", "tf"))
+    tasks = -(-sum(r["pairs"] for r in found) // TASK_POSTINGS)
+    ranges = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    posts.repartitionByRange(*ranges, "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     blocks = postings.groupBy("term", "block").agg(F.max("tf").alias("most"), F.count(F.lit(1)).alias("docs"))
     blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")

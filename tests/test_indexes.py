@@ -98,3 +98,24 @@ def test_dense_without_vectors(spark):
     path = work_folder(spark)
     I.write_vectors(spark.createDataFrame([], "id long, embedding array<float>"), path)
     assert I.dense(spark, path, [V.Query("q", [1.0, 2.0])]).hits.collect() == []
+
+
+def test_words_are_counted_inside_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a, B! b-c", "a"), (1, "a", None), (2, " ,", None), (3, None, None), (None, "é É e", "")], CORPUS)
+    counted = I.counted_words(docs, "id", ("content", "title"))
+    got = [(r["id"], r["words"], [tuple(p) for p in r["posts"]]) for r in counted.collect()]
+    assert got == [(1, 5, [("a", 2), ("b", 2), ("b-c", 1)]), (1, 1, [("a", 1)]), (2, 0, []), (3, 0, []), (None, 3, [("e", 1), ("é", 2)])]
+    # no table of words is kept in a task, and no postings are sent to be counted or to learn their block
+    plan = text(counted)
+    assert "Aggregate" not in plan and "Exchange" not in plan and "Generate" not in plan
+
+
+def test_postings_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(I, "TASK_POSTINGS", 100)
+    docs, path = corpus(spark, 6, 300), work_folder(spark)
+    I.write_terms(docs, path, block_docs=8)
+    postings = spark.read.parquet(f"{path}/postings")
+    files = postings.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"))
+    most, number = files.agg(F.max("n"), F.count(F.lit(1))).first()
+    assert number > 8 and most < postings.count() / 8
+    assert hits(I.by_terms(spark, path, QUERIES, 5).hits) == hits(V.by_terms(docs, QUERIES, 5))
