@@ -206,3 +206,30 @@ def test_labels_are_seeded_once(spark, tmp_path):
     before = files(root)
     assert {n: df.count() for n, df in D.seed_labels(spark, root).items()} == one and files(root) == before
     assert one == {"sub_dim_agenteco": 25, "sub_dim_sectionactivite": 89, "sub_dim_objetfinance": 7}
+
+
+def test_stored_rows_are_numbered_without_a_shuffle(spark):
+    rows = written(spark.range(0, 5000, 1, 7).withColumnRenamed("id", "k"), work_folder(spark))
+    out = D.number_stored(rows, 10)
+    assert sorted(r["id"] for r in out.collect()) == list(range(11, 5011))
+    assert sorted(r["k"] for r in out.collect()) == list(range(5000)) and out.columns == ["id", "k"]
+    assert "rangepartitioning" not in text(out) and "hashpartitioning(k" not in text(out)
+
+
+def test_copies_need_no_shuffle_after_the_accounts(spark, cleaned, loaded):
+    """Contracts, clients and accounts are a shuffle of the ledger each, the copies none; also with rows repeated and null."""
+    (_, _, ledger), (_, tables) = cleaned, loaded
+    odd = ledger.limit(40).select([F.when(F.col("id") % 2 == 0, F.col(c)).alias(c) if c in ("compte", "idcontrat") else c for c in ledger.columns])
+    ledger = ledger.unionByName(odd).unionByName(odd)
+    shuffles = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(shuffles)
+    spark.conf.set(shuffles, "-1")
+    try:
+        plain, fewer = D.fact_rows(ledger, tables), D.fact_rows(ledger, tables, accounts_known=True)
+        count = lambda df: text(df).split("\n\n")[0].count("Exchange (")
+        assert count(fewer) == count(plain) - 1
+    finally:
+        spark.conf.set(shuffles, old)
+    assert fewer.columns == plain.columns and fewer.count() == plain.count() == plain.distinct().count()
+    assert fewer.exceptAll(plain).count() == 0
+
