@@ -365,7 +365,7 @@ def dq_balance_reconcile(spark, sf_dir):
 def balance_reconcile_loaded(spark, sf_dir):
     """The ledger against the facts that it became."""
     ledger, dims = _small_dims(spark, sf_dir)
-    out = Q.balance_sums(ledger, D.fact_rows(ledger, dims))
+    out = Q.balance_sums(ledger, D.fact_rows(ledger, dims, accounts_known=True))
     return out.select(*[F.col(c).cast("double").alias(c) for c in out.columns])
 
 
@@ -443,12 +443,10 @@ def _small_dims(spark, sf_dir):
     """The ledger and the dimensions found in it, each stored before it is looked up."""
     folder = work_folder(spark)
     ledger = written(staging(spark, sf_dir, "stg_compta"), f"{folder}/ledger")
-    dims = {
-        "sub_dim_agence": D.number_rows(D.agencies(ledger), ["numagence"]),
-        "sub_dim_devise": D.number_rows(D.currencies(ledger, "devise", "devisebbnq"), ["devise"]),
-        "sub_dim_chapitre": D.number_rows(D.chapters(ledger), ["chapitre"]),
-        "sub_dim_date": D.number_rows(D.dates(ledger, "date_bal"), ["date_value"]),
-        "sub_dim_compte": D.number_rows(D.accounts(ledger), ["numcompte"]),
+    pool = written(D.ledger_members(ledger).distinct(), f"{folder}/members")
+    names = ("sub_dim_agence", "sub_dim_devise", "sub_dim_chapitre", "sub_dim_date")
+    dims = {n: D.number_rows(D.pooled(pool, n, D.POOLED[n]), list(D.POOLED[n])) for n in names} | {
+        "sub_dim_compte": D.number_rows(D.pooled_accounts(pool), ["numcompte"]),
         "dim_client": staging(spark, sf_dir, "stg_tiers").select("idtiers").filter("idtiers IS NOT NULL").distinct(),
         "dim_contrat": staging(spark, sf_dir, "stg_contrat").select(F.col("idcontrat").alias("id")).filter("id IS NOT NULL").distinct(),
     }
@@ -459,7 +457,7 @@ def _small_dims(spark, sf_dir):
 def fact_keys(spark, sf_dir):
     """Fact rows with surrogate keys, shown by the natural keys those point at."""
     ledger, dims = _small_dims(spark, sf_dir)
-    fact = D.fact_rows(ledger, dims)
+    fact = D.fact_rows(ledger, dims, accounts_known=True)
     for out, name, key in (
         ("numagence", "sub_dim_agence", "id_agence"), ("devise", "sub_dim_devise", "id_devise"),
         ("chapitre", "sub_dim_chapitre", "id_chapitre"), ("date_value", "sub_dim_date", "id_date"),

@@ -233,3 +233,13 @@ def test_copies_need_no_shuffle_after_the_accounts(spark, cleaned, loaded):
     assert fewer.columns == plain.columns and fewer.count() == plain.count() == plain.distinct().count()
     assert fewer.exceptAll(plain).count() == 0
 
+
+def test_ledger_members_are_the_dimensions_of_several_passes(spark, cleaned):
+    ledger = cleaned[2]
+    pool = D.ledger_members(ledger).distinct()
+    one = lambda n: {tuple(r) for r in D.pooled(pool, n, D.POOLED[n]).collect()}
+    for name, rows in (("sub_dim_agence", D.agencies(ledger)), ("sub_dim_devise", D.currencies(ledger, "devise", "devisebbnq")),
+                       ("sub_dim_chapitre", D.chapters(ledger)), ("sub_dim_date", D.dates(ledger, "date_bal"))):
+        assert one(name) == {tuple(r) for r in rows.collect()}, name
+    assert {tuple(r) for r in D.pooled_accounts(pool).collect()} == {tuple(r) for r in D.accounts(ledger).collect()}
+
