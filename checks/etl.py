@@ -766,10 +766,11 @@ def load_reconciled(spark, sf_dir):
 
 @check("quality_log", f"SELECT c.*, 'COMPLETED' AS status FROM ({ORACLE['dq_counters']}) c, (VALUES (1), (2)) r(run)")
 def quality_log(spark, sf_dir):
-    """Two runs of the counters, read back without their time."""
-    path = f"{work_folder(spark)}/runs"
+    """Two runs of the counters over the stored ledger, read back without their time."""
+    folder = work_folder(spark)
+    ledger, path = written(staging(spark, sf_dir, "stg_compta"), f"{folder}/ledger"), f"{folder}/runs"
     for _ in range(2):
-        L.log_run(dq_counters(spark, sf_dir), path)
+        L.log_run(Q.counters(ledger, Q.LEDGER), path)
     return spark.read.parquet(path).drop("executed_at")
 
 
