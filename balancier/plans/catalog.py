@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from balancier.session import PASSING, shuffles_removed, work_folder, written
+
 FACT, CALENDAR = "f", "sub_dim_date"
 
 
@@ -227,7 +229,13 @@ def on_dates(tables: Mapping[str, DataFrame], days: DataFrame) -> Narrowed:
     return Narrowed(tables, facts.filter(wanted))
 
 
-def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """Rows written to the work folder; the shuffles that led to them leave the disk."""
+    with shuffles_removed(df.sparkSession):
+        return written(df, work_folder(df.sparkSession), **PASSING)
+
+
+def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None, by_steps: bool = False) -> DataFrame:
     """The flat view over the fields asked for (all 57 by default), one row per fact.
 
     Only the roles those fields need are joined. Second-hop tables are attached to
@@ -235,6 +243,8 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
     each side carries just the columns that are used. Tables that say so (``beside``) have a
     dimension in the facts' buckets; it is joined without a shuffle. The calendar, a row for each
     date, is broadcast: its size is not known before it is read where it is derived.
+    ``by_steps`` stores the facts after each join with a large table but the last, so that the disk holds
+    one shuffle of the facts at a time; else all of them lie there until the view has been read.
     """
     beside = getattr(tables, "beside", None)
     names = [f.name for f in FIELDS] if fields is None else list(dict.fromkeys(fields))
@@ -248,6 +258,7 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
         links = [NODES[r].parent_key for r in children]
         keep = list(dict.fromkeys([*([node.key] if node.key else []), *own, *links]))
         df = tables[node.table].select(*[F.col(c).alias(f"{alias}_{c}") for c in keep])
+        large = [r for r in children if NODES[r].table in LARGE] if by_steps and alias == FACT else []
         for child in children:
             link = f"{alias}_{NODES[child].parent_key}"
             key = f"{child}_{NODES[child].key}"
@@ -259,6 +270,8 @@ def star(tables: Mapping[str, DataFrame], fields: Iterable[str] | None = None) -
                 df = df.unionByName(apart.withColumns({c: F.lit(None).cast(t) for c, t in right.dtypes}))
             if not any(f.flat == key for f in used):
                 df = df.drop(key)
+            if child in large[:-1]:
+                df = _stored(df)
         flat = {f.flat for f in used}
         spare = [f"{alias}_{c}" for c in links if f"{alias}_{c}" not in flat and c != node.key]
         return df.drop(*spare)

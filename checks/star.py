@@ -242,7 +242,7 @@ def _flat_sql() -> str:
 
 @check("star_wide", star_sql(_flat_sql()))
 def star_wide(spark, sf_dir):
-    wide = star(datamart(spark, sf_dir))
+    wide = star(datamart(spark, sf_dir), by_steps=True)
     return wide.select(
         *[(column_of(f.name).cast("double") if f.column == "soldeconvertie" else column_of(f.name)).alias(f.flat) for f in FIELDS]
     )
