@@ -48,7 +48,7 @@ def test_a_write_removes_its_shuffles(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == old
 
 
-@pytest.mark.parametrize("buckets", [None])
+@pytest.mark.parametrize("buckets", [None, 8])
 def test_no_step_of_a_load_finds_the_shuffles_of_another(spark, cleaned, monkeypatch, buckets):
     customers, contracts, ledger = cleaned
     before, steps = shuffles(spark), []
