@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from balancier.operators import datamart as D
+from balancier.plans.catalog import Narrowed, star
 from balancier.session import shuffles_removed, work_folder, written
 from checks.staging import staging
+from checks.tables import datamart
+from tests.plans import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +83,26 @@ def test_lost_clients_tell_the_same_as_all_clients(spark, cleaned):
     fewer, plain = D.resolved_rows(ledger, tables, lost_clients=lost), D.resolved_rows(ledger, tables)
     assert fewer.columns == plain.columns and rows_of(fewer) == rows_of(plain)
     assert rows_of(tables["fact_balance"].drop("id", "row_hash")) == rows_of(plain.distinct())
+
+
+def test_a_view_by_steps_has_one_shuffle_of_the_facts_at_a_time(spark):
+    """The rows of the view in one go, with null keys, keys without a row and facts that come twice."""
+    tables = datamart(spark, SF)
+    facts = tables["fact_balance"]
+    odd = facts.limit(90).withColumns({
+        "id_compte": F.when(F.col("id") % 3 > 0, F.col("id_compte")), "id_contrat": F.when(F.col("id") % 2 > 0, F.lit("none")),
+        "id_client": F.when(F.col("id") % 5 > 0, F.col("id_client"))})
+    tables = Narrowed(tables, written(facts.unionByName(odd).unionByName(odd), work_folder(spark)))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    old, before = spark.conf.get(threshold), shuffles(spark)
+    whole = star(tables)
+    spark.conf.set(threshold, "-1")
+    try:
+        steps = star(tables, by_steps=True)
+        assert not left(spark, before)
+        joined = [key for key in ("f_id_compte", "f_id_contrat", "f_id_client") if f"Left keys [1]: [{key}#" in text(steps)]
+        assert joined == ["f_id_client"]  # the others are stored
+    finally:
+        spark.conf.set(threshold, old)
+    assert steps.columns == whole.columns and rows_of(steps) == rows_of(whole)
+    assert steps.count() == facts.count() + 180
